@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cellweave.llm import quality, toxicity
+from cellweave.llm import mixing, quality, toxicity
 from cellweave.llm.common import table
 
 
@@ -28,5 +28,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "score", (F.col("score") >= 0.5).alias("kept"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op10_quality": op10_quality}
-ORACLES: dict[str, str] = {}
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's share of the mix, in order of training."""
+    out = mixing.mixed(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op6_mixing": op6_mixing, "op10_quality": op10_quality}
+ORACLES: dict[str, str] = {"op6_mixing": mixing.SQL}
