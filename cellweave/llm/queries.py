@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cellweave.llm import mixing, quality, toxicity
+from cellweave.llm import mixing, pii, quality, secrets, spans, toxicity
 from cellweave.llm.common import table
 
 
@@ -34,5 +34,22 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op6_mixing": op6_mixing, "op10_quality": op10_quality}
+def _digest(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """Counts and hash of the base spans of each document, and all its spans."""
+    base = F.filter("spans", lambda x: x["base"])
+    counts = [F.expr(f"cast(size(filter(spans, x -> x.base and x.k = '{k}')) as bigint)").alias(f"n_{k}") for k in kinds]
+    return found.select("doc_id", *counts, F.sha2(spans.joined(base), 256).alias("base_sha256"), spans.joined(F.col("spans")).alias("spans"))
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return _digest(pii.detect(table(spark, sf_dir, "documents"), keep=["doc_id"]), pii.KINDS)
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    return _digest(secrets.scan(table(spark, sf_dir, "documents"), keep=["doc_id"]), secrets.KINDS)
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op6_mixing": op6_mixing, "op8_pii": op8_pii, "op9_secrets": op9_secrets, "op10_quality": op10_quality}
 ORACLES: dict[str, str] = {"op6_mixing": mixing.SQL}
