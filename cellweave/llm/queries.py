@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cellweave.llm import mixing, pii, quality, secrets, spans, toxicity
+from cellweave.llm import mixing, near_text, near_vectors, pii, quality, secrets, spans, toxicity
 from cellweave.llm.common import table
 
 
@@ -28,6 +28,16 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "score", (F.col("score") >= 0.5).alias("kept"))
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's class of near copies and number of links."""
+    return near_text.classes(table(spark, sf_dir, "documents"))
+
+
+def op5_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's links and component."""
+    return near_vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's share of the mix, in order of training."""
     out = mixing.mixed(table(spark, sf_dir, "documents"))
@@ -51,5 +61,5 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digest(secrets.scan(table(spark, sf_dir, "documents"), keep=["doc_id"]), secrets.KINDS)
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op6_mixing": op6_mixing, "op8_pii": op8_pii, "op9_secrets": op9_secrets, "op10_quality": op10_quality}
-ORACLES: dict[str, str] = {"op6_mixing": mixing.SQL}
+QUERIES = {"op1_toxicity": op1_toxicity, "op3_jaccard": op3_jaccard, "op5_vectors": op5_vectors, "op6_mixing": op6_mixing, "op8_pii": op8_pii, "op9_secrets": op9_secrets, "op10_quality": op10_quality}
+ORACLES: dict[str, str] = {"op5_vectors": near_vectors.SQL, "op6_mixing": mixing.SQL}
