@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cellweave.llm import mixing, near_text, near_vectors, pii, quality, secrets, spans, toxicity
+from cellweave.llm import mixing, near_text, near_vectors, packing, pii, quality, secrets, spans, toxicity
 from cellweave.llm.common import table
 
 
@@ -28,6 +28,13 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "score", (F.col("score") >= 0.5).alias("kept"))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document and its place in a sequence."""
+    import public_tokenizers
+
+    return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path(packing.VOCABULARY))
+
+
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's class of near copies and number of links."""
     return near_text.classes(table(spark, sf_dir, "documents"))
@@ -61,5 +68,5 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digest(secrets.scan(table(spark, sf_dir, "documents"), keep=["doc_id"]), secrets.KINDS)
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op3_jaccard": op3_jaccard, "op5_vectors": op5_vectors, "op6_mixing": op6_mixing, "op8_pii": op8_pii, "op9_secrets": op9_secrets, "op10_quality": op10_quality}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_packing": op2_packing, "op3_jaccard": op3_jaccard, "op5_vectors": op5_vectors, "op6_mixing": op6_mixing, "op8_pii": op8_pii, "op9_secrets": op9_secrets, "op10_quality": op10_quality}
 ORACLES: dict[str, str] = {"op5_vectors": near_vectors.SQL, "op6_mixing": mixing.SQL}
