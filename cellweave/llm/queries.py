@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cellweave.llm import mixing, near_text, near_vectors, packing, pii, quality, secrets, spans, toxicity
+from cellweave.llm import media, mixing, near_text, near_vectors, packing, pii, quality, secrets, spans, toxicity
 from cellweave.llm.common import table
 
 
@@ -40,6 +40,22 @@ def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_text.classes(table(spark, sf_dir, "documents"))
 
 
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document stored as a progressive JPEG and read back."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("n_bytes", F.octet_length(F.coalesce("text", F.lit(""))).cast("long"))
+    out = media.stored(docs, keep=["doc_id", "n_bytes"])
+    return out.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", F.octet_length("payload") - 63, F.lit(64))).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+    )
+
+
 def op5_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector's links and component."""
     return near_vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
@@ -68,5 +84,5 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digest(secrets.scan(table(spark, sf_dir, "documents"), keep=["doc_id"]), secrets.KINDS)
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_packing": op2_packing, "op3_jaccard": op3_jaccard, "op5_vectors": op5_vectors, "op6_mixing": op6_mixing, "op8_pii": op8_pii, "op9_secrets": op9_secrets, "op10_quality": op10_quality}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_packing": op2_packing, "op3_jaccard": op3_jaccard, "op4_media": op4_media, "op5_vectors": op5_vectors, "op6_mixing": op6_mixing, "op8_pii": op8_pii, "op9_secrets": op9_secrets, "op10_quality": op10_quality}
 ORACLES: dict[str, str] = {"op5_vectors": near_vectors.SQL, "op6_mixing": mixing.SQL}
