@@ -14,7 +14,7 @@ import re
 import struct
 from collections import defaultdict
 from dataclasses import dataclass, field
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 
@@ -41,6 +41,7 @@ class Huffman:
     code: np.ndarray = field(init=False)
     length: np.ndarray = field(init=False)
     look: np.ndarray = field(init=False)
+    whole: np.ndarray = field(init=False)
 
     def __post_init__(self):
         self.code, self.length = np.zeros(256, np.int64), np.zeros(256, np.int64)
@@ -53,6 +54,11 @@ class Huffman:
                 code += 1
             at += some
             code <<= 1
+        # What 16 bits begin with, when they hold a symbol's value as well: bits used, run, and the value plus 2 ** 15.
+        n, run, size = self.look >> 8, self.look >> 4 & 15, self.look & 15
+        value = _value(np.arange(1 << 16) << 32 + n & 0xFFFFFFFFFFFF, size)
+        fits = (n > 0) & (size > 0) & (n + size <= 16)
+        self.whole = np.where(fits, (value + (1 << 15)) << 16 | run << 8 | n + size, 0)
 
 
 def huffman(weights: dict[int, float]) -> Huffman:
@@ -108,21 +114,23 @@ def extra(x: np.ndarray, size: np.ndarray) -> np.ndarray:
 def pack(bits: np.ndarray, length: np.ndarray, segment: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of n segments of bit strings (each at most 63 long, in order) and each segment's size, ends filled with ones."""
     used = np.flatnonzero(length)
-    bits, length, segment = bits[used].astype(np.uint64), length[used], segment[used]
-    total = np.bincount(segment, length, n).astype(np.int64)
+    bits, length, segment = bits[used].view(np.uint64), length[used], segment[used]
+    reached = np.concatenate([[0], np.cumsum(length)])
+    total = np.diff(reached[np.searchsorted(segment, np.arange(n + 1))])
     size = (total + 7) >> 3
     base = np.zeros(n + 1, np.int64)
     np.cumsum(size, out=base[1:])
     before = np.zeros(n + 1, np.int64)
     np.cumsum(total, out=before[1:])
-    at = np.cumsum(length) - length - before[segment] + base[segment] * 8
+    at = reached[:-1] + (base[:-1] * 8 - before[:-1])[segment]
     words = np.zeros((int(base[-1]) >> 3) + 2, np.uint64)
     word, room = at >> 6, 64 - (at & 63) - length
     first = np.flatnonzero(np.diff(word, prepend=-1))
-    high = np.where(room >= 0, bits << np.maximum(room, 0).astype(np.uint64), bits >> np.maximum(-room, 0).astype(np.uint64))
+    over = np.flatnonzero(room < 0)
+    high = bits << np.maximum(room, 0).astype(np.uint64)
+    high[over] = bits[over] >> (-room[over]).astype(np.uint64)
     if len(first):
         words[word[first]] = np.bitwise_or.reduceat(high, first)
-    over = np.flatnonzero(room < 0)
     words[word[over] + 1] |= bits[over] << (64 + room[over]).astype(np.uint64)
     end, fill = base[:-1] * 8 + total, size * 8 - total
     some = np.flatnonzero(fill)
@@ -212,27 +220,24 @@ def _order(shapes: np.ndarray, interleaved: bool) -> tuple[np.ndarray, np.ndarra
 
     A file's blocks are its luminance in rows, then its two chroma components in rows.
     """
-    rows, parts, segments, files = [], [], [], []
-    base = made = 0
-    for f, (r, c) in enumerate(shapes):
-        n = r * c
-        if interleaved:
-            u = np.arange(n)
-            top = (u // c) * 4 * c + u % c * 2
-            rows.append(base + np.stack([top, top + 1, top + 2 * c, top + 2 * c + 1, 4 * n + u, 5 * n + u], 1).ravel())
-            parts.append(np.tile([0, 0, 0, 0, 1, 2], n))
-            segments.append(np.repeat(made + u // INTERVAL, 6))
-            count = -(-n // INTERVAL)
-        else:
-            rows.append(base + np.arange(6 * n))
-            parts.append(np.repeat([0, 1, 2], [4 * n, n, n]))
-            counts = [-(-4 * n // INTERVAL), -(-n // INTERVAL), -(-n // INTERVAL)]
-            segments.append(made + np.concatenate([sum(counts[:p]) + np.arange(m) // INTERVAL for p, m in enumerate((4 * n, n, n))]))
-            count = sum(counts)
-        files += [f] * count
-        made += count
-        base += 6 * n
-    return np.concatenate(rows), np.concatenate(parts), np.concatenate(segments), np.array(files)
+    own = [_order_of(int(r), int(c), interleaved) for r, c in shapes]
+    blocks, count = np.array([len(x[0]) for x in own]), np.array([x[3] for x in own])
+    base, made = np.repeat(np.cumsum(blocks) - blocks, blocks), np.repeat(np.cumsum(count) - count, blocks)
+    rows, parts, segments = (np.concatenate([x[k] for x in own]) for k in range(3))
+    return rows + base, parts, segments + made, np.repeat(np.arange(len(own)), count)
+
+
+@lru_cache(4096)
+def _order_of(r: int, c: int, interleaved: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    n = r * c
+    u = np.arange(n)
+    if interleaved:
+        top = (u // c) * 4 * c + u % c * 2
+        rows = np.stack([top, top + 1, top + 2 * c, top + 2 * c + 1, 4 * n + u, 5 * n + u], 1).ravel()
+        return rows, np.tile([0, 0, 0, 0, 1, 2], n), np.repeat(u // INTERVAL, 6), -(-n // INTERVAL)
+    counts = [-(-4 * n // INTERVAL), -(-n // INTERVAL), -(-n // INTERVAL)]
+    segments = np.concatenate([sum(counts[:p]) + np.arange(m) // INTERVAL for p, m in enumerate((4 * n, n, n))])
+    return np.arange(6 * n), np.repeat([0, 1, 2], [4 * n, n, n]), segments, sum(counts)
 
 
 def _scans() -> list[tuple[tuple[int, ...], int, int, int, int]]:
@@ -436,7 +441,7 @@ def read_dc_refine(bits: Bits, blocks: list[np.ndarray], scan: Scan, out: np.nda
     flat, start = np.concatenate(blocks), np.cumsum(n) - n
     for k in range(n.max()):
         who = np.flatnonzero(n > k)
-        out[flat[start[who] + k], 0] |= bits.one(who) << scan.lo
+        out[flat[start[who] + k], 0] |= (bits.one(who) << scan.lo).astype(np.int16)
 
 
 def read_ac_first(bits: Bits, first: np.ndarray, count: np.ndarray, scan: Scan, out: np.ndarray) -> None:
@@ -446,6 +451,21 @@ def read_ac_first(bits: Bits, first: np.ndarray, count: np.ndarray, scan: Scan,
     block, end = first.copy(), first + count
     k = np.full(len(first), scan.low)
     while len(who):
+        found = scan.ac.whole[bits.peek(who) >> 32]
+        if found.all():  # each has a coefficient next, value and all
+            place = k[who] + (found >> 8 & 15)
+            blk = block[who]
+            flat[blk * 64 + place] = ((found >> 16) - (1 << 15)) << scan.lo
+            bits.at[who] += found & 255
+            place += 1
+            over = place > scan.high
+            k[who] = place
+            if over.any():
+                who_over = who[over]
+                block[who_over] += 1
+                k[who_over] = scan.low
+                who = who[block[who] < end[who]]
+            continue
         symbol, x = bits.symbols(who, scan.ac)
         r, s = symbol >> 4, symbol & 15
         at, blk = k[who], block[who]
@@ -506,26 +526,39 @@ def read_ac_refine(bits: Bits, first: np.ndarray, count: np.ndarray, scan: Scan,
         skip[who[skip[who] > 0]] -= 1
 
 
+@lru_cache(256)
+def _rounds(script: tuple) -> list[int]:
+    """For each scan (components, first and last coefficient) one more than the last round that touched its coefficients."""
+    done: dict[tuple[int, int], int] = {}
+    out = []
+    for parts, low, high in script:
+        own = [(c, k) for c in parts for k in range(low, high + 1)]
+        out.append(1 + max(done.get(x, 0) for x in own))
+        done |= dict.fromkeys(own, out[-1])
+    return out
+
+
 def read(files: list[bytes]) -> tuple[np.ndarray, list[Parsed]]:
     """Coefficients (zigzag order, a row for each block) of all files, and what their headers say.
 
-    Scans with equal parameters and tables are decoded together, in the order that the files have them.
+    Scans with equal parameters and tables are decoded together, each after the scans of its coefficients before it.
     """
     parsed = [parse(x) for x in files]
     base = np.cumsum([0] + [6 * p.rows * p.columns for p in parsed])
-    out = np.zeros((int(base[-1]), 64), np.int64)
-    for step in range(max((len(p.scans) for p in parsed), default=0)):
-        groups = defaultdict(list)
-        for f, p in enumerate(parsed):
-            if step < len(p.scans):
-                s = p.scans[step]
-                groups[s.low, s.high, s.hi, s.lo, tuple(map(id, s.dc)) if not s.high else id(s.ac), s.parts if not s.high else ()].append((f, s))
-        for (low, high, hi, lo, _, _), members in groups.items():
+    out = np.zeros((int(base[-1]), 64), np.int16)
+    rounds: dict[int, dict] = defaultdict(lambda: defaultdict(list))
+    for f, p in enumerate(parsed):
+        for step, s in zip(_rounds(tuple((s.parts, s.low, s.high) for s in p.scans)), p.scans):
+            tables = tuple(map(id, s.dc)) + s.parts if not s.high else id(s.ac)
+            rounds[step][s.low, s.high, s.hi, s.lo, tables].append((f, s))
+    for step in sorted(rounds):
+        groups = rounds[step]
+        for (low, high, hi, lo, _), members in groups.items():
             pieces, blocks, parts = [], [], []
             for f, s in members:
                 r, c = parsed[f].rows, parsed[f].columns
                 if not high:
-                    order, part, segment, _ = _order(np.array([[r, c]]), True)
+                    order, part, _, _ = _order_of(r, c, True)
                     n, per = r * c, s.interval or r * c
                     for u in range(0, n, per):
                         blocks.append(base[f] + order[6 * u : 6 * (u + per)])
@@ -551,16 +584,20 @@ def basis() -> np.ndarray:
     """Pixels (row-major) of each zigzag coefficient."""
     n = np.arange(8)
     one = np.cos((2 * n[None, :] + 1) * n[:, None] * np.pi / 16) * np.where(n[:, None] == 0, np.sqrt(1 / 8), 0.5)
-    return np.einsum("ux,vy->uvxy", one, one).reshape(64, 64)[zigzag()]
+    return np.einsum("ux,vy->uvxy", one, one).reshape(64, 64)[zigzag()].astype(np.float32)
 
 
 def rgb(coefficients: np.ndarray, parsed: Parsed) -> np.ndarray:
     """The full-resolution image (height, width, 3) of one file: inverse transform, chroma upsampled, clipped."""
-    # the small shift rounds exact halves alike whatever the order of summation
-    pixels = np.floor(coefficients * parsed.quantiser @ basis() + 128.5 + 1e-6)
+    # the small shift rounds exact halves alike whatever the order of summation; whole pixels of positive numbers are cut
+    pixels = np.floor((coefficients * parsed.quantiser).astype(np.float32) @ basis() + np.float32(128.501))
     r, c = parsed.rows, parsed.columns
     plane = lambda b, r, c: b.reshape(r, c, 8, 8).swapaxes(1, 2).reshape(8 * r, 8 * c)
     y = plane(pixels[: 4 * r * c], 2 * r, 2 * c)
-    cb, cr = (plane(pixels[k * r * c : (k + 1) * r * c], r, c).repeat(2, 0).repeat(2, 1) - 128 for k in (4, 5))
-    out = np.stack([y + 1.402 * cr, y - 0.344136 * cb - 0.714136 * cr, y + 1.772 * cb], -1)
-    return np.clip(np.floor(out + 0.5 + 1e-6), 0, 255).astype(np.uint8)
+    cb, cr = (plane(pixels[k * r * c : (k + 1) * r * c], r, c) - 128 for k in (4, 5))
+    out = np.empty((16 * r, 16 * c, 3), np.float32)
+    for k, more in enumerate((1.402 * cr, -0.344136 * cb - 0.714136 * cr, 1.772 * cb)):
+        out[..., k] = y + more.repeat(2, 0).repeat(2, 1)
+    out += np.float32(0.501)
+    np.clip(out, 0, 255, out=out)
+    return out.astype(np.uint8)
