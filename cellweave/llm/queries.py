@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cellweave.llm import media, mixing, near_text, near_vectors, packing, pii, quality, secrets, spans, toxicity
+from cellweave.llm import media, mixing, near_text, near_vectors, packing, pii, quality, repeats, secrets, spans, toxicity
 from cellweave.llm.common import table
 
 
@@ -74,6 +74,12 @@ def _digest(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(spans.joined(base), 256).alias("base_sha256"), spans.joined(F.col("spans")).alias("spans"))
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What remains of every document without its long repeats."""
+    out = repeats.removed(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document."""
     return _digest(pii.detect(table(spark, sf_dir, "documents"), keep=["doc_id"]), pii.KINDS)
@@ -84,5 +90,5 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digest(secrets.scan(table(spark, sf_dir, "documents"), keep=["doc_id"]), secrets.KINDS)
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_packing": op2_packing, "op3_jaccard": op3_jaccard, "op4_media": op4_media, "op5_vectors": op5_vectors, "op6_mixing": op6_mixing, "op8_pii": op8_pii, "op9_secrets": op9_secrets, "op10_quality": op10_quality}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_packing": op2_packing, "op3_jaccard": op3_jaccard, "op4_media": op4_media, "op5_vectors": op5_vectors, "op6_mixing": op6_mixing, "op7_repeats": op7_repeats, "op8_pii": op8_pii, "op9_secrets": op9_secrets, "op10_quality": op10_quality}
 ORACLES: dict[str, str] = {"op5_vectors": near_vectors.SQL, "op6_mixing": mixing.SQL}
