@@ -59,10 +59,10 @@ def source_targets(sizes: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), mo
 
 
 def mixed(docs: DataFrame, *, id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (1, 2, 3), most_repeats: int = 3, per_bucket: int = 100_000) -> DataFrame:
-    """(id, source, size, source_size, target, taken, copies, position), range-sorted by position.
+    """(id, source, size, source_size, target, taken, copies, position, positions), range-sorted by position.
 
     taken: words the mix takes of the document; copies: how many whole copies that is, with the one that the target
-    cuts counted if at least half of it is taken; position: where in training its first copy begins.
+    cuts counted if at least half of it is taken; position: where in training its first round begins; positions: where each copy does.
     """
     sizes = staged(docs.select(F.col(id).alias("id"), F.col(source).alias("source"), words(F.col(text)).alias("size")), "sizes")
     per = source_targets(sizes, weights=weights, most_repeats=most_repeats)
@@ -89,10 +89,15 @@ def mixed(docs: DataFrame, *, id: str = "doc_id", text: str = "text", source: st
     copies = full + F.when((part > 0) & (part * 2 >= F.col("size")), 1).otherwise(0)
     # Slopes: light sources come early, heavy ones late.
     slope = (F.col("weight") - F.lit(sum(weights) / len(weights))) / F.lit(2.0 * max(weights))
-    share = F.when(F.col("target") > 0, F.least(F.lit(1.0), offset / F.col("target"))).otherwise(F.lit(0.0))
     flat = F.lit(1.0) - slope
-    position = F.when(slope == 0, share).otherwise((F.sqrt(flat * flat + F.lit(4.0) * slope * share) - flat) / (F.lit(2.0) * slope))
-    out = rows.select("id", "source", "size", "source_size", "target", taken.alias("taken"), copies.alias("copies"), position.alias("position"))
+
+    def position(begin: Column) -> Column:
+        share = F.when(F.col("target") > 0, F.least(F.lit(1.0), begin / F.col("target"))).otherwise(F.lit(0.0))
+        return F.when(slope == 0, share).otherwise((F.sqrt(flat * flat + F.lit(4.0) * slope * share) - flat) / (F.lit(2.0) * slope))
+
+    rows = rows.withColumn("copies", copies.cast("int"))
+    each = F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0), F.col("copies") - 1), lambda j: position(offset + j * F.col("source_size")))).otherwise(F.array().cast("array<double>"))
+    out = rows.select("id", "source", "size", "source_size", "target", taken.alias("taken"), "copies", position(offset).alias("position"), each.alias("positions"))
     return out.repartitionByRange("position", "id").sortWithinPartitions("position", "id").withColumnRenamed("id", id)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cellweave.llm import media, mixing, near_text, near_vectors, packing, pii, quality, repeats, secrets, spans, toxicity
@@ -90,5 +91,5 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digest(secrets.scan(table(spark, sf_dir, "documents"), keep=["doc_id"]), secrets.KINDS)
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_packing": op2_packing, "op3_jaccard": op3_jaccard, "op4_media": op4_media, "op5_vectors": op5_vectors, "op6_mixing": op6_mixing, "op7_repeats": op7_repeats, "op8_pii": op8_pii, "op9_secrets": op9_secrets, "op10_quality": op10_quality}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_packing": op2_packing, "op3_jaccard": op3_jaccard, "op4_media": op4_media, "op5_vectors": op5_vectors, "op6_mixing": op6_mixing, "op7_repeats": op7_repeats, "op8_pii": op8_pii, "op9_secrets": op9_secrets, "op10_quality": op10_quality, "pipeline": corpus_pipeline.run}
 ORACLES: dict[str, str] = {"op5_vectors": near_vectors.SQL, "op6_mixing": mixing.SQL}
