@@ -2,17 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from cellweave.queries import analysis, readers, reading
+from cellweave.queries.base import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return events.groupBy("event_type").agg(F.count("*").alias("n"))
-
-
-QUERIES["event_counts"] = event_counts
+__all__ = ["ORACLES", "QUERIES", "analysis", "readers", "reading"]
