@@ -394,7 +394,8 @@ def normal_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def distributed_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = expected(spark, sf_dir).withColumn("x", F.log("n") - 3)
+    s = expected(spark, sf_dir)
+    s = s.withColumn("x", F.log((F.lag("y").over(W.partitionBy("u").orderBy("year")) + 0.5) / (F.col("mu") + 0.5))).where("x is not null")
     return rel.distributed_lag(s, 2).select("lag", r6("beta"), r6("sd"))
 
 
