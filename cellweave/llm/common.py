@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 _own_scratch: dict[str, str] = {}
 
@@ -35,6 +35,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sealed(docs: DataFrame, keep: list[str], made: tuple[str, ...] = ()) -> tuple[list[Column], list[Column], str]:
+    """The kept columns under names that nothing else uses, how to show them again, and their types as a schema.
+
+    A kept column that has the name of a column that the operator makes is left out: the operator's wins.
+    """
+    hidden = [F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)]
+    shown = [F.col(f"_k{i}").alias(c) for i, c in enumerate(keep) if c not in made]
+    return hidden, shown, ", ".join(f"_k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
+
+
 def chunks(batches: Iterator[pd.DataFrame], column: str, most: int) -> Iterator[pd.DataFrame]:
     """Slices of the Arrow batches whose texts hold about ``most`` characters, so that memory stays bounded.
 

@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cellweave.llm import spans
-from cellweave.llm.common import staged
+from cellweave.llm.common import sealed, staged
 
 #: The order in which kinds are reported.
 KINDS = ("email", "ip", "card", "phone")
@@ -96,13 +96,13 @@ def _candidate(name: str, around: int):
     return span
 
 
-def candidates(docs: DataFrame, *, text: str, keep: list[str], around: int = 40) -> DataFrame:
-    """``keep`` and the candidates of each text: kind, place, whether base, the votes (1 yes, 0 no, 2 silent), features."""
+def candidates(docs: DataFrame, *, text: str, keep: list[Column], around: int = 40) -> DataFrame:
+    """``keep`` (under names of its own) and the candidates of each text: kind, place, whether base, the votes (1 yes, 0 no, 2 silent), features."""
     rows = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_t"))
     found = spans.with_matches(rows, "_t", BASE | WIDE)
     made = [F.when(F.size(name) > 0, F.transform(name, _candidate(name, around))) for name in BASE | WIDE]
     empty = F.array().cast("array<struct<k:string,s:int,e:int,base:boolean,wide:boolean,votes:array<int>,features:array<string>>>")
-    return found.select(*keep, F.flatten(F.array(*[F.coalesce(m, empty) for m in made])).alias("found"))
+    return found.select(*[f"_k{i}" for i in range(len(keep))], F.flatten(F.array(*[F.coalesce(m, empty) for m in made])).alias("found"))
 
 
 def reliabilities(counts: dict[tuple, int], *, rounds: int = 50, smooth: float = 1.0) -> dict[tuple, float]:
@@ -152,7 +152,8 @@ def _code(key: tuple) -> str:
 
 def detect(docs: DataFrame, *, text: str = "text", keep: list[str], certain: float = 0.9) -> DataFrame:
     """``keep`` and ``spans``: (k, s, e, base) of each text, by kind as listed and start."""
-    found = staged(candidates(docs, text=text, keep=keep), "personal")
+    hidden, shown, _ = sealed(docs, keep, ("spans",))
+    found = staged(candidates(docs, text=text, keep=hidden), "personal")
     each = found.select(F.explode("found").alias("c")).select("c.*")
     counts = {(r.k, r.wide, tuple(r.votes)): r.n for r in each.groupBy("k", "wide", "votes").agg(F.count("*").alias("n")).collect()}
     prior, weights = span_classifier(each, reliabilities(counts))
@@ -169,4 +170,4 @@ def detect(docs: DataFrame, *, text: str = "text", keep: list[str], certain: flo
     order = F.array_sort(
         F.transform(F.concat("_base", more), lambda c: F.struct(F.array_position(F.array(*map(F.lit, KINDS)), c["k"]).alias("i"), c["s"].alias("s"), c["e"].alias("e"), c["k"].alias("k"), c["base"].alias("base")))
     )
-    return with_base.select(*keep, F.transform(order, lambda x: F.struct(x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e"), x["base"].alias("base"))).alias("spans"))
+    return with_base.select(*shown, F.transform(order, lambda x: F.struct(x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e"), x["base"].alias("base"))).alias("spans"))

@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from cellweave.llm.common import chunks, texts
+from cellweave.llm.common import chunks, sealed, texts
 from cellweave.llm.ftrl import Sparse, Weights, train
 from cellweave.llm.words import joined, mix, prefix_sums, stretch
 
@@ -173,11 +173,12 @@ def fit(docs: DataFrame, *, id: str = "doc_id", text: str = "text", max_rows: in
 def score(docs: DataFrame, weights: Weights, *, keep: list[str], text: str = "text", most_chars: int = 2_000_000) -> DataFrame:
     """The ``keep`` columns of ``docs`` and ``score``, the probability that the whole text is good."""
     sent = docs.sparkSession.sparkContext.broadcast(weights)
+    hidden, shown, schema = sealed(docs, keep, ("score",))
+    names = [f"_k{i}" for i in range(len(keep))]
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in chunks(batches, "_text", most_chars):
-            yield frame[keep].assign(score=sent.value.scores(features(tokens(texts(frame["_text"])))))
+            yield frame[names].assign(score=sent.value.scores(features(tokens(texts(frame["_text"])))))
 
-    rows = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + ", score double"
-    return rows.mapInPandas(scored, schema)
+    rows = docs.select(*hidden, F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    return rows.mapInPandas(scored, f"{schema}, score double").select(*shown, "score")

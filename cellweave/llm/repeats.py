@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from cellweave.llm.common import chunks, staged, texts
+from cellweave.llm.common import chunks, sealed, staged, texts
 from cellweave.llm.words import joined, mix, prefix_sums, stretch
 
 #: Bytes of a repeat; bytes of a rolling hash; positions of which a trigger is the least.
@@ -135,7 +135,10 @@ def windows(rows: DataFrame, look: DataFrame, most_chars: int) -> DataFrame:
 
 def removed(docs: DataFrame, *, text: str = "text", keep: list[str], most_chars: int = 1_500_000) -> DataFrame:
     """``keep``, ``kept`` (the remaining bytes), n_bytes, n_removed and n_spans (maximal removed runs) of each text."""
-    rows = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
+    made = ("kept", "n_bytes", "n_removed", "n_spans")
+    hidden, shown, schema = sealed(docs, keep, made)
+    names = [f"_k{i}" for i in range(len(keep))]
+    rows = docs.select(*hidden, F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
     long = rows.where(F.octet_length("text") >= LENGTH).select("key", "text")
     found = staged(dictionary(phrases(long, most_chars)), "phrases")
     look = found.where("look").groupBy("key").agg(F.collect_set("at").alias("ats"))
@@ -162,8 +165,8 @@ def removed(docs: DataFrame, *, text: str = "text", keep: list[str], most_chars:
                 spans = int((np.diff(gone.astype(np.int8), prepend=0) > 0).sum())
                 kept = np.frombuffer(data, np.uint8)[~gone].tobytes() if spans else data
                 out.append((kept, len(data), len(data) - len(kept), spans))
-            yield pd.concat([frame[keep], pd.DataFrame(out, columns=["kept", "n_bytes", "n_removed", "n_spans"], index=frame.index)], axis=1)
+            yield pd.concat([frame[names], pd.DataFrame(out, columns=made, index=frame.index)], axis=1)
 
-    joined_rows = rows.join(cover, "key", "left").select(*keep, "text", "wholes", "starts")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return joined_rows.mapInPandas(cut, schema + ", kept binary, n_bytes long, n_removed long, n_spans long")
+    joined_rows = rows.join(cover, "key", "left").select(*names, "text", "wholes", "starts")
+    out = joined_rows.mapInPandas(cut, schema + ", kept binary, n_bytes long, n_removed long, n_spans long")
+    return out.select(*shown, *made)

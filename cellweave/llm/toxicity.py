@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from cellweave.llm.common import chunks, texts
+from cellweave.llm.common import chunks, sealed, texts
 from cellweave.llm.ftrl import Sparse, Weights, train
 from cellweave.llm.words import mix, words
 
@@ -73,6 +73,8 @@ def fit(labelled: DataFrame, *, max_rows: int = MAX_ROWS, shards: int = 1, epoch
 def score(docs: DataFrame, weights: Weights, *, keep: list[str], text: str = "text", most_chars: int = 2_000_000) -> DataFrame:
     """The ``keep`` columns of ``docs`` and ``score``, the probability that the whole text is toxic."""
     sent = docs.sparkSession.sparkContext.broadcast(weights)
+    hidden, shown, schema = sealed(docs, keep, ("score",))
+    names = [f"_k{i}" for i in range(len(keep))]
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         w = sent.value
@@ -80,8 +82,7 @@ def score(docs: DataFrame, weights: Weights, *, keep: list[str], text: str = "te
             x = features(texts(frame["_text"]))
             known = np.isin(x.key & np.uint64(0xFFFF), np.unique(w.key & np.uint64(0xFFFF)), kind="table") if len(w.key) else np.zeros(len(x.key), bool)
             hits = _once(Sparse(x.row[known], x.key[known], x.value[known], x.n))
-            yield frame[keep].assign(score=w.scores(hits))
+            yield frame[names].assign(score=w.scores(hits))
 
-    rows = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + ", score double"
-    return rows.mapInPandas(scored, schema)
+    rows = docs.select(*hidden, F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    return rows.mapInPandas(scored, f"{schema}, score double").select(*shown, "score")

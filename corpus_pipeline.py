@@ -36,9 +36,9 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixed_by_source(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Whole documents as often as the mix takes them, in order of training. Documents without id come once, at the end."""
-    shares = mixing.mixed(docs.where("doc_id is not null")).where("copies > 0").select("doc_id", F.explode("positions").alias("_at"))
-    rows = docs.join(shares, "doc_id").select(*docs.columns, "_at").union(docs.where("doc_id is null").withColumn("_at", F.lit(2.0)))
-    return rows.repartitionByRange("_at", "doc_id").sortWithinPartitions("_at", "doc_id").drop("_at")
+    shares = mixing.mixed(docs.where("doc_id is not null")).where("copies > 0").select("doc_id", F.explode("positions").alias("_cellweave_at"))
+    rows = docs.join(shares, "doc_id").select(*docs.columns, "_cellweave_at").union(docs.where("doc_id is null").withColumn("_cellweave_at", F.lit(2.0)))
+    return rows.repartitionByRange("_cellweave_at", "doc_id").sortWithinPartitions("_cellweave_at", "doc_id").drop("_cellweave_at")
 
 
 def in_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
