@@ -4,46 +4,51 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from cellweave.functions import distributions as d
 
 
-@pandas_udf("double")
+def _pair(a: str, b: str) -> T.StructType:
+    return T.StructType([T.StructField(a, T.DoubleType()), T.StructField(b, T.DoubleType())])
+
+
+@pandas_udf(T.DoubleType())
 def nb_upper(y: pd.Series, mu: pd.Series, phi: pd.Series) -> pd.Series:
     """P(Y >= y)."""
     return pd.Series(d.nb_sf(y.to_numpy(float) - 1, mu.to_numpy(float), phi.to_numpy(float)))
 
 
-@pandas_udf("double")
+@pandas_udf(T.DoubleType())
 def poisson_upper(y: pd.Series, mu: pd.Series) -> pd.Series:
     """P(Y >= y)."""
     return pd.Series(d.poisson_sf(y.to_numpy(float) - 1, mu.to_numpy(float)))
 
 
-@pandas_udf("double")
+@pandas_udf(T.DoubleType())
 def normal_two_sided(z: pd.Series) -> pd.Series:
     return pd.Series(2 * d.normal_sf(np.abs(z.to_numpy(float))))
 
 
-@pandas_udf("double")
+@pandas_udf(T.DoubleType())
 def chi2_upper(x: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(d.chi2_sf(x.to_numpy(float), df.to_numpy(float)))
 
 
-@pandas_udf("low double, high double")
+@pandas_udf(_pair("low", "high"))
 def poisson_interval(y: pd.Series) -> pd.DataFrame:
     low, high = d.garwood(y.to_numpy(float))
     return pd.DataFrame({"low": low, "high": high})
 
 
-@pandas_udf("low double, high double")
+@pandas_udf(_pair("low", "high"))
 def share_interval(k: pd.Series, n: pd.Series) -> pd.DataFrame:
     low, high = d.clopper_pearson(k.to_numpy(float), n.to_numpy(float))
     return pd.DataFrame({"low": low, "high": high})
 
 
-@pandas_udf("u double, z double")
+@pandas_udf(_pair("u", "z"))
 def randomised_pit(y: pd.Series, mu: pd.Series, phi: pd.Series, v: pd.Series) -> pd.DataFrame:
     """u = F(y - 1) + v p(y), and z from the nearer tail."""
     a, m, f, r = (s.to_numpy(float) for s in (y, mu, phi, v))
@@ -54,7 +59,7 @@ def randomised_pit(y: pd.Series, mu: pd.Series, phi: pd.Series, v: pd.Series) ->
     return pd.DataFrame({"u": u, "z": np.where(u > 0.5, d.normal_isf(np.clip(upper, 1e-300, 0.5)), -d.normal_isf(np.clip(u, 1e-300, 0.5)))})
 
 
-@pandas_udf("long")
+@pandas_udf(T.LongType())
 def nb_threshold(mu: pd.Series, phi: pd.Series, tail: pd.Series) -> pd.Series:
     """The least k with P(Y >= k) <= tail, by doubling and bisection."""
     m, f, t = (s.to_numpy(float) for s in (mu, phi, tail))
