@@ -14,6 +14,8 @@ ordered by id, piece and hash, so equal rows may trade places. An empty table gi
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -32,31 +34,61 @@ VOCABULARY = "word_bpe_49k.json"
 class Encoder:
     """Token ids of whole texts as little-endian unsigned 32-bit bytes.
 
-    The tokenizer never joins what white space parts, so the parts between ASCII white space are encoded once and kept,
-    at most ``most`` of them. ASCII letters are folded first (the tokenizer folds all letters), but not in parts that
-    may hold a special token.
+    The tokenizer never joins what white space parts, nor a letter and the stop or comma after it, so these parts are
+    encoded once and kept. Two generations of at most ``most`` parts are held: when the younger is full it becomes the
+    older, and what isn't met again is forgotten. Parts of ASCII letters alone are encoded together, told apart by the
+    mark that their last tokens have. ASCII letters are folded first (the tokenizer folds all letters), but not in
+    texts that may hold a special token.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
-        import os
+    _STOP = re.compile(rb"(?<=[a-z])(?=[.,!?;:#$%&*|])")
 
+    def __init__(self, path: str, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def _parts(self, text: str) -> list[bytes]:
+        raw = text.encode("utf-8", "replace")
+        if b"<|" in raw:
+            return raw.split()
+        return self._STOP.sub(b" ", raw.lower()).split()
+
+    def _learn(self, fresh: list[bytes]) -> None:
+        plain = [p for p in fresh if p.isalpha()]
+        if plain:
+            ids = np.array(self.tokenizer.encode(b" ".join(plain).decode(), add_special_tokens=False).ids, "<u4")
+            last = np.flatnonzero(self.ends[ids]) + 1
+            if len(last) == len(plain):
+                raw, begin = ids.tobytes(), 0
+                for p, end in zip(plain, (4 * last).tolist()):
+                    self.known[p] = raw[begin:end]
+                    begin = end
+        rest = [p for p in fresh if p not in self.known]
+        for p, e in zip(rest, self.tokenizer.encode_batch_fast([x.decode("utf-8") for x in rest], add_special_tokens=False)):
+            self.known[p] = np.array(e.ids, "<u4").tobytes()
 
     def encode(self, items: list[str]) -> list[bytes]:
-        parts = [(x if b"<|" in x else x.lower()).split() for x in (t.encode("utf-8", "replace") for t in items)]
-        known = self.known
-        fresh = list({p for each in parts for p in each if p not in known})
-        if len(known) + len(fresh) > self.most:
-            known.clear()
-            fresh = list({p for each in parts for p in each})
+        parts = [self._parts(t) for t in items]
+        if len(self.known) > self.most:
+            self.known, self.older = {}, self.known
+        fresh = []
+        for p in set().union(*parts):
+            if p not in self.known:
+                if p in self.older:
+                    self.known[p] = self.older[p]
+                else:
+                    fresh.append(p)
+        fresh.sort()
         for at in range(0, len(fresh), 20_000):
-            some = fresh[at : at + 20_000]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast([x.decode("utf-8") for x in some], add_special_tokens=False)):
-                known[p] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join([known[p] for p in each]) for each in parts]
+            self._learn(fresh[at : at + 20_000])
+        return [b"".join(map(self.known.__getitem__, each)) for each in parts]
 
 
 _encoders: dict[str, Encoder] = {}
