@@ -109,9 +109,10 @@ def dictionary(parsed: DataFrame) -> DataFrame:
     phrase, context = W.partitionBy("core"), W.partitionBy("core", "context")
     counted = parsed.select("*", F.sum("n").over(phrase).alias("all"), F.sum("n").over(context).alias("m"), F.row_number().over(context.orderBy("key", "at")).alias("nth")).where("all > 1")
     marked = counted.withColumn("ends", F.max(F.when(F.col("m") == 1, 1).otherwise(0)).over(phrase))
-    marked = marked.select("key", "at", "keys", "ats", (F.col("m") > 1).alias("whole"), ((F.col("ends") == 1) & (F.col("nth") == 1)).alias("look"))
-    more = marked.where("keys is not null").select(F.explode(F.arrays_zip("keys", "ats")).alias("x"))
-    return marked.select("key", "at", "whole", "look").union(more.select("x.keys", "x.ats", F.lit(True), F.lit(False)))
+    own = F.struct("key", "at", (F.col("m") > 1).alias("whole"), ((F.col("ends") == 1) & (F.col("nth") == 1)).alias("look"))
+    more = F.transform(F.arrays_zip("keys", "ats"), lambda x: F.struct(x["keys"].alias("key"), x["ats"].alias("at"), F.lit(True).alias("whole"), F.lit(False).alias("look")))
+    all = F.when(F.col("keys").isNull(), F.array(own)).otherwise(F.concat(F.array(own), more))
+    return marked.select(F.inline(all))
 
 
 def windows(rows: DataFrame, look: DataFrame, most_chars: int) -> DataFrame:
