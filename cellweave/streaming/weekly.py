@@ -7,11 +7,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from cellweave.functions.cells import epi_week
 
 
-def weekly(stream: DataFrame, *, time: str = "ts", keys: tuple[str, ...] = ("event_type",), late: str = "14 days") -> DataFrame:
-    """Counts by key and epidemiological week (Sunday to Saturday); a week closes once ``late`` has passed since its end."""
+def weekly(stream: DataFrame, *, time: str = "ts", keys: tuple[str, ...] = ("event_type",), late: str | None = "14 days") -> DataFrame:
+    """Counts by key and epidemiological week (Sunday to Saturday); a week closes once ``late`` has passed since its end.
+
+    ``late`` is None for a stream that has its watermark already.
+    """
     # windows of 7 days start on Thursdays (1970-01-01), so Sundays are three days on
     week = F.window(time, "7 days", startTime="3 days")
-    counted = stream.withWatermark(time, late).groupBy(*keys, week.alias("w")).agg(F.count("*").alias("y"))
+    counted = (stream.withWatermark(time, late) if late else stream).groupBy(*keys, week.alias("w")).agg(F.count("*").alias("y"))
     year, number = epi_week(F.to_date("w.start"))
     return counted.select(*keys, F.to_date("w.start").alias("week_start"), year.alias("epi_year"), number.alias("week"), "y")
 
