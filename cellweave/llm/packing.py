@@ -34,16 +34,18 @@ VOCABULARY = "word_bpe_49k.json"
 class Encoder:
     """Token ids of whole texts as little-endian unsigned 32-bit bytes.
 
-    The tokenizer never joins what white space parts, nor a letter and the stop or comma after it, so these parts are
-    encoded once and kept. Two generations of at most ``most`` parts are held: when the younger is full it becomes the
-    older, and what isn't met again is forgotten. Parts of ASCII letters alone are encoded together, told apart by the
-    mark that their last tokens have. ASCII letters are folded first (the tokenizer folds all letters), but not in
-    texts that may hold a special token.
+    The tokenizer never joins what white space parts, so the parts between ASCII white space are encoded once and kept;
+    nor does it join a letter and the stops after it, so a word with stops is put together of both. Two generations of
+    about ``most`` parts are held: when the younger is full it becomes the older, and what isn't met again is forgotten.
+    Words of plain letters are encoded together, told apart by the mark that their last tokens have. ASCII letters are
+    folded first (the tokenizer folds all letters), but not in texts that may hold a special token.
     """
 
-    _STOP = re.compile(rb"(?<=[a-z])(?=[.,!?;:#$%&*|])")
+    _STOPS = b".,!?;:#$%&*|"
+    #: ASCII and Latin-1 letters, whose lower case is one letter too.
+    _WORD = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -54,14 +56,8 @@ class Encoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
-    def _parts(self, text: str) -> list[bytes]:
-        raw = text.encode("utf-8", "replace")
-        if b"<|" in raw:
-            return raw.split()
-        return self._STOP.sub(b" ", raw.lower()).split()
-
     def _learn(self, fresh: list[bytes]) -> None:
-        plain = [p for p in fresh if p.isalpha()]
+        plain = [p for p in fresh if self._WORD.fullmatch(p)]
         if plain:
             ids = np.array(self.tokenizer.encode(b" ".join(plain).decode(), add_special_tokens=False).ids, "<u4")
             last = np.flatnonzero(self.ends[ids]) + 1
@@ -74,27 +70,43 @@ class Encoder:
         for p, e in zip(rest, self.tokenizer.encode_batch_fast([x.decode("utf-8") for x in rest], add_special_tokens=False)):
             self.known[p] = np.array(e.ids, "<u4").tobytes()
 
+    def _recall(self, parts: set[bytes]) -> list[bytes]:
+        """Those of the parts that aren't known; what only the older generation knows is taken over."""
+        fresh = []
+        for p in parts.difference(self.known):
+            if (ids := self.older.get(p)) is not None:
+                self.known[p] = ids
+            else:
+                fresh.append(p)
+        return fresh
+
     def encode(self, items: list[str]) -> list[bytes]:
-        parts = [self._parts(t) for t in items]
+        raw = [t.encode("utf-8", "replace") for t in items]
+        parts = [(x if b"<|" in x else x.lower()).split() for x in raw]
         if len(self.known) > self.most:
             self.known, self.older = {}, self.known
-        fresh = []
-        for p in set().union(*parts):
-            if p not in self.known:
-                if p in self.older:
-                    self.known[p] = self.older[p]
-                else:
-                    fresh.append(p)
-        fresh.sort()
+        whole, stopped = set(), []
+        for p in self._recall(set().union(*parts)):
+            word = p.rstrip(self._STOPS)
+            if len(word) < len(p) and self._WORD.fullmatch(word):
+                stopped.append((p, word, p[len(word) :]))
+                whole.add(word)
+                whole.add(stopped[-1][2])
+            else:
+                whole.add(p)
+        fresh = sorted(self._recall(whole))
         for at in range(0, len(fresh), 20_000):
             self._learn(fresh[at : at + 20_000])
-        return [b"".join(map(self.known.__getitem__, each)) for each in parts]
+        known = self.known
+        for p, word, stops in stopped:
+            known[p] = known[word] + known[stops]
+        return [b"".join(map(known.__getitem__, each)) for each in parts]
 
 
 _encoders: dict[str, Encoder] = {}
 
 
-def pieces(docs: DataFrame, path: str, *, id: str, text: str, capacity: int = CAPACITY, end: int = END, most_chars: int = 3_000_000) -> DataFrame:
+def pieces(docs: DataFrame, path: str, *, id: str, text: str, capacity: int = CAPACITY, end: int = END, most_chars: int = 4_000_000) -> DataFrame:
     """(id, piece, start, length, ids_crc32): each document's ids and the end token, cut every ``capacity`` tokens."""
     tail = np.array([end], "<u4").tobytes()
 
