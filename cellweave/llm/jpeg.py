@@ -20,10 +20,10 @@ import numpy as np
 
 #: Blocks of a scan of one component, or units of an interleaved one, between restart markers.
 INTERVAL = 8
-#: Point transform: how many low bits the first scans leave to the refinements.
+#: Point transform of DC: how many low bits its first scan leaves to a refinement.
 LOW = 1
-#: Spectral bands of the first scans of each component.
-BANDS = ((1, 20), (21, 63))
+#: Spectral bands of each component: first and last coefficient, and the low bits left to a refinement.
+BANDS = ((1, 14, 1), (15, 63, 0))
 
 
 def zigzag() -> np.ndarray:
@@ -89,23 +89,31 @@ def huffman(weights: dict[int, float]) -> Huffman:
 
 
 @cache
-def tables() -> tuple[Huffman, Huffman, Huffman]:
-    """For DC categories, first AC scans, AC refinements: by a rule that suits coefficients that are text."""
+def tables() -> tuple[Huffman, Huffman, Huffman, Huffman]:
+    """For DC categories, AC scans that leave a bit to refine, refinements, and AC scans that leave none.
+
+    The weights follow a rule that suits coefficients that are text: small letters mostly, and one space in seven.
+    """
     dc = huffman({s: 2.0 ** -abs(s - 4) for s in range(12)})
-    size = {s: 2.0 ** (-abs(s - 2.5) if s < 6 else -2.0 if s == 6 else -s) for s in range(1, 11)}
-    first = huffman({r << 4 | s: 4.0**-r * w for r in range(16) for s, w in size.items()} | {r << 4: 0.05 * 8.0**-r for r in range(15)} | {0xF0: 2.0**-9})
+    ends = {r << 4: 0.05 * 8.0**-r for r in range(15)} | {0xF0: 2.0**-9}
+    near = lambda middle, space: {s: 0.5 if s == space else 2.0 ** -abs(s - middle) for s in range(1, 11)}
+    first, whole = (huffman({r << 4 | s: 4.0**-r * w for r in range(16) for s, w in near(m, k).items()} | ends) for m, k in ((2.5, 6), (3.5, 7)))
     refine = huffman({r << 4 | 1: 2.0 ** -(r / 2) for r in range(16)} | {r << 4: 0.5 * 8.0**-r for r in range(15)} | {0xF0: 2.0**-7})
-    return dc, first, refine
+    return dc, first, refine, whole
+
+
+#: Bits of each magnitude.
+_SIZE = np.frexp(np.arange(1 << 15, dtype=np.float32))[1].astype(np.int32)
 
 
 def sizes(x: np.ndarray) -> np.ndarray:
     """Bits of each magnitude."""
-    return np.frexp(np.abs(x).astype(np.float32))[1].astype(np.int64)
+    return _SIZE[np.abs(x)]
 
 
 def extra(x: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The bits that follow a category: the value, or for negative ones the value less one, cut."""
-    return np.where(x < 0, x - 1, x) & ((1 << size) - 1)
+    return (x - (x < 0)) & ((1 << size) - 1)
 
 
 # --- writing
@@ -114,7 +122,7 @@ def extra(x: np.ndarray, size: np.ndarray) -> np.ndarray:
 def pack(bits: np.ndarray, length: np.ndarray, segment: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of n segments of bit strings (each at most 63 long, in order) and each segment's size, ends filled with ones."""
     used = np.flatnonzero(length)
-    bits, length, segment = bits[used].view(np.uint64), length[used], segment[used]
+    bits, length, segment = bits[used].astype(np.uint64), length[used], segment[used]
     reached = np.concatenate([[0], np.cumsum(length)])
     total = np.diff(reached[np.searchsorted(segment, np.arange(n + 1))])
     size = (total + 7) >> 3
@@ -152,17 +160,19 @@ def dc_first(dc: np.ndarray, segment: np.ndarray, part: np.ndarray) -> tuple[np.
     return table.code[s] << s | extra(diff, s), table.length[s] + s
 
 
-def ac_first(x: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+def ac_first(x: np.ndarray, low: int, high: int, bit: int) -> tuple[np.ndarray, np.ndarray]:
     """For each block (rows) the bit strings of its band: one for each coefficient, and an end where zeros trail."""
-    table = tables()[1]
+    table = tables()[1 if bit else 3]
     band = x[:, low : high + 1]
-    t = np.sign(band) * (np.abs(band) >> LOW)
+    t = np.sign(band) * (np.abs(band) >> bit) if bit else band
     some = t != 0
-    k = np.arange(t.shape[1])
-    seen = np.maximum.accumulate(np.where(some, k, -1), 1)
-    run = k - 1 - np.concatenate([np.full((len(t), 1), -1), seen[:, :-1]], 1)
+    k = np.arange(t.shape[1], dtype=np.int8)
+    seen = np.maximum.accumulate(np.where(some, k, np.int8(-1)), 1)
+    run = np.empty_like(seen)
+    run[:, 0] = 0
+    run[:, 1:] = k[1:] - 1 - seen[:, :-1]
     s = sizes(t)
-    symbol = np.where(some, (run & 15) << 4 | s, 0)
+    symbol = (run & 15) << 4 | s
     bits, length = table.code[symbol] << s | extra(t, s), table.length[symbol] + s
     long = some & (run > 15)
     if long.any():
@@ -172,15 +182,18 @@ def ac_first(x: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray
             more = some & (run >= 16 * k)
             bits[more] |= zrl << length[more]
             length[more] += n
-    length[~some] = 0
-    ends = (seen[:, -1:] < t.shape[1] - 1).astype(np.int64)
-    return np.concatenate([bits, np.full((len(t), 1), table.code[0])], 1), np.concatenate([length, ends * table.length[0]], 1)
+    length *= some
+    ends = seen[:, -1] < t.shape[1] - 1
+    out_bits, out_length = (np.empty((len(t), t.shape[1] + 1), np.int64) for _ in range(2))
+    out_bits[:, :-1], out_length[:, :-1] = bits, length
+    out_bits[:, -1], out_length[:, -1] = table.code[0], ends * table.length[0]
+    return out_bits, out_length
 
 
-def ac_refine(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each block the bit strings of its AC coefficients' last bit: symbols where an interval begins, then corrections."""
+def ac_refine(x: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each block the bit strings of its band's last bit: symbols where an interval begins, then corrections."""
     table = tables()[2]
-    v = x[:, 1:]
+    v = x[:, low : high + 1]
     size = np.abs(v)
     known, new = size > 1, size == 1
     zero = size == 0
@@ -243,8 +256,8 @@ def _order_of(r: int, c: int, interleaved: bool) -> tuple[np.ndarray, np.ndarray
 def _scans() -> list[tuple[tuple[int, ...], int, int, int, int]]:
     """Components, first and last coefficient, high and low bit of each scan, in order."""
     out = [((0, 1, 2), 0, 0, 0, LOW)]
-    out += [((c,), low, high, 0, LOW) for low, high in BANDS for c in range(3)]
-    return out + [((0, 1, 2), 0, 0, LOW, 0)] + [((c,), 1, 63, LOW, 0) for c in range(3)]
+    out += [((c,), low, high, 0, bit) for low, high, bit in BANDS for c in range(3)]
+    return out + [((0, 1, 2), 0, 0, LOW, 0)] + [((c,), low, high, bit, 0) for low, high, bit in BANDS if bit for c in range(3)]
 
 
 def _marker(code: int, body: bytes) -> bytes:
@@ -254,23 +267,24 @@ def _marker(code: int, body: bytes) -> bytes:
 def write(coefficients: np.ndarray, shapes: list[tuple[int, int]], comments: list[bytes]) -> list[bytes]:
     """Files of the blocks (zigzag order, one row each) of images with these rows and columns of units."""
     shapes = np.array(shapes)
-    x = coefficients.astype(np.int64)
+    x = coefficients.astype(np.int32)
     mixed, single = _order(shapes, True), _order(shapes, False)
-    coded = []
+    coded = {}
 
-    def scan(order, bits, length):
+    def scan(key, order, bits, length):
         _, _, segment, file = order
         per = length.shape[1] if length.ndim > 1 else 1
         data, size = pack(bits.ravel(), length.ravel(), np.repeat(segment, per), len(file))
-        coded.append(_stuffed(data, size))
-
-    scan(mixed, *dc_first(x[mixed[0], 0], mixed[2], mixed[1]))
-    for low, high in BANDS:
-        scan(single, *ac_first(x, low, high))
-    scan(mixed, (x[mixed[0], :1] & 1), np.ones((len(x), 1), np.int64))
-    scan(single, *ac_refine(x))
+        coded[key] = _stuffed(data, size)
+
+    scan((0, 0), mixed, *dc_first(x[mixed[0], 0], mixed[2], mixed[1]))
+    scan((0, LOW), mixed, (x[mixed[0], :1] & 1), np.ones((len(x), 1), np.int64))
+    for low, high, bit in BANDS:
+        scan((low, 0), single, *ac_first(x, low, high, bit))
+        if bit:
+            scan((low, bit), single, *ac_refine(x, low, high))
     head = _marker(0xDB, bytes(1) + bytes([1] * 64))
-    dht = b"".join(_marker(0xC4, bytes([where]) + bytes(t.count) + bytes(t.symbol)) for where, t in zip((0x00, 0x10, 0x11), tables()))
+    dht = b"".join(_marker(0xC4, bytes([where]) + bytes(t.count) + bytes(t.symbol)) for where, t in zip((0x00, 0x10, 0x11, 0x12), tables()))
     dri = _marker(0xDD, struct.pack(">H", INTERVAL))
     segments_of = [np.searchsorted(o[3], np.arange(len(shapes) + 1)) for o in (mixed, single)]
     out = []
@@ -279,15 +293,14 @@ def write(coefficients: np.ndarray, shapes: list[tuple[int, int]], comments: lis
         counts = [-(-4 * n // INTERVAL), -(-n // INTERVAL), -(-n // INTERVAL)]
         parts = [b"\xff\xd8", _marker(0xFE, comments[f]), head, _marker(0xC2, struct.pack(">BHHB", 8, 16 * int(r), 16 * int(c), 3) + bytes([1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0])), dht, dri]
         for comps, low, high, hi, lo in _scans():
-            which = {(0, 0): 0, (0, LOW): 3}.get((low, hi)) if not high else (4 if hi else 1 + [b[0] for b in BANDS].index(low))
-            pieces = coded[which]
+            pieces = coded[low, hi]
             start = segments_of[0 if not high else 1][f]
             if high:
                 start += sum(counts[: comps[0]])
                 end = start + counts[comps[0]]
             else:
                 end = segments_of[0][f + 1]
-            table = 0 if not high else (1 if hi else 0)
+            table = 0 if not high else 1 if hi else 0 if lo else 2
             parts.append(_marker(0xDA, bytes([len(comps)]) + b"".join(bytes([k + 1, table]) for k in comps) + bytes([low, high, hi << 4 | lo])))
             for m, piece in enumerate(pieces[start:end]):
                 if m:
@@ -514,6 +527,10 @@ def read_ac_refine(bits: Bits, first: np.ndarray, count: np.ndarray, scan: Scan,
                     ended[ends] = True
             value = flat[base + k]
             known = np.flatnonzero(value)
+            if len(known) == len(who):
+                up = (bits.one(who) > 0) & ((np.abs(value) & plus) == 0)
+                flat[base + k] = value + np.sign(value) * (up * plus).astype(np.int16)
+                continue
             if len(known):
                 fix = bits.one(who[known]) > 0
                 v = value[known]
@@ -588,16 +605,22 @@ def basis() -> np.ndarray:
 
 
 def rgb(coefficients: np.ndarray, parsed: Parsed) -> np.ndarray:
-    """The full-resolution image (height, width, 3) of one file: inverse transform, chroma upsampled, clipped."""
-    # the small shift rounds exact halves alike whatever the order of summation; whole pixels of positive numbers are cut
-    pixels = np.floor((coefficients * parsed.quantiser).astype(np.float32) @ basis() + np.float32(128.501))
+    """The full-resolution image (3, height, width) of one file: inverse transform, chroma upsampled, clipped."""
+    x = coefficients.astype(np.float32)
+    if (parsed.quantiser != 1).any():
+        x *= parsed.quantiser.astype(np.float32)
+    # the small shift rounds exact halves alike whatever the order of summation
+    pixels = x @ basis()
+    pixels += np.float32(128.501)
+    np.floor(pixels, out=pixels)
     r, c = parsed.rows, parsed.columns
     plane = lambda b, r, c: b.reshape(r, c, 8, 8).swapaxes(1, 2).reshape(8 * r, 8 * c)
-    y = plane(pixels[: 4 * r * c], 2 * r, 2 * c)
-    cb, cr = (plane(pixels[k * r * c : (k + 1) * r * c], r, c) - 128 for k in (4, 5))
-    out = np.empty((16 * r, 16 * c, 3), np.float32)
-    for k, more in enumerate((1.402 * cr, -0.344136 * cb - 0.714136 * cr, 1.772 * cb)):
-        out[..., k] = y + more.repeat(2, 0).repeat(2, 1)
-    out += np.float32(0.501)
-    np.clip(out, 0, 255, out=out)
-    return out.astype(np.uint8)
+    y = plane(pixels[: 4 * r * c], 2 * r, 2 * c).reshape(8 * r, 2, 8 * c, 2)
+    y += np.float32(0.501)
+    cb, cr = (plane(pixels[k * r * c : (k + 1) * r * c], r, c) - np.float32(128) for k in (4, 5))
+    out = np.empty((3, 16 * r, 16 * c), np.uint8)
+    for k, more in enumerate((np.float32(1.402) * cr, np.float32(-0.344136) * cb - np.float32(0.714136) * cr, np.float32(1.772) * cb)):
+        channel = y + more[:, None, :, None]
+        np.clip(channel, 0, 255, out=channel)
+        out[k] = channel.reshape(16 * r, 16 * c)
+    return out

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from cellweave.llm import jpeg
-from cellweave.llm.common import chunks, texts
+from cellweave.llm.common import chunks, sealed, texts
 
 LEVEL = 108
 
@@ -53,25 +53,26 @@ def decode(files: list[bytes]) -> Iterator[tuple[bytes, np.ndarray]]:
 
 
 def features(tensor: np.ndarray) -> str:
-    """Mean of each channel and shares of dark, middle and bright pixels, from whole numbers alone."""
-    n = tensor.shape[0] * tensor.shape[1]
-    means = tensor.reshape(-1, 3).sum(0, dtype=np.int64) / n
-    light = np.bincount(tensor[..., 1].ravel() >> 6, minlength=4) / n
+    """Mean of each channel and shares of pixels at or above three levels of green, from whole numbers alone."""
+    n = tensor.shape[1] * tensor.shape[2]
+    means = tensor.reshape(3, -1).sum(1, dtype=np.int64) / n
+    light = [np.count_nonzero(tensor[1] >= level) / n for level in (64, 128, 192)]
     return ":".join(f"{v:.4f}" for v in [*means, *light])
 
 
 def stored(docs: DataFrame, *, text: str = "text", keep: list[str], tensors: bool = False, most_chars: int = 2_000_000) -> DataFrame:
     """``keep``, ``media`` (the stored file), and what reading it back gives: ``payload``, ``height``, ``width``,
-    ``feature`` and with ``tensors`` the RGB bytes, row by row."""
+    ``feature`` and with ``tensors`` the RGB bytes, channel by channel, row by row."""
+    made = ["media", "payload", "height", "width", "feature"] + ["rgb"] * tensors
+    hidden, shown, schema = sealed(docs, keep, tuple(made))
+    names = [f"_k{i}" for i in range(len(keep))]
 
     def store(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in chunks(batches, "_text", most_chars):
             files = encode(payloads([x.encode("utf-8", "replace") for x in texts(frame["_text"])]))
-            out = [(payload, t.shape[0], t.shape[1], features(t), *([t.tobytes()] if tensors else [])) for payload, t in decode(files)]
-            cols = ["payload", "height", "width", "feature"] + ["rgb"] * tensors
-            made = pd.DataFrame(out, columns=cols, index=frame.index)
-            yield pd.concat([frame[keep].assign(media=files), made], axis=1)
-
-    rows = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return rows.mapInPandas(store, schema + ", media binary, payload binary, height int, width int, feature string" + ", rgb binary" * tensors)
+            out = [(payload, t.shape[1], t.shape[2], features(t), *([t.tobytes()] if tensors else [])) for payload, t in decode(files)]
+            yield pd.concat([frame[names].assign(media=files), pd.DataFrame(out, columns=made[1:], index=frame.index)], axis=1)
+
+    rows = docs.select(*hidden, F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    out = rows.mapInPandas(store, schema + ", media binary, payload binary, height int, width int, feature string" + ", rgb binary" * tensors)
+    return out.select(*shown, *made)
