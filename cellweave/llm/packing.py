@@ -26,6 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from cellweave.llm.common import chunks, staged, texts
+from cellweave.llm.words import prefix_sums, stretch
 
 CAPACITY, END = 4096, 1
 VOCABULARY = "word_bpe_49k.json"
@@ -42,6 +43,7 @@ class Encoder:
     """
 
     _STOPS = b".,!?;:#$%&*|"
+    _SPACE = np.isin(np.arange(256), np.frombuffer(b" \t\n\r\x0b\x0c", np.uint8))
     #: ASCII and Latin-1 letters, whose lower case is one letter too.
     _WORD = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 
@@ -80,13 +82,12 @@ class Encoder:
                 fresh.append(p)
         return fresh
 
-    def encode(self, items: list[str]) -> list[bytes]:
-        raw = [t.encode("utf-8", "replace") for t in items]
-        parts = [(x if b"<|" in x else x.lower()).split() for x in raw]
+    def _of(self, parts: list[bytes]) -> list[bytes]:
+        """The ids of distinct parts."""
         if len(self.known) > self.most:
             self.known, self.older = {}, self.known
         whole, stopped = set(), []
-        for p in self._recall(set().union(*parts)):
+        for p in self._recall(set(parts)):
             word = p.rstrip(self._STOPS)
             if len(word) < len(p) and self._WORD.fullmatch(word):
                 stopped.append((p, word, p[len(word) :]))
@@ -100,13 +101,33 @@ class Encoder:
         known = self.known
         for p, word, stops in stopped:
             known[p] = known[word] + known[stops]
-        return [b"".join(map(known.__getitem__, each)) for each in parts]
+        return list(map(known.__getitem__, parts))
+
+    def encode(self, items: list[str]) -> list[bytes]:
+        """Parts are told apart by a 64-bit hash, so that each distinct one of these texts is looked up once."""
+        raw = [x if b"<|" in x else x.lower() for x in (t.encode("utf-8", "replace") for t in items)]
+        joined = b" ".join(raw) + b" "
+        data = np.frombuffer(joined, np.uint8)
+        inside = np.zeros(len(data) + 1, bool)
+        inside[1:] = ~self._SPACE[data]
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        start, end = edges[::2], edges[1::2]
+        _, first, which = np.unique(stretch(prefix_sums(data), start, end), return_index=True, return_inverse=True)
+        ids = self._of([joined[a:b] for a, b in zip(start[first].tolist(), end[first].tolist())])
+        size = np.array([len(x) // 4 for x in ids], np.int64)
+        begin = np.cumsum(size) - size
+        count = size[which]
+        reached = np.concatenate([[0], np.cumsum(count)])
+        out = np.frombuffer(b"".join(ids), "<u4")[np.repeat(begin[which] - reached[:-1], count) + np.arange(reached[-1])]
+        texts = np.cumsum([0] + [len(x) + 1 for x in raw])
+        bounds = reached[np.searchsorted(start, texts)].tolist()
+        return [out[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
 
 
 _encoders: dict[str, Encoder] = {}
 
 
-def pieces(docs: DataFrame, path: str, *, id: str, text: str, capacity: int = CAPACITY, end: int = END, most_chars: int = 4_000_000) -> DataFrame:
+def pieces(docs: DataFrame, path: str, *, id: str, text: str, capacity: int = CAPACITY, end: int = END, most_chars: int = 3_000_000) -> DataFrame:
     """(id, piece, start, length, ids_crc32): each document's ids and the end token, cut every ``capacity`` tokens."""
     tail = np.array([end], "<u4").tobytes()
 
