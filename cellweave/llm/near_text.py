@@ -185,20 +185,24 @@ def _links(sets: list[np.ndarray], node: np.ndarray, copies: np.ndarray, own: np
     return out + [(int(node[i]), int(node[label[i]]), 0) for i in range(m) if label[i] != i]
 
 
-def classes(docs: DataFrame, *, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, trees: int = 16, depth: int = 6, recall: float = 0.9995, block: int = 1000) -> DataFrame:
+def classes(docs: DataFrame, *, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, trees: int = 16, depth: int = 6, recall: float = 0.9995, block: int = 1000, words_each: int = 1000) -> DataFrame:
     """(id, class_id, n_links) for each row of ``docs``.
 
     class_id: the least id that links reach, itself included; n_links: the documents that it is linked with directly.
+    A block of a component holds about ``block`` texts, and about ``block`` times ``words_each`` words.
     """
     prefix = prefix_length(trees, depth, similarity, recall)
     rows = staged(signed(docs, id=id, text=text, trees=trees, depth=depth, shingle=shingle), "signed")
     worded = rows.where("n_words > 0 and id is not null")
-    once = worded.groupBy("h1", "h2").agg(F.min("id").alias("least"), F.count_distinct("id").alias("copies"), F.first("sig").alias("sig"))
+    once = worded.groupBy("h1", "h2").agg(F.min("id").alias("least"), F.count_distinct("id").alias("copies"), F.first("n_words").alias("n_words"), F.first("sig").alias("sig"))
     distinct = staged(once, "distinct")
     edges = candidate_edges(distinct, trees=trees, depth=depth, prefix=prefix, similarity=similarity, block=block)
     comp = components(edges)
-    sized = comp.join(comp.groupBy("root").agg(F.count("*").alias("size")), "root")
-    members = sized.withColumnRenamed("node", "h1").join(distinct.drop("sig"), "h1").select(F.col("root").alias("component"), "size", "h1", "h2", "copies", "least")
+    texts_of = comp.withColumnRenamed("node", "h1").join(distinct.drop("sig"), "h1")
+    # long texts count for several, so that a block's words are bounded as well
+    size = F.greatest(F.count("*"), F.ceil(F.sum("n_words") / F.lit(words_each)).cast("long"))
+    sized = texts_of.join(texts_of.groupBy("root").agg(size.alias("size")), "root")
+    members = sized.select(F.col("root").alias("component"), "size", "h1", "h2", "copies", "least")
     bodies = docs.select(F.col(id).cast("long").alias("least"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     found = staged(verified(members.join(bodies, "least"), shingle=shingle, similarity=similarity, block=block), "verified")
     counts = found.where("a = b").groupBy("a").agg(F.sum("n").alias("others"))
