@@ -36,6 +36,13 @@ def chi2_upper(x: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(d.chi2_sf(x.to_numpy(float), df.to_numpy(float)))
 
 
+@pandas_udf(T.DoubleType())
+def f_upper(f: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+    """P(F >= f) on a and b degrees of freedom."""
+    x, m, n = (s.to_numpy(float) for s in (f, a, b))
+    return pd.Series(d.beta_cdf(n / (n + m * np.maximum(x, 0)), n / 2, m / 2))
+
+
 @pandas_udf(_pair("low", "high"))
 def poisson_interval(y: pd.Series) -> pd.DataFrame:
     low, high = d.garwood(y.to_numpy(float))

@@ -211,6 +211,20 @@ def harmonics(cells: DataFrame) -> DataFrame:
     return cells.groupBy("u", "year").agg((F.sum(r * F.sin(a)) / 6).alias("sin"), (F.sum(r * F.cos(a)) / 6).alias("cos"), F.count("*").alias("months")).where("months = 12").drop("months")
 
 
+def season_departure(yearly: DataFrame) -> DataFrame:
+    """Each unit's own season, its years taken as random: amplitude, phase in months, F statistic and p. yearly: u, year, sin, cos.
+
+    The statistic is the mean harmonic's square over the spread between years, on 2 and 2 (years - 1) degrees of freedom.
+    """
+    from cellweave.functions.tails import f_upper
+
+    k = F.count("*")
+    size = F.avg("sin") ** 2 + F.avg("cos") ** 2
+    spread = (F.var_samp("sin") + F.var_samp("cos")) / 2
+    per = yearly.groupBy("u").agg(k.alias("years"), F.sqrt(size).alias("amplitude"), (F.atan2(F.avg("sin"), F.avg("cos")) * 6 / math.pi).alias("phase"), (k * size / (2 * spread)).alias("f"))
+    return per.where("years >= 4").withColumn("p", f_upper("f", F.lit(2.0), (2.0 * (F.col("years") - 1)).cast("double")))
+
+
 def institution_windows(cells: DataFrame, *, least: float = 27.0, ratio: float = 1.6) -> DataFrame:
     """Each facility's contiguous years of largest likelihood ratio against its constant ratio. cells: facility, year, y, mu.
 

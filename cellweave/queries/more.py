@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cellweave.operators import error_control as ec, expectation as ex, noise as no, waves as wv
-from cellweave.queries.analysis import _tests
+from cellweave.operators import departures as de, error_control as ec, expectation as ex, noise as no, waves as wv
+from cellweave.queries.analysis import _MONTHS, _tests, year_harmonics
 from cellweave.queries.base import EXPECTED, expected, governed, places, query
 from cellweave.queries.readers import _MARKS, _marked
 from cellweave.sources.records import table
@@ -114,3 +114,21 @@ def replicated_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each region's places halved, and the tests of each half adjusted on their own."""
     halved = ec.halves(_tests(spark, sf_dir), unit="u", within="region", seed="halves")
     return ec.adjusted(halved, by=("half",)).select("id", "half", r6("q_value"))
+
+
+_SEASON = f"""{_MONTHS}, h AS (SELECT u, year, round(sum(ln((y + 0.5) / (mu + 0.5)) * sin(2 * pi() * (month - 1) / 12)) / 6, 6) AS s, round(sum(ln((y + 0.5) / (mu + 0.5)) * cos(2 * pi() * (month - 1) / 12)) / 6, 6) AS c FROM mm GROUP BY ALL HAVING count(*) = 12)"""
+
+
+@query(
+    f"""WITH {_SEASON} SELECT u, count(*)::BIGINT AS years, round(sqrt(avg(s) * avg(s) + avg(c) * avg(c)), 6) AS amplitude, round(atan2(avg(s), avg(c)) * 6 / pi(), 5) AS phase,
+round(count(*) * (avg(s) * avg(s) + avg(c) * avg(c)) / (var_samp(s) + var_samp(c)), 5) AS f FROM h GROUP BY ALL HAVING count(*) >= 4"""
+)
+def season_departure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = de.season_departure(year_harmonics(spark, sf_dir))
+    return out.select("u", "years", r6("amplitude"), F.round("phase", 5).alias("phase"), F.round("f", 5).alias("f"))
+
+
+@query()
+def season_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = de.season_departure(year_harmonics(spark, sf_dir)).withColumn("id", F.col("u"))
+    return ec.bh(out, 0.1).select("u", r6("p"), "rejected")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cellweave.operators import expectation as ex, noise as no, relations as rel, waves as wv
+from cellweave.operators import departures as dep, expectation as ex, noise as no, relations as rel, waves as wv
 from cellweave.streaming import weekly as st
 
 
@@ -72,3 +72,10 @@ def test_stream_drops_repeats_and_closes_weeks(spark, tmp_path):
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
     got = st.drained(st.weekly(st.without_repeats(stream), late=None), str(tmp_path / "w")).collect()
     assert sorted((str(r.week_start), r.epi_year, r.week, r.y) for r in got) == [("2023-12-31", 2024, 1, 2), ("2024-01-07", 2024, 2, 1)]
+
+
+def test_season_of_one_unit(spark):
+    rng = np.random.default_rng(3)
+    rows = [(u, y, float((u == 1) * 0.5 + 0.1 * rng.standard_normal()), float(0.1 * rng.standard_normal())) for u in range(4) for y in range(8)]
+    got = {r.u: r for r in dep.season_departure(spark.createDataFrame(rows, "u int, year int, sin double, cos double")).collect()}
+    assert got[1].p < 1e-6 and got[1].phase == pytest.approx(3, abs=0.3) and all(got[u].p > 0.001 for u in (0, 2, 3))
