@@ -104,6 +104,17 @@ def test_weak_parts_need_their_complement(spark, text, want):
     assert sorted(sorted(s.k for s in r.spans) for r in got) == sorted([want, want, []])
 
 
+@pytest.mark.parametrize("gap", [1, 10, 199, 200, 201])
+@pytest.mark.parametrize("at", [0, 399, 400])
+def test_long_parts_before_weak_ones(spark, at, gap):
+    head, fill = "x " * (at // 2) + " " * (at % 2), " " * gap
+    texts = [f"{head}{'0123456789abcdef' * 38}{fill}user=alice", f"{head}token={'ab.' * 198}{fill}user=alice", f"{head}https://{'db.' * 80}example.com{fill}{WEAK_SECRET}"]
+    got = secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), keep=["doc_id"]).collect()
+    added = {r.doc_id: [(s.s, s.e) for s in r.spans if not s.base] for r in got}
+    last = [len("user=alice"), len("user=alice"), len(WEAK_SECRET)]
+    assert added == {i: [(len(t) - n, len(t))] if gap <= 200 else [] for i, (t, n) in enumerate(zip(texts, last))}
+
+
 def test_masking(spark):
     df = spark.createDataFrame([(1, "é token=abcdef012345678901234567 end", "en", 99), (2, None, "en", 0), (3, "clean", "en", 5)], "doc_id long, text string, spans string, n_chars long")
     got = {r.doc_id: r for r in secrets.masked(df).collect()}
