@@ -115,6 +115,15 @@ def test_long_parts_before_weak_ones(spark, at, gap):
     assert added == {i: [(len(t) - n, len(t))] if gap <= 200 else [] for i, (t, n) in enumerate(zip(texts, last))}
 
 
+@pytest.mark.parametrize("n", [128, 129, 50_000])
+def test_weak_secrets_of_any_length(spark, n):
+    blob = ("aB3" * n)[:n]
+    texts = [f"{WEAK_ID} {blob}", f"https://db.example.com {blob}", blob]
+    got = secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), keep=["doc_id"]).collect()
+    at = [len(t) - n for t in texts]
+    assert {r.doc_id: [(s.k, s.s, s.e) for s in r.spans] for r in got} == {0: [("access", 0, at[0] - 1), ("assign", at[0], at[0] + n)], 1: [("assign", at[1], at[1] + n)], 2: []}
+
+
 def test_masking(spark):
     df = spark.createDataFrame([(1, "é token=abcdef012345678901234567 end", "en", 99), (2, None, "en", 0), (3, "clean", "en", 5)], "doc_id long, text string, spans string, n_chars long")
     got = {r.doc_id: r for r in secrets.masked(df).collect()}
