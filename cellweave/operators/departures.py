@@ -72,45 +72,97 @@ def best_prefixes(cells: DataFrame, *, within: tuple[str, ...]) -> DataFrame:
     return rows.groupBy(*within).agg(F.max("score").alias("score"), F.max_by("size", F.struct("score", -F.col("size"))).alias("size"))
 
 
-def space_time(cells: DataFrame, neighbourhoods: DataFrame, *, longest: int, replicates: int, seed: int = 0) -> DataFrame:
-    """Best subset of each centre's neighbourhood and window, with a Gumbel tail of the replicates' maxima.
+def gumbel_fit(x: np.ndarray) -> tuple[float, float]:
+    """Location and scale of largest likelihood, by bisection of the scale's equation."""
+    x = np.asarray(x, float)
+    z = x - x.min()
+    low, high = 1e-12 * max(np.ptp(x), 1e-12), 10 * np.ptp(x)
+    for _ in range(200):
+        s = (low + high) / 2
+        w = np.exp(-z / s)
+        low, high = (low, s) if s - z.mean() + (z * w).sum() / w.sum() > 0 else (s, high)
+    return float(x.min() - s * np.log(np.exp(-z / s).mean())), float(s)
 
-    cells: u, year, y, mu, phi. neighbourhoods: centre, u (itself included), at most a few dozen places each. A task
-    has one centre's neighbourhood; replicate r draws the same counts in every task, so maxima over centres are those
-    of one simulated map.
+
+MIN_POSITIVE, MAX_REPLICATES, BLOCK = 20, 2000, 25
+
+
+def space_time(cells: DataFrame, neighbourhoods: DataFrame, *, longest: int = 4, replicates: int = 200, alpha: float = 0.05, most: int = 20, seed: int = 0) -> DataFrame:
+    """Best subset of each centre's neighbourhood and window, and the subsets that are reported one after the other.
+
+    cells: u, year, y, mu, phi. neighbourhoods: centre, u (itself included), at most a few dozen places each.
+    The first scan gives a row for every centre. The best of all is reported (``reported`` = 1) where its p is at most
+    ``alpha``; its cells are then expected as observed where that is more, all centres are scanned again, and so on to
+    ``most`` subsets. Those of later scans (``reported`` = 2 ...) are rows of their own.
+
+    p is (1 - pi0) times a Gumbel tail fitted to the replicates' positive maxima, pi0 the share of maxima at zero.
+    Replicates are doubled, up to MAX_REPLICATES, until MIN_POSITIVE maxima are positive; without these every p is 1.
+    A task has one centre's neighbourhood and a block of replicates; replicate r draws the same counts in every task, so
+    maxima over centres are those of one simulated map.
     """
-    joined = neighbourhoods.join(cells, "u")
-
-    def best(y: np.ndarray, m: np.ndarray, spans: list[tuple[int, int]]) -> tuple[float, int, int, np.ndarray]:
-        top = (0.0, 0, 0, np.zeros(0, int))
-        for a, b in spans:
-            sy, sm = y[:, a:b].sum(1), m[:, a:b].sum(1)
-            order = np.lexsort((np.arange(len(sy)), -sy / np.maximum(sm, 1e-12)))
-            cy, cm = np.cumsum(sy[order]), np.cumsum(sm[order])
-            score = np.where(cy > cm, cy * np.log(np.maximum(cy, 1e-12) / np.maximum(cm, 1e-12)) + cm - cy, 0)
-            k = int(score.argmax())
-            if score[k] > top[0] + 1e-12:
-                top = (float(score[k]), a, b, order[: k + 1])
-        return top
+    from cellweave.sources.scratch import staged
 
-    def scan(frame: pd.DataFrame) -> pd.DataFrame:
+    joined = staged(neighbourhoods.join(cells, "u").select(F.col("centre").cast("long"), "u", "year", F.col("y").cast("double"), F.col("mu").cast("double"), F.col("phi").cast("double")), "scan")
+
+    def table_of(frame: pd.DataFrame):
         y, m, phi = (frame.pivot(index="u", columns="year", values=v).sort_index().fillna(0.0) for v in ("y", "mu", "phi"))
-        years, places = y.columns.to_numpy(), y.index.to_numpy()
-        spans = [(a, b) for a in range(len(years)) for b in range(a + 1, min(len(years), a + longest) + 1)]
-        score, a, b, chosen = best(y.to_numpy(float), m.to_numpy(float), spans)
-        rows = [(int(frame["centre"].iat[0]), -1, score, int(years[a]), int(years[b - 1]), [int(x) for x in sorted(places[chosen])])]
-        for r in range(replicates):
-            draw = np.stack([np.random.default_rng([seed, r, int(u)]).gamma(np.maximum(f, 1e-9), 1 / np.maximum(f, 1e-9)) for u, f in zip(places, phi.to_numpy(float))])
-            counts = np.stack([np.random.default_rng([seed + 1, r, int(u)]).poisson(np.maximum(x, 0)) for u, x in zip(places, m.to_numpy(float) * draw)])
-            rows.append((int(frame["centre"].iat[0]), r, best(counts.astype(float), m.to_numpy(float), spans)[0], 0, 0, []))
-        return pd.DataFrame(rows, columns=["centre", "replicate", "score", "first", "last", "places"])
-
-    scored = joined.groupBy("centre").applyInPandas(scan, "centre long, replicate int, score double, first long, last long, places array<long>")
-    null = scored.where("replicate >= 0").groupBy("replicate").agg(F.max("score").alias("top"))
-    stats = null.agg(F.avg("top").alias("_m"), F.stddev("top").alias("_s"))
-    scale = F.greatest(F.col("_s"), F.lit(1e-9)) * math.sqrt(6) / math.pi
-    tail = 1 - F.exp(-F.exp(-(F.col("score") - (F.col("_m") - 0.5772156649 * scale)) / scale))
-    return scored.where("replicate < 0").crossJoin(stats).withColumn("p", tail).drop("replicate", "_m", "_s")  # stats is one row
+        n = len(y.columns)
+        return y, m.to_numpy(float), phi.to_numpy(float), [(a, b) for a in range(n) for b in range(a + 1, min(n, a + longest) + 1)]
+
+    def prefixes(y: np.ndarray, m: np.ndarray, spans: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+        """Scores and orders (map, span, prefix) of maps y (map, place, year): places by y / mu in each span."""
+        first, last = np.array(spans).T
+        sums = lambda x: (c := np.concatenate([np.zeros(x.shape[:-1] + (1,)), x.cumsum(-1)], -1))[..., last] - c[..., first]
+        sy, sm = sums(y).swapaxes(1, 2), np.broadcast_to(sums(m).T, (len(y), len(spans), len(m)))
+        order = np.argsort(-sy / np.maximum(sm, 1e-12), axis=2, kind="stable")
+        cy, cm = np.take_along_axis(sy, order, 2).cumsum(2), np.take_along_axis(sm, order, 2).cumsum(2)
+        return np.where(cy > cm, cy * np.log(np.maximum(cy, 1e-12) / np.maximum(cm, 1e-12)) + cm - cy, 0), order
+
+    def scan(frame: pd.DataFrame) -> pd.DataFrame:
+        y, m, _, spans = table_of(frame)
+        score, order = prefixes(y.to_numpy(float)[None], m, spans)
+        at, k = np.unravel_index(int(np.argmax(score[0] >= score.max() - 1e-12)), score[0].shape)
+        (a, b), best = spans[at], float(score.max())
+        places = [int(x) for x in sorted(y.index.to_numpy()[order[0, at, : k + 1]])] if best > 0 else []
+        return pd.DataFrame([(int(frame["centre"].iat[0]), best, int(y.columns[a]), int(y.columns[b - 1]), places)], columns=["centre", "score", "first", "last", "places"])
+
+    def simulated(frame: pd.DataFrame) -> pd.DataFrame:
+        y, m, phi, spans = table_of(frame)
+        reps, maps = sorted(frame["reps"].iat[0]), []
+        for r in reps:
+            draw = np.stack([np.random.default_rng([seed, r, int(u)]).gamma(np.maximum(f, 1e-9), 1 / np.maximum(f, 1e-9)) for u, f in zip(y.index, phi)])
+            maps.append(np.stack([np.random.default_rng([seed + 1, r, int(u)]).poisson(np.maximum(x, 0)) for u, x in zip(y.index, m * draw)]))
+        return pd.DataFrame({"replicate": reps, "top": prefixes(np.stack(maps).astype(float), m, spans)[0].max((1, 2))})
+
+    def maxima(low: int, high: int) -> np.ndarray:
+        blocks = joined.sparkSession.range(0, -(-(high - low) // BLOCK)).select("id", F.expr(f"sequence({low} + id * {BLOCK}, least({high}, {low} + (id + 1) * {BLOCK}) - 1)").alias("reps"))
+        rows = joined.crossJoin(F.broadcast(blocks)).groupBy("centre", "id").applyInPandas(simulated, "replicate long, top double")  # at most 80 blocks
+        return np.array([r["top"] for r in rows.groupBy("replicate").agg(F.max("top").alias("top")).orderBy("replicate").collect()])
+
+    found = "centre long, score double, first long, last long, places array<long>"
+    every = staged(joined.groupBy("centre").applyInPandas(scan, found), "scanned")
+    null = maxima(0, replicates)
+    while (null > 0).sum() < MIN_POSITIVE and 0 < len(null) < MAX_REPLICATES:
+        null = np.append(null, maxima(len(null), min(2 * len(null), MAX_REPLICATES)))
+    positive = null[null > 0]
+    fitted = len(positive) >= MIN_POSITIVE and np.ptp(positive) > 0
+    loc, scale = gumbel_fit(positive) if fitted else (0.0, 1.0)
+    share = len(positive) / max(len(null), 1)
+
+    def p_of(score: float) -> float:
+        return float(-share * np.expm1(-np.exp(-(score - loc) / scale))) if fitted and score > 0 else 1.0
+
+    rows, now = [], every
+    while len(rows) < most and (top := now.orderBy(F.desc("score"), "centre").first()) and p_of(top["score"]) <= alpha:
+        rows.append((*top, len(rows) + 1))
+        if len(rows) < most:
+            taken = joined.sparkSession.createDataFrame([(u, t) for r in rows for u in r[4] for t in range(r[2], r[3] + 1)], "u long, year long").distinct().withColumn("_in", F.lit(True))
+            freed = joined.join(F.broadcast(taken), ["u", "year"], "left").withColumn("mu", F.when(F.col("_in"), F.greatest("mu", "y")).otherwise(F.col("mu"))).drop("_in")
+            now = staged(freed.groupBy("centre").applyInPandas(scan, found), "scanned")
+    first = every.withColumn("reported", F.when(F.col("centre") == rows[0][0], 1) if rows else F.lit(None).cast("int"))
+    later = joined.sparkSession.createDataFrame(rows[1:], f"{found}, reported int")
+    tail = F.when(F.col("score") > 0, -share * F.expm1(-F.exp(-(F.col("score") - loc) / scale))).otherwise(1.0) if fitted else F.lit(1.0)
+    return first.union(later).withColumn("p", tail)
 
 
 def cell_excess(surprises: DataFrame, q: float, *, classes: int = 10) -> DataFrame:

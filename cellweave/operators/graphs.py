@@ -37,8 +37,11 @@ def neighbour_mean(values: DataFrame, edges: DataFrame, *, by: tuple[str, ...] =
     return edges.join(v, "b").groupBy(F.col("a").alias("u"), *by).agg((F.sum(F.col("weight") * F.col("value")) / F.sum("weight")).alias("near"))
 
 
-def hops(edges: DataFrame, sources: DataFrame, *, most: int) -> DataFrame:
-    """(source, u, hops) for every place within ``most`` steps; each step is one join with the edges."""
+def hops(edges: DataFrame, sources: DataFrame, *, most: int, enough: int | None = None) -> DataFrame:
+    """(source, u, hops) for every place within ``most`` steps; each step is one join with the edges.
+
+    A source that has ``enough`` places is not carried on.
+    """
     e = edges.select("a", "b").distinct()
     seen = sources.select(F.col("u").alias("source"), "u", F.lit(0).alias("hops"))
     front = seen
@@ -48,14 +51,17 @@ def hops(edges: DataFrame, sources: DataFrame, *, most: int) -> DataFrame:
         if front.isEmpty():
             break
         seen = staged(seen.union(front), "seen")
+        if enough:
+            short = seen.groupBy("source").agg(F.count("*").alias("_n")).where(F.col("_n") < enough)
+            front = front.join(short, "source", "left_semi")
     return seen
 
 
-def neighbourhoods(edges: DataFrame, k: int, *, most: int = 8) -> DataFrame:
+def neighbourhoods(edges: DataFrame, k: int, *, most: int | None = None) -> DataFrame:
     """(centre, u): the k nearest places by steps, the centre first, ties by place."""
     places = edges.select(F.col("a").alias("u")).union(edges.select("b")).distinct()
     w = W.partitionBy("source").orderBy("hops", "u")
-    return hops(edges, places, most=most).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).select(F.col("source").alias("centre"), "u")
+    return hops(edges, places, most=most or k, enough=k).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).select(F.col("source").alias("centre"), "u")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -146,7 +146,7 @@ def ltss_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def space_time_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return d.space_time(expected(spark, sf_dir), graphs.neighbourhoods(_flow(spark, sf_dir), 5), longest=3, replicates=19).select("centre", r6("score"), "first", "last", "places", r6("p"))
+    return d.space_time(expected(spark, sf_dir), graphs.neighbourhoods(_flow(spark, sf_dir), 30), longest=4, replicates=200).select("centre", r6("score"), "first", "last", "places", "reported", r6("p"))
 
 
 @query()

@@ -99,6 +99,22 @@ def test_planted_cluster_is_found(spark):
     assert {r.u for r in d.change_point(cells, 0.05).where("rejected").collect()} == {3, 4}
 
 
+def test_every_planted_cluster_is_reported(spark):
+    high = lambda u, y: u in (2, 3) and y >= 2004 or 10 <= u <= 17 and 2000 <= y <= 2003
+    cells = spark.createDataFrame([(u, y, 30 if high(u, y) else 10, 10.0, 1e9) for u in range(1, 21) for y in range(2000, 2006)], "u int, year int, y int, mu double, phi double")
+    e = [(i, i + 1) for i in range(1, 20)]
+    near = graphs.neighbourhoods(spark.createDataFrame(e + [(b, a) for a, b in e], "a int, b int"), 30)
+    assert near.count() == 400
+    got = d.space_time(cells, near).where("reported is not null").orderBy("reported").collect()
+    assert [(r.places, r["first"], r["last"]) for r in got] == [(list(range(10, 18)), 2000, 2003), ([2, 3], 2004, 2005)]
+    assert all(r.p < 0.001 for r in got)
+
+
+def test_gumbel_of_largest_likelihood():
+    x = np.random.default_rng(0).gumbel(3, 2, 4000)
+    assert d.gumbel_fit(x) == pytest.approx((3, 2), abs=0.1)
+
+
 def test_decomposition_adds_up(spark):
     rnd = np.random.default_rng(1)
     rows = [(u, g, float(rnd.integers(50, 90)), float(rnd.integers(1, 9)), float(rnd.integers(50, 90)), float(rnd.integers(1, 9))) for u in range(3) for g in range(4)]
