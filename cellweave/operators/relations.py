@@ -81,31 +81,70 @@ def factors(pairs: DataFrame, k: int, *, rounds: int = 200) -> pd.DataFrame:
     return pd.DataFrame(load, index=names)
 
 
-def poisson_factors(cells: DataFrame, rank: int, *, rounds: int = 50, seed: str = "factors", checkpoint_every: int = 5) -> tuple[DataFrame, DataFrame]:
+def poisson_factors(cells: DataFrame, rank: int, *, rounds: int = 500, tol: float = 1e-7, seed: str = "factors") -> tuple[DataFrame, DataFrame]:
     """Non-negative Poisson factorisation y ~ mu * sum_k a_uk b_tk by multiplicative updates, component 0 held constant.
 
-    cells: u, year, y, mu. Each update is a join of the cells with both factor tables and a sum over one axis.
+    cells: u, year, y, mu. A place is a row with its years as columns. In a round each task fits its places' a to the
+    b of the round (a concave problem of each place alone, so places keep no state) and sums what the update of b and
+    the deviance need; b has a row a year. Rounds end when the deviance changes by less than ``tol`` of itself. b is
+    at most 1 in each component, the size is in a.
     """
     from cellweave.operators.expectation import uniform
     from cellweave.sources.scratch import staged
 
-    ks = F.explode(F.sequence(F.lit(0), F.lit(rank)))
-    start = lambda key, name: cells.select(key).distinct().withColumn("k", ks).withColumn(name, F.when(F.col("k") == 0, 1.0).otherwise(0.1 + 0.1 * uniform(key, "k", seed=seed + name)))
-    a, b = staged(start("u", "a"), "a"), staged(start("year", "b"), "b")
-    for i in range(rounds):
-        for key, own, other, name in (("u", a, b, "a"), ("year", b, a, "b")):
-            per = cells.join(a, "u").join(b, ["year", "k"])
-            fit = per.groupBy("u", "year").agg((F.first("y") / F.greatest(F.first("mu") * F.sum(F.col("a") * F.col("b")), F.lit(1e-12))).alias("r"))
-            rate = per.join(fit, ["u", "year"])
-            o = F.col("b" if name == "a" else "a") * F.col("mu")
-            up = rate.groupBy(key, "k").agg((F.sum(o * F.col("r")) / F.greatest(F.sum(o), F.lit(1e-12))).alias("f"))
-            new = own.join(up, [key, "k"]).select(key, "k", F.when(F.col("k") == 0, F.col(name)).otherwise(F.col(name) * F.col("f")).alias(name))
-            new = staged(new, name)
-            if name == "a":
-                a = new
-            else:
-                b = new
-    return a, b
+    spark = cells.sparkSession
+    years = sorted(r["year"] for r in cells.select("year").distinct().collect())
+    n = len(years)
+    wide = staged(cells.groupBy("u").pivot("year", years).agg(F.sum("y").cast("double").alias("y"), F.sum("mu").cast("double").alias("mu")).fillna(0.0), "factors")
+    start = spark.createDataFrame([(i, k) for i in range(n) for k in range(1, rank + 1)], "i int, k int").withColumn("b", 0.1 + 0.1 * uniform("i", "k", seed=seed)).collect() if n and rank else []
+    b = np.ones((n, rank + 1))
+    for r in start:
+        b[r["i"], r["k"]] = r["b"]
+
+    def fitted(f: pd.DataFrame, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        x = f.iloc[:, 1:].to_numpy(float)
+        y, mu = x[:, 0::2], x[:, 1::2]
+        a = np.ones((len(x), b.shape[1]))
+        a[:, 1:] = 0.15
+        size = np.maximum(mu @ b, 1e-12)
+        for _ in range(1000):
+            new = a * ((y / np.maximum(a @ b.T, 1e-12)) @ b) / size
+            new[:, 0] = 1
+            done = not len(a) or np.abs(new - a).max() < 1e-10 * max(1.0, a.max())
+            a = new
+            if done:
+                break
+        return y, mu, a
+
+    def sums(batches, b):
+        for f in batches:
+            y, mu, a = fitted(f, b)
+            m = np.maximum(a @ b.T, 1e-12)
+            dev = 2 * (np.where(y > 0, y * np.log(np.maximum(y, 1e-12) / np.maximum(mu * m, 1e-12)), 0) - (y - mu * m)).sum()
+            up, down = (y / m).T @ a, mu.T @ a
+            yield pd.DataFrame([(i, k, up[i, k], down[i, k], dev if i == k == 0 else 0.0) for i in range(n) for k in range(rank + 1)], columns=["i", "k", "up", "down", "dev"])
+
+    before = np.inf
+    for _ in range(rounds if n else 0):
+        rows = wide.mapInPandas(lambda batches, b=b: sums(batches, b), "i int, k int, up double, down double, dev double")
+        rows = rows.groupBy("i", "k").agg(F.sum("up").alias("up"), F.sum("down").alias("down"), F.sum("dev").alias("dev")).collect()
+        now = sum(r["dev"] for r in rows)
+        if abs(before - now) < tol * max(abs(now), 1.0):
+            break
+        before, b = now, b.copy()
+        for r in rows:
+            if r["k"]:
+                b[r["i"], r["k"]] *= r["up"] / max(r["down"], 1e-12)
+    b = b / np.maximum(b.max(0), 1e-12) if n else b
+
+    def last(batches):
+        for f in batches:
+            a = fitted(f, b)[2]
+            yield pd.DataFrame({"u": np.repeat(f.iloc[:, 0].to_numpy(), rank + 1), "k": np.tile(np.arange(rank + 1), len(f)), "a": a.ravel()})
+
+    a = wide.mapInPandas(last, f"u {dict(cells.dtypes)['u']}, k int, a double")
+    at = spark.createDataFrame([(t, k, float(b[i, k])) for i, t in enumerate(years) for k in range(rank + 1)], f"year {dict(cells.dtypes)['year']}, k int, b double")
+    return a, at
 
 
 def rank_correlation(rows: DataFrame, x: str, y: str, *, by: tuple[str, ...] = ()) -> DataFrame:

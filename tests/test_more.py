@@ -54,6 +54,23 @@ def test_factor_of_related_fields(spark):
     assert p["b", "a"] < 1e-6 and p["d", "a"] > 0.01
 
 
+def test_poisson_factors_like_numpy(spark):
+    rng = np.random.default_rng(4)
+    mu = rng.uniform(5, 50, (12, 8))
+    y = rng.poisson(mu * (1 + np.outer(rng.gamma(1, 1, 12), rng.uniform(0, 1, 8))))
+    a, b = np.full(12, 0.5), np.linspace(0.5, 1, 8)
+    for _ in range(20_000):
+        a = a * ((y / (1 + np.outer(a, b))) @ b) / (mu @ b)
+        b = b * ((y / (1 + np.outer(a, b))).T @ a) / (mu.T @ a)
+    want = np.outer(a, b)
+    fa, fb = rel.poisson_factors(spark.createDataFrame([(u, t, int(y[u, t]), float(mu[u, t])) for u in range(12) for t in range(8)], "u int, year int, y int, mu double"), 1)
+    fa, fb = {(r.u, r.k): r.a for r in fa.collect()}, {(r.year, r.k): r.b for r in fb.collect()}
+    got = np.array([[fa[u, 1] * fb[t, 1] for t in range(8)] for u in range(12)])
+    dev = lambda m: 2 * (np.where(y > 0, y * np.log(np.maximum(y, 1) / m), 0) - (y - m)).sum()
+    assert dev(mu * (1 + got)) == pytest.approx(dev(mu * (1 + want)), rel=1e-4) and np.abs(got - want).max() < 0.05
+    assert max(fb[t, 1] for t in range(8)) == pytest.approx(1) and all(fa[u, 0] == 1 for u in range(12))
+
+
 def test_distributed_lag_finds_the_lag(spark):
     rng = np.random.default_rng(2)
     rows = []
