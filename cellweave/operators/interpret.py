@@ -77,7 +77,7 @@ def triage(leads: DataFrame) -> DataFrame:
     return leads.withColumn("class", cls.otherwise("signal"))
 
 
-def corroborated(values: DataFrame, members: DataFrame, *, replicates: int = 99, seed: str = "sets") -> DataFrame:
+def corroborated(values: DataFrame, members: DataFrame, *, replicates: int = 4999, seed: str = "sets") -> DataFrame:
     """A set's mean against random sets matched by stratum: p = (1 + sets at least as large) / (1 + replicates).
 
     values: u, stratum, x. members: u. In replicate r the places of each stratum with the least hashes stand in for

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 
@@ -39,28 +43,74 @@ def wave_scores(onset: DataFrame, distance: DataFrame, *, least: int = 10) -> Da
     return rows.groupBy("source").agg(F.max("score").alias("score"), F.max_by("k", F.struct("score", "k")).cast("int").alias("places"), F.max_by("rho", F.struct("score", "k")).alias("rho"), F.max_by("d", F.struct("score", "k")).alias("radius"))
 
 
-def best_wave(onset: DataFrame, distance: DataFrame, *, surrogates: int = 99, seed: str = "waves", least: int = 10) -> DataFrame:
-    """The source of largest score, and its p against onsets dealt anew among the places (by a hash) ``surrogates`` times."""
+SURROGATES, MAX_WAVES = 999, 5
+
+
+def best_wave(onset: DataFrame, distance: DataFrame, *, surrogates: int = SURROGATES, seed: str = "waves", least: int = 10) -> DataFrame:
+    """The source of largest score, and its p against onsets dealt anew among the places ``surrogates`` times.
+
+    A task has one source's places; surrogate r deals the same onsets in every task, so maxima over sources are those of
+    one dealt map. No row is repeated for a surrogate: a source gives one array of maxima for all of them.
+    """
     own = wave_scores(onset, distance, least=least).orderBy(F.desc("score"), "source").limit(1)
-    rep = onset.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(surrogates))))
-    place = F.row_number().over(W.partitionBy("rep").orderBy("u"))
-    mixed = F.row_number().over(W.partitionBy("rep").orderBy(F.xxhash64(F.lit(seed), "rep", "u"), "u"))
-    a = rep.select("rep", "u", place.alias("i"))
-    b = rep.select("rep", "onset", mixed.alias("i"))
-    dealt = a.join(b, ["rep", "i"])
-    ranks = dealt.withColumn("r", F.rank().over(W.partitionBy("rep").orderBy("onset")) + (F.count("*").over(W.partitionBy("rep", "onset")) - 1) / 2)
-    rows = distance.join(ranks, "u")
-    order = W.partitionBy("rep", "source").orderBy("d", "u")
-    upto = order.rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.withColumn("k", F.row_number().over(order).cast("double"))
-    s = {"sr": F.sum("r"), "srr": F.sum(F.col("r") ** 2), "sk": F.sum("k"), "skk": F.sum(F.col("k") ** 2), "srk": F.sum(F.col("r") * F.col("k"))}
-    rows = rows.withColumns({n: e.over(upto) for n, e in s.items()}).where(F.col("k") >= least)
-    n = F.col("k")
-    cov = F.col("srk") / n - F.col("sr") * F.col("sk") / n**2
-    var = (F.col("srr") / n - (F.col("sr") / n) ** 2) * (F.col("skk") / n - (F.col("sk") / n) ** 2)
-    top = rows.withColumn("score", F.when(var > 0, cov / F.sqrt(var)).otherwise(F.lit(0.0)) * F.sqrt(n - 3)).groupBy("rep").agg(F.max("score").alias("null"))
+    known = onset.select("u", "onset").orderBy("u").toPandas()
+    places, ranks = pd.Index(known["u"]), known["onset"].rank().to_numpy()
+    code = int.from_bytes(hashlib.sha256(seed.encode()).digest()[:4], "little")
+
+    def null(frame: pd.DataFrame) -> pd.DataFrame:
+        f = frame[frame["u"].isin(places)].sort_values(["d", "u"])
+        at, k = places.get_indexer(f["u"]), np.arange(1.0, len(f) + 1)
+        if len(f) < least:
+            return pd.DataFrame(columns=["r", "null"])
+        sk, skk, tops = k.cumsum(), (k * k).cumsum(), []
+        for low in range(0, surrogates, 100):
+            r = np.stack([ranks[np.random.default_rng([code, i]).permutation(len(ranks))[at]] for i in range(low, min(low + 100, surrogates))])
+            sr, srr, srk = r.cumsum(1), (r * r).cumsum(1), (r * k).cumsum(1)
+            var = (srr / k - (sr / k) ** 2) * (skk / k - (sk / k) ** 2)
+            rho = np.where(var > 1e-9, (srk / k - sr * sk / k**2) / np.sqrt(np.maximum(var, 1e-9)), 0.0)
+            tops.append((rho * np.sqrt(np.maximum(k - 3, 0)))[:, least - 1 :].max(1))
+        return pd.DataFrame({"r": np.arange(surrogates), "null": np.concatenate(tops)})
+
+    top = distance.select("source", "u", "d").groupBy("source").applyInPandas(null, "r int, null double").groupBy("r").agg(F.max("null").alias("null"))
     out = own.join(F.broadcast(top.agg(F.collect_list("null").alias("_nulls"))))  # one row, as many numbers as surrogates
-    return out.withColumn("p", (1 + F.size(F.filter("_nulls", lambda x: x >= F.col("score")))) / F.lit(1.0 + surrogates)).drop("_nulls")
+    return out.withColumn("p", (1 + F.size(F.filter("_nulls", lambda x: x >= F.col("score") - 1e-9))) / F.lit(1.0 + surrogates)).drop("_nulls")
+
+
+def waves(onset: DataFrame, distance: DataFrame, *, q: float = 0.05, surrogates: int = SURROGATES, seed: str = "waves", least: int = 10, most: int = MAX_WAVES) -> DataFrame:
+    """Successive waves, each sought among the places that the earlier ones left, to the first whose p exceeds ``q``.
+
+    That one is given too (``found`` false). A wave takes the places of its disc within two robust deviations of its
+    Theil-Sen line of onset on distance; one whose line doesn't rise ends the search.
+    """
+    from cellweave.sources.scratch import staged
+
+    spark = onset.sparkSession
+    onset, distance = staged(onset.select("u", F.col("onset").cast("double").alias("onset")), "onset"), staged(distance.select("source", "u", F.col("d").cast("double").alias("d")), "distance")
+    kind = dict(onset.dtypes)["u"]
+    rows, gone = [], []
+    names = ["source", "score", "places", "rho", "radius", "p"]
+    while len(rows) < most:
+        left, pairs = onset, distance
+        if gone:
+            out = F.broadcast(spark.createDataFrame([(x,) for x in gone], f"u {kind}"))
+            left = onset.join(out, "u", "left_anti")
+            pairs = distance.join(out, "u", "left_anti").join(out.withColumnRenamed("u", "source"), "source", "left_anti")
+        best = best_wave(left, pairs, surrogates=surrogates, seed=f"{seed}{len(rows)}" if rows else seed, least=least).select(*names).first()
+        if best is None:
+            break
+        disc = pairs.where((F.col("source") == best["source"]) & (F.col("d") <= best["radius"])).join(left, "u").select("u", "onset", "d").toPandas()
+        t, d = disc["onset"].to_numpy(), disc["d"].to_numpy()
+        a, b = np.triu_indices(len(t), 1)
+        apart = d[a] != d[b]
+        slope = float(np.median((t[a] - t[b])[apart] / (d[a] - d[b])[apart])) if apart.any() else 0.0
+        found = best["p"] <= q and slope > 0
+        rows.append((len(rows) + 1, *best, slope, found))
+        if not found:
+            break
+        res = t - (np.median(t) - slope * np.median(d)) - slope * d
+        sd = 1.4826 * np.median(np.abs(res - np.median(res)))
+        gone += disc["u"][np.abs(res) <= 2 * max(sd, 0.5)].tolist()
+    return spark.createDataFrame(rows, f"wave int, source {dict(distance.dtypes)['source']}, score double, places int, rho double, radius double, p double, slope double, found boolean")
 
 
 def speed(onset: DataFrame, distance: DataFrame) -> DataFrame:

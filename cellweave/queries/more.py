@@ -40,7 +40,7 @@ def _first_orders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
 @query()
 def wave_of_onsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     onset, distance = _first_orders(spark, sf_dir)
-    return wv.best_wave(onset, distance, surrogates=19, least=3).select("source", r6("score"), "places", r6("rho"), r6("p"))
+    return wv.waves(onset, distance).select("wave", "source", r6("score"), "places", r6("rho"), r6("p"), "found")
 
 
 @query(

@@ -117,7 +117,7 @@ def triage(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def corroboration(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("u"), F.col("s_nationkey").alias("stratum"), F.col("s_acctbal").alias("x"))
-    return it.corroborated(s, s.where("u % 5 = 0").select("u"), replicates=99).select(r6("x"), r6("p"))
+    return it.corroborated(s, s.where("u % 5 = 0").select("u"), replicates=4999).select(r6("x"), r6("p"))
 
 
 @query("WITH r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders) SELECT o_custkey, o_orderkey FROM r WHERE n = 1")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cellweave.operators import departures as dep, expectation as ex, noise as no, relations as rel, waves as wv
+from cellweave.operators import departures as dep, expectation as ex, interpret as it, noise as no, relations as rel, waves as wv
 from cellweave.streaming import weekly as st
 
 
@@ -18,6 +18,20 @@ def test_wave_from_a_known_source(spark):
     assert 0.5 < speeds[0] <= 1
 
 
+def test_two_waves_are_found_one_after_the_other(spark):
+    pts = [(100 * g + i, 1000 * g + 10 * i) for g in range(2) for i in range(15 + 5 * g)]
+    onset = spark.createDataFrame([(u, 2000 + u % 100) for u, _ in pts], "u int, onset int")
+    distance = spark.createDataFrame([(a, b, float(abs(x - z))) for a, x in pts for b, z in pts if a // 100 == b // 100], "source int, u int, d double")
+    got = wv.waves(onset, distance, most=2).collect()
+    assert [(r.wave, r.source, r.places, r.found) for r in got] == [(1, 100, 20, True), (2, 0, 15, True)]
+    assert all(r.p < 0.01 for r in got)
+
+
+def test_corroboration_has_its_sets(spark):
+    values = spark.createDataFrame([(u, u % 2, float(u >= 30)) for u in range(40)], "u int, stratum int, x double")
+    assert it.corroborated(values, values.where("u >= 30").select("u")).first().p == pytest.approx(1 / 5000)
+
+
 def test_sides_add_up_and_are_stable(spark):
     cells = spark.createDataFrame([(u, 50 * u) for u in range(20)], "u int, y int")
     rows = no.event_sides(cells, 0.3, keys=("u",)).collect()
