@@ -15,7 +15,6 @@ ordered by id, piece and hash, so equal rows may trade places. An empty table gi
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -35,90 +34,107 @@ VOCABULARY = "word_bpe_49k.json"
 class Encoder:
     """Token ids of whole texts as little-endian unsigned 32-bit bytes.
 
-    The tokenizer never joins what white space parts, so the parts between ASCII white space are encoded once and kept;
-    nor does it join a letter and the stops after it, so a word with stops is put together of both. Two generations of
-    about ``most`` parts are held: when the younger is full it becomes the older, and what isn't met again is forgotten.
-    Words of plain letters are encoded together, told apart by the mark that their last tokens have. ASCII letters are
-    folded first (the tokenizer folds all letters), but not in texts that may hold a special token.
+    The tokenizer never joins what white space parts, nor a word of plain letters and the stops after it, so texts are
+    cut there. Segments are told apart by a 64-bit hash of their bytes; those not met before are encoded, words of plain
+    letters many at a time (their last tokens have a mark), and the ids of all are kept in arrays sorted by hash. When
+    there are more than ``most``, all are forgotten. ASCII letters are folded first (the tokenizer folds all letters),
+    but not in texts that may hold a special token.
     """
 
-    _STOPS = b".,!?;:#$%&*|"
     _SPACE = np.isin(np.arange(256), np.frombuffer(b" \t\n\r\x0b\x0c", np.uint8))
-    #: ASCII and Latin-1 letters, whose lower case is one letter too.
-    _WORD = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+    _STOP = np.isin(np.arange(256), np.frombuffer(b".,!?;:#$%&*|", np.uint8))
+    _LETTER = np.isin(np.arange(256), np.frombuffer(bytes(range(65, 91)) + bytes(range(97, 123)), np.uint8))
+    #: The second bytes of Latin-1 letters, whose lower case is one letter too; the first is 0xC3.
+    _SECOND = np.isin(np.arange(256), [*range(0x80, 0x97), *range(0x98, 0xB7), *range(0xB8, 0xC0)])
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 3_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self._forget()
 
-    def _learn(self, fresh: list[bytes]) -> None:
-        plain = [p for p in fresh if self._WORD.fullmatch(p)]
-        if plain:
-            ids = np.array(self.tokenizer.encode(b" ".join(plain).decode(), add_special_tokens=False).ids, "<u4")
-            last = np.flatnonzero(self.ends[ids]) + 1
+    def _forget(self) -> None:
+        self.key, self.at, self.size, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+
+    def _segments(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start and end of each segment, and whether it is a word of plain letters."""
+        n = len(data)
+        inside = np.zeros(n + 1, bool)
+        inside[1:] = ~self._SPACE[data]
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        start, end = edges[::2], edges[1::2]
+        letter = self._LETTER[data]
+        pair = np.flatnonzero((data[:-1] == 0xC3) & self._SECOND[data[1:]])
+        letter[pair] = True
+        letter[pair + 1] = True
+        # the last place before each that isn't a stop, and how many places so far are no letters
+        place = np.arange(1, n + 1, dtype=np.int64)
+        body = np.maximum.accumulate(np.where(self._STOP[data], 0, place))[end - 1]
+        signs = np.concatenate([[0], np.cumsum(~letter)])
+        word_end = np.maximum(body, start)
+        plain = (word_end > start) & (signs[word_end] == signs[start])
+        cut = np.flatnonzero(plain & (word_end < end))
+        count = np.ones(len(start), np.int64)
+        count[cut] = 2
+        first = np.cumsum(count) - count
+        s, e = np.repeat(start, count), np.repeat(end, count)
+        e[first[cut]] = word_end[cut]
+        s[first[cut] + 1] = word_end[cut]
+        word = np.zeros(len(s), bool)
+        word[first[plain]] = True
+        return s, e, word
+
+    def _learn(self, key: np.ndarray, start: np.ndarray, end: np.ndarray, word: np.ndarray, data: np.ndarray) -> None:
+        """Adds the segments of the sorted hashes ``key``."""
+        size, ids = np.zeros(len(key), np.int64), [np.zeros(0, "<u4")] * 2
+        plain, other = np.flatnonzero(word), np.flatnonzero(~word)
+        if len(plain):
+            n = end[plain] - start[plain]
+            to = np.cumsum(n + 1) - n - 1
+            text = np.full(int((n + 1).sum()), 32, np.uint8)
+            within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            text[np.repeat(to, n) + within] = data[np.repeat(start[plain], n) + within]
+            bounds = [*to[::20_000].tolist(), len(text)]
+            made = self.tokenizer.encode_batch_fast([text[a:b].tobytes().decode() for a, b in zip(bounds[:-1], bounds[1:])], add_special_tokens=False)
+            found = np.concatenate([np.array(e.ids, "<u4") for e in made])
+            last = np.flatnonzero(self.ends[found]) + 1
             if len(last) == len(plain):
-                raw, begin = ids.tobytes(), 0
-                for p, end in zip(plain, (4 * last).tolist()):
-                    self.known[p] = raw[begin:end]
-                    begin = end
-        rest = [p for p in fresh if p not in self.known]
-        for p, e in zip(rest, self.tokenizer.encode_batch_fast([x.decode("utf-8") for x in rest], add_special_tokens=False)):
-            self.known[p] = np.array(e.ids, "<u4").tobytes()
-
-    def _recall(self, parts: set[bytes]) -> list[bytes]:
-        """Those of the parts that aren't known; what only the older generation knows is taken over."""
-        fresh = []
-        for p in parts.difference(self.known):
-            if (ids := self.older.get(p)) is not None:
-                self.known[p] = ids
+                size[plain], ids[0] = np.diff(last, prepend=0), found
             else:
-                fresh.append(p)
-        return fresh
-
-    def _of(self, parts: list[bytes]) -> list[bytes]:
-        """The ids of distinct parts."""
-        if len(self.known) > self.most:
-            self.known, self.older = {}, self.known
-        whole, stopped = set(), []
-        for p in self._recall(set(parts)):
-            word = p.rstrip(self._STOPS)
-            if len(word) < len(p) and self._WORD.fullmatch(word):
-                stopped.append((p, word, p[len(word) :]))
-                whole.add(word)
-                whole.add(stopped[-1][2])
-            else:
-                whole.add(p)
-        fresh = sorted(self._recall(whole))
-        for at in range(0, len(fresh), 20_000):
-            self._learn(fresh[at : at + 20_000])
-        known = self.known
-        for p, word, stops in stopped:
-            known[p] = known[word] + known[stops]
-        return list(map(known.__getitem__, parts))
+                plain, other = plain[:0], np.arange(len(key))
+        if len(other):
+            made = self.tokenizer.encode_batch_fast([data[a:b].tobytes().decode() for a, b in zip(start[other].tolist(), end[other].tolist())], add_special_tokens=False)
+            each = [np.array(e.ids, "<u4") for e in made]
+            size[other], ids[1] = [len(x) for x in each], np.concatenate(each)
+        at = np.zeros(len(key), np.int64)
+        order = np.concatenate([plain, other])
+        at[order] = len(self.pool) + np.cumsum(size[order]) - size[order]
+        to = np.searchsorted(self.key, key)
+        self.key, self.at, self.size = (np.insert(old, to, new) for old, new in ((self.key, key), (self.at, at), (self.size, size)))
+        self.pool = np.concatenate([self.pool, *ids])
 
     def encode(self, items: list[str]) -> list[bytes]:
-        """Parts are told apart by a 64-bit hash, so that each distinct one of these texts is looked up once."""
         raw = [x if b"<|" in x else x.lower() for x in (t.encode("utf-8", "replace") for t in items)]
-        joined = b" ".join(raw) + b" "
-        data = np.frombuffer(joined, np.uint8)
-        inside = np.zeros(len(data) + 1, bool)
-        inside[1:] = ~self._SPACE[data]
-        edges = np.flatnonzero(inside[1:] != inside[:-1])
-        start, end = edges[::2], edges[1::2]
-        _, first, which = np.unique(stretch(prefix_sums(data), start, end), return_index=True, return_inverse=True)
-        ids = self._of([joined[a:b] for a, b in zip(start[first].tolist(), end[first].tolist())])
-        size = np.array([len(x) // 4 for x in ids], np.int64)
-        begin = np.cumsum(size) - size
-        count = size[which]
+        data = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
+        start, end, word = self._segments(data)
+        key, first, which = np.unique(stretch(prefix_sums(data), start, end), return_index=True, return_inverse=True)
+        if len(self.key) > self.most:
+            self._forget()
+        place = np.searchsorted(self.key, key)
+        known = np.zeros(len(key), bool)
+        near = np.flatnonzero(place < len(self.key))
+        known[near] = self.key[place[near]] == key[near]
+        if not known.all():
+            fresh = first[~known]
+            self._learn(key[~known], start[fresh], end[fresh], word[fresh], data)
+            place = np.searchsorted(self.key, key)
+        count = self.size[place][which]
         reached = np.concatenate([[0], np.cumsum(count)])
-        out = np.frombuffer(b"".join(ids), "<u4")[np.repeat(begin[which] - reached[:-1], count) + np.arange(reached[-1])]
+        out = self.pool[np.repeat(self.at[place][which] - reached[:-1], count) + np.arange(reached[-1])]
         texts = np.cumsum([0] + [len(x) + 1 for x in raw])
         bounds = reached[np.searchsorted(start, texts)].tolist()
         return [out[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
