@@ -29,9 +29,9 @@ def in_blocks(rows: DataFrame, group: str, size: str, block: int, spread: str) -
     )
 
 
-def together(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows dealt by ``keys`` and sorted by them within partitions, ready for ``whole_groups``."""
-    return rows.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys)
+def together(rows: DataFrame, keys: list[str], then: tuple[str, ...] | list[str] = ()) -> DataFrame:
+    """The rows dealt by ``keys`` and sorted by them (and ``then``) within partitions, ready for ``whole_groups``."""
+    return rows.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, *then)
 
 
 def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str], most: int = 4096) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:

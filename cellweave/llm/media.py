@@ -60,19 +60,19 @@ def features(tensor: np.ndarray) -> str:
     return ":".join(f"{v:.4f}" for v in [*means, *light])
 
 
-def stored(docs: DataFrame, *, text: str = "text", keep: list[str], tensors: bool = False, most_chars: int = 2_000_000) -> DataFrame:
+def stored(docs: DataFrame, *, text: str = "text", keep: list[str], most_chars: int = 2_000_000) -> DataFrame:
     """``keep``, ``media`` (the stored file), and what reading it back gives: ``payload``, ``height``, ``width``,
-    ``feature`` and with ``tensors`` the RGB bytes, channel by channel, row by row."""
-    made = ["media", "payload", "height", "width", "feature"] + ["rgb"] * tensors
+    ``feature`` and ``rgb``, the full-resolution tensor's bytes, channel by channel, row by row."""
+    made = ["media", "payload", "height", "width", "feature", "rgb"]
     hidden, shown, schema = sealed(docs, keep, tuple(made))
     names = [f"_k{i}" for i in range(len(keep))]
 
     def store(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in chunks(batches, "_text", most_chars):
             files = encode(payloads([x.encode("utf-8", "replace") for x in texts(frame["_text"])]))
-            out = [(payload, t.shape[1], t.shape[2], features(t), *([t.tobytes()] if tensors else [])) for payload, t in decode(files)]
+            out = [(payload, t.shape[1], t.shape[2], features(t), t.tobytes()) for payload, t in decode(files)]
             yield pd.concat([frame[names].assign(media=files), pd.DataFrame(out, columns=made[1:], index=frame.index)], axis=1)
 
     rows = docs.select(*hidden, F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    out = rows.mapInPandas(store, schema + ", media binary, payload binary, height int, width int, feature string" + ", rgb binary" * tensors)
+    out = rows.mapInPandas(store, schema + ", media binary, payload binary, height int, width int, feature string, rgb binary")
     return out.select(*shown, *made)

@@ -10,8 +10,8 @@ Targets: sources share the words of all documents by weight, but none gets more
 size; what they can't take is shared by the others by weight until none is above. The last round of a source stops
 at the word where its target is met, so that taken words equal the rounded target.
 
-Null texts have no words; a null source is a source of its own, last in order; rows with a null id are laid out
-before the others of their source. Ties in the scrambled order are broken by id and size; repeated rows are taken as
+Null texts have no words; a null source is a source of its own, last in order; rows with a null id are placed by a
+hash of their text. Ties in the scrambled order are broken by id and size; repeated rows are taken as
 separate documents. Documents without words take nothing and get a position all the same. An empty table gives an
 empty result. Running sums work within buckets of each source, so a source that holds most rows is spread over tasks.
 """
@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from cellweave.llm.common import staged
+from cellweave.llm.common import sealed, staged
 
 #: Fixed value of the contract: what a word is.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -34,7 +34,7 @@ def words(text: Column) -> Column:
 
 def scrambled(id: Column) -> Column:
     """The place of a document in its source's order before ties: the id times a constant, modulo 2 ** 31."""
-    return F.coalesce(F.pmod(F.pmod(id, F.lit(1 << BITS)) * F.lit(SCRAMBLE), F.lit(1 << BITS)), F.lit(-1))
+    return F.pmod(F.pmod(id, F.lit(1 << BITS)) * F.lit(SCRAMBLE), F.lit(1 << BITS))
 
 
 def source_targets(sizes: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), most_repeats: int = 3) -> DataFrame:
@@ -58,25 +58,28 @@ def source_targets(sizes: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), mo
     return per.select("source", "source_size", "weight", F.round(target, 6).alias("target"))
 
 
-def mixed(docs: DataFrame, *, id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (1, 2, 3), most_repeats: int = 3, per_bucket: int = 100_000) -> DataFrame:
-    """(id, source, size, source_size, target, taken, copies, position, positions), range-sorted by position.
+def mixed(docs: DataFrame, *, id: str = "doc_id", text: str = "text", source: str = "source", keep: tuple[str, ...] = (), weights: tuple[int, ...] = (1, 2, 3), most_repeats: int = 3, per_bucket: int = 10_000) -> DataFrame:
+    """(id, source, size, source_size, target, taken, copies, position, positions) and ``keep``, range-sorted by position.
 
     taken: words the mix takes of the document; copies: how many whole copies that is, with the one that the target
     cuts counted if at least half of it is taken; position: where in training its first round begins; positions: where each copy does.
     """
-    sizes = staged(docs.select(F.col(id).alias("id"), F.col(source).alias("source"), words(F.col(text)).alias("size")), "sizes")
+    made = ("id", "source", "size", "source_size", "target", "taken", "copies", "position", "positions", id)
+    hidden, shown, _ = sealed(docs, list(keep), made)
+    own = [f"_k{i}" for i in range(len(keep))]
+    place = F.coalesce(scrambled(F.col(id)), F.pmod(F.xxhash64(text), F.lit(1 << BITS)))
+    sizes = staged(docs.select(F.col(id).alias("id"), F.col(source).alias("source"), words(F.col(text)).alias("size"), place.alias("place"), *hidden), "sizes")
     per = source_targets(sizes, weights=weights, most_repeats=most_repeats)
     # The scrambled order is cut in equal ranges; there are more of them the more documents there are.
     n = sizes.count()
     shift = max(0, BITS - max(0, (n // per_bucket).bit_length()))
-    place = scrambled(F.col("id"))
-    rows = sizes.withColumn("place", place).withColumn("bucket", F.shiftright(F.col("place"), shift))
+    rows = sizes.withColumn("bucket", F.shiftright(F.col("place"), shift))
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("_sum"))
     before = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     starts = sums.select("source", "bucket", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
     per = per.withColumnRenamed("source", "_p")
     starts = starts.join(per, F.col("source").eqNullSafe(F.col("_p"))).drop("_p")
-    within = W.partitionBy("source", "bucket").orderBy("place", "id", "size").rowsBetween(W.unboundedPreceding, -1)
+    within = W.partitionBy("source", "bucket").orderBy("place", "id", "size", *own).rowsBetween(W.unboundedPreceding, -1)
     rows = rows.withColumn("_within", F.coalesce(F.sum("size").over(within), F.lit(0)))
     s = starts.withColumnsRenamed({"source": "_s", "bucket": "_b"})
     rows = rows.join(s, F.col("source").eqNullSafe(F.col("_s")) & (F.col("bucket") == F.col("_b")))
@@ -97,11 +100,12 @@ def mixed(docs: DataFrame, *, id: str = "doc_id", text: str = "text", source: st
 
     rows = rows.withColumn("copies", copies.cast("int"))
     each = F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0), F.col("copies") - 1), lambda j: position(offset + j * F.col("source_size")))).otherwise(F.array().cast("array<double>"))
-    out = rows.select("id", "source", "size", "source_size", "target", taken.alias("taken"), "copies", position(offset).alias("position"), each.alias("positions"))
-    return out.repartitionByRange("position", "id").sortWithinPartitions("position", "id").withColumnRenamed("id", id)
+    out = rows.select("id", "source", "size", "source_size", "target", taken.alias("taken"), "copies", position(offset).alias("position"), each.alias("positions"), *own)
+    out = out.repartitionByRange("position", "id").sortWithinPartitions("position", "id")
+    return out.select(F.col("id").alias(id), *made[1:-1], *shown)
 
 
-#: The same in SQL; the running sums need no buckets there.
+#: The same in SQL, where the table has no null id; the running sums need no buckets there.
 SQL = r"""
 WITH sizes AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
 per AS (SELECT source, sum(size)::BIGINT AS source_size FROM sizes GROUP BY source),

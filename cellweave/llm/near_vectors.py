@@ -3,8 +3,9 @@
 Vectors of one label are hashed in several tables: each table quantises ``k`` random Gaussian projections, shifted
 and cut in steps of ``width``. For normalised vectors a cosine is a Euclidean distance, so the chance that a pair at
 the threshold meets in a table is known, and there are as many tables as ``recall`` asks for. The number of
-projections grows with the logarithm of the number of vectors, so that buckets stay small. Vectors that share a
-bucket are compared exactly; found links join components, in which all pairs are compared again to count links, so
+projections grows with the logarithm of the number of vectors, so that buckets stay small, as long as that takes no
+more than ``most_tables`` tables (rows a vector); from there on it is fixed and larger buckets are cut into blocks,
+which loses nothing. Vectors that share a bucket are compared exactly; found links join components, in which all pairs are compared again to count links, so
 links between members that never shared a bucket count too. Hot buckets and components are cut into blocks.
 
 Vectors that are null, zero, or hold nulls or non-finite numbers link with nothing, nor do vectors with a null label
@@ -32,11 +33,17 @@ def meeting_chance(distance: float, width: float) -> float:
     return 1 - 2 * normal - 2 / (math.sqrt(2 * math.pi) * r) * (1 - math.exp(-r * r / 2))
 
 
-def tables_for(n: int, *, cosine: float, width: float, recall: float) -> tuple[int, int]:
+def tables_for(n: int, *, cosine: float, width: float, recall: float, most_tables: int = 64) -> tuple[int, int]:
     """(projections a table, tables) for n vectors: random vectors (at distance sqrt 2) seldom meet, near ones surely do."""
     near, far = meeting_chance(math.sqrt(2 - 2 * cosine), width), meeting_chance(math.sqrt(2), width)
+
+    def tables(k: int) -> int:
+        return max(1, math.ceil(math.log(1 - recall) / math.log(1 - near**k)))
+
     k = max(4, math.ceil(math.log(max(n, 2)) / -math.log(far)))
-    return k, max(1, math.ceil(math.log(1 - recall) / math.log(1 - near**k)))
+    while k > 1 and tables(k) > most_tables:
+        k -= 1
+    return k, tables(k)
 
 
 def _unit(vectors: pd.Series) -> np.ndarray:
@@ -111,7 +118,7 @@ def link_counts(members: DataFrame, *, cosine: float, block: int) -> DataFrame:
     return dealt.mapInPandas(count, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
 
 
-def near_duplicates(vectors: DataFrame, *, id: str = "vec_id", vector: str = "embedding", label: str = "label", cosine: float = 0.93, width: float = 2.0, recall: float = 0.999, block: int = 1000) -> DataFrame:
+def near_duplicates(vectors: DataFrame, *, id: str = "vec_id", vector: str = "embedding", label: str = "label", cosine: float = 0.93, width: float = 2.0, recall: float = 0.999, most_tables: int = 64, block: int = 1000) -> DataFrame:
     """(id, n_links, component_id, kept) for each row of ``vectors``."""
     vec = F.col(vector).cast("array<double>")
     fine = F.coalesce(F.col(id).isNotNull() & F.col(label).isNotNull() & (F.size(vec) > 0) & F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vec, lambda x: x != 0), F.lit(False))
@@ -119,7 +126,7 @@ def near_duplicates(vectors: DataFrame, *, id: str = "vec_id", vector: str = "em
     # equal vectors of a label are one node that stands for several ids
     rows = staged(every.withColumn("node", F.when(F.col("vec").isNotNull(), F.xxhash64("label", "vec"))), "vectors")
     nodes = staged(rows.where("node is not null").groupBy("node").agg(F.first("label").alias("label"), F.first("vec").alias("vec"), F.min("id").alias("least"), F.count_distinct("id").alias("weight")), "distinct")
-    k, tables = tables_for(nodes.count(), cosine=cosine, width=width, recall=recall)
+    k, tables = tables_for(nodes.count(), cosine=cosine, width=width, recall=recall, most_tables=most_tables)
     keys = staged(bucketed(nodes, k=k, tables=tables, width=width), "buckets")
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     met = keys.join(shared, "key").join(nodes.select("node", "label", "vec"), "node")

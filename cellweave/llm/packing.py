@@ -273,7 +273,7 @@ def dominating(long: int, left: dict[int, int], capacity: int) -> list[int] | No
     return None
 
 
-def packed(docs: DataFrame, path: str, *, id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end: int = END, per_bucket: int = 200_000) -> DataFrame:
+def packed(docs: DataFrame, path: str, *, id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end: int = END, per_bucket: int = 20_000) -> DataFrame:
     """(id, piece, start, length, ids_crc32, sequence_id, offset) for every piece."""
     cut = staged(pieces(docs, path, id=id, text=text, capacity=capacity, end=end), "pieces")
     counts = {r.length: r.n for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``capacity`` rows

@@ -2,7 +2,8 @@
 
 Patterns propose spans of emails, IP addresses, card and phone numbers. Those that pass the fixed base rules are
 always reported. Wider patterns propose further spans (addresses with the signs spelt out, phone numbers without a
-country code). Four labelers vote on every candidate: the form rules, a gazetteer of known value parts, cue words
+country code, and card and phone numbers that stand beside other digits, so that the base rules drop the whole run).
+Four labelers vote on every candidate: the form rules, a gazetteer of known value parts, cue words
 before the span, and the characters around it. Spark counts the vote patterns of all candidates (at most 4 kinds
 times 2 origins times 81); expectation-maximisation over these counts estimates each labeler's reliability and each pattern's
 posterior. The posteriors of all candidates train the final span classifier, log-odds of the span's features summed
@@ -34,7 +35,8 @@ BASE = {
 #: Wider patterns, by the kind that they propose.
 WIDE = {
     "wide_email": (r"(?i)[(\[]at[)\]]", r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[(\[]at[)\]] ?[A-Za-z0-9-]{1,63}+(?: ?(?:\.|[(\[]dot[)\]]) ?[A-Za-z0-9-]{1,63}+)++", 0),
-    "wide_phone": (r"[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}", r"(?<![0-9A-Za-z+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z.-])", 0),
+    "wide_card": (r"[0-9]{16}|(?:[0-9]{4}[ -]){3}[0-9]{4}", r"(?<![0-9])(?:[0-9]{16,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4})(?![0-9])", 0),
+    "wide_phone": (r"[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}", r"(?<![0-9A-Za-z+.-])(?:\+[0-9]{1,3}[ .-]?)?+\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z-]|\.[0-9])", 0),
 }
 #: Words that announce a kind, and words that announce something else, in the languages of the corpus.
 CUES = {
@@ -65,6 +67,14 @@ def base_valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def form_vote(kind: str, wide: bool, value: Column) -> Column:
+    """What the form rules say of a match: 1 yes, 0 no, 2 nothing (a wide match without a rule of its own)."""
+    if wide and kind == "email":
+        return F.lit(2)
+    vote = F.when(base_valid(kind, value), 1).otherwise(0)
+    return F.when(value.startswith("+"), vote).otherwise(F.lit(2)) if wide and kind == "phone" else vote
+
+
 def _candidate(name: str, around: int):
     """What makes a candidate of one match of the pattern ``name``."""
     kind = name.removeprefix("wide_")
@@ -76,16 +86,16 @@ def _candidate(name: str, around: int):
         next = F.substring("_t", x["e"] + 1, F.lit(1))
         valid = F.lit(False) if wide else base_valid(kind, x["v"])
         votes = F.array(
-            F.lit(2) if wide else F.when(valid, 1).otherwise(0),
+            form_vote(kind, wide, x["v"]),
             F.when(x["v"].rlike(KNOWN[kind]), 1).otherwise(0),
             F.when(before.rlike(CUES[kind]), 1).when(before.rlike(OTHER_CUES), 0).otherwise(2),
             F.when(last.rlike("[A-Za-z0-9_/=#]") | next.rlike("[A-Za-z0-9_/=#]"), 0).when(last.rlike(r"[\s(<:;,]") | (last == ""), 1).otherwise(2),
         )
         n = F.length(spans.digits(x["v"]))
         features = F.array(
-            F.lit(f"{name}"),
-            F.concat(F.lit(f"{name} digits "), F.least(n, F.lit(24)).cast("string")),
-            F.concat(F.lit(f"{name} length "), F.least(F.floor(F.length(x["v"]) / 4), F.lit(12)).cast("string")),
+            F.concat(F.lit(f"{kind} form "), votes[0].cast("string")),
+            F.concat(F.lit(f"{kind} digits "), F.least(n, F.lit(24)).cast("string")),
+            F.concat(F.lit(f"{kind} length "), F.least(F.floor(F.length(x["v"]) / 4), F.lit(12)).cast("string")),
             F.concat(F.lit("left "), F.when(last.rlike(r"\s"), "space").when(last.rlike("[A-Za-z0-9]"), "word").when(last == "", "none").otherwise("sign")),
             F.concat(F.lit("right "), F.when(next.rlike(r"\s"), "space").when(next.rlike("[A-Za-z0-9]"), "word").when(next == "", "none").otherwise("sign")),
             F.concat(F.lit(f"{kind} cue "), votes[2].cast("string")),

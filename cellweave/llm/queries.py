@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cellweave.llm import media, mixing, near_text, near_vectors, packing, pii, quality, repeats, secrets, spans, toxicity
+from cellweave.llm import media, mixing, near_text, near_vectors, packing, pii, pipeline, quality, repeats, secrets, spans, toxicity
 from cellweave.llm.common import table
 
 
@@ -42,7 +41,7 @@ def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document stored as a progressive JPEG and read back."""
+    """Every document stored as a progressive JPEG and read back; the RGB tensor is the last column."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("n_bytes", F.octet_length(F.coalesce("text", F.lit(""))).cast("long"))
     out = media.stored(docs, keep=["doc_id", "n_bytes"])
     return out.select(
@@ -54,6 +53,9 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.octet_length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
         "feature",
+        "height",
+        "width",
+        "rgb",
     )
 
 
@@ -91,5 +93,5 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digest(secrets.scan(table(spark, sf_dir, "documents"), keep=["doc_id"]), secrets.KINDS)
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_packing": op2_packing, "op3_jaccard": op3_jaccard, "op4_media": op4_media, "op5_vectors": op5_vectors, "op6_mixing": op6_mixing, "op7_repeats": op7_repeats, "op8_pii": op8_pii, "op9_secrets": op9_secrets, "op10_quality": op10_quality, "pipeline": corpus_pipeline.run}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_packing": op2_packing, "op3_jaccard": op3_jaccard, "op4_media": op4_media, "op5_vectors": op5_vectors, "op6_mixing": op6_mixing, "op7_repeats": op7_repeats, "op8_pii": op8_pii, "op9_secrets": op9_secrets, "op10_quality": op10_quality, "pipeline": pipeline.run}
 ORACLES: dict[str, str] = {"op5_vectors": near_vectors.SQL, "op6_mixing": mixing.SQL}

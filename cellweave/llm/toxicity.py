@@ -4,7 +4,8 @@ Words, pairs of neighbours and pairs one or two words apart are hashed to 64 bit
 Training takes at most ``max_rows`` labelled texts (those with the least hashes of their ids), dealt to ``shards``
 tasks of equal expected size (one by default, as the sample is small); each runs FTRL over its texts and Spark
 averages the shards' sparse weights. Features that more than exp(-``common``) of the sample have count nothing. The
-result is a few hundred weights, which L1 bounds, and is sent to every task that scores.
+result, which is sent to every task that scores, is bounded by the sample, whatever the corpus: only features that
+``least_rows`` of its texts share can have a weight, and L1 leaves a few hundred of them.
 
 Null texts count as empty; an empty text gets the intercept's probability. Rows whose label is null are not used.
 Repeated rows get equal scores. If there are no labelled texts, every score is 0.5. Columns beyond the named ones
@@ -23,8 +24,6 @@ from cellweave.llm.common import chunks, sealed, texts
 from cellweave.llm.ftrl import Sparse, Weights, train
 from cellweave.llm.words import mix, words
 
-#: No more weights than this are ever sent to the tasks: those of largest size (L1 leaves far fewer).
-MOST_WEIGHTS = 200_000
 #: No more labelled texts than this are learnt from.
 MAX_ROWS = 4096
 
@@ -63,7 +62,7 @@ def fit(labelled: DataFrame, *, max_rows: int = MAX_ROWS, shards: int = 1, epoch
 
     made = dealt.groupBy("shard").applyInPandas(shard_weights, "key long, weight double, bias boolean")
     total = made.groupBy("key", "bias").agg(F.sum("weight").alias("weight"), F.count("*").alias("n"))
-    found = total.orderBy(F.desc("bias"), F.desc(F.abs("weight")), "key").limit(MOST_WEIGHTS).collect()
+    found = total.collect()  # features of the bounded sample
     n = max([r.n for r in found if r.bias], default=1)
     keys = np.array([r.key for r in found if not r.bias], np.int64).view(np.uint64)
     order = np.argsort(keys)

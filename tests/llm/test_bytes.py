@@ -86,7 +86,7 @@ def test_inverse_transform_of_a_flat_block():
 
 def test_media_odd_rows(spark):
     df = spark.createDataFrame([(i, t, "m", "p") for i, t in ODD], "doc_id long, text string, media string, payload string")
-    got = media.stored(df, keep=df.columns, tensors=True)
+    got = media.stored(df, keep=df.columns)
     rows = got.collect()
     assert len(rows) == len(ODD) and got.columns.count("media") == 1
     by = Counter()
@@ -210,6 +210,7 @@ def test_op4_and_op7_contracts(spark):
         payload = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
         r = got[i]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert len(r.rgb) == 3 * r.height * r.width
     got = {r.doc_id: r for r in queries.op7_repeats(spark, SF).collect()}
     for (i, _), want in zip(docs, removed([t for _, t in docs])):
         r = got[i]

@@ -74,9 +74,40 @@ def test_jaccard_repeated_and_empty(spark):
     assert sorted((r.doc_id, r.class_id, r.n_links) for r in near_text.classes(alone).collect()) == [(1, 1, 0), (2, 2, 0)]
 
 
-def test_prefix_is_shortened_until_recall():
-    d = near_text.prefix_length(16, 6, 0.8, 0.9995)
-    assert 1 - (1 - 0.8**d) ** 16 >= 0.9995 > 1 - (1 - 0.8 ** (d + 1)) ** 16
+def test_recall_is_estimated_from_the_links_found():
+    chance = near_text.meeting_chance
+    # links of one similarity, found in proportion to their chance, are estimated at that chance
+    got = near_text.estimated_recall({0.9: 10**9}, 6, 4, trees=16, similarity=0.8)
+    assert got == pytest.approx(chance(0.9, 4, 16), abs=1e-6)
+    # without links the threshold decides
+    assert near_text.estimated_recall({}, 6, 5, trees=16, similarity=0.8) == pytest.approx(chance(0.8, 5, 16))
+    assert chance(0.8, 4, 16) >= near_text.RECALL > chance(0.8, 5, 16)
+
+
+def test_prefix_is_shortened_while_links_are_missed(spark):
+    rnd = random.Random(9)
+    rows = []
+    for g in range(60):
+        base = ["".join(rnd.choices("abcdefghij", k=6)) for _ in range(100)]
+        rows += [(3 * g, " ".join(base)), (3 * g + 1, near(rnd, base, 2)), (3 * g + 2, near(rnd, base, 2))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows)
+    # one tree of long prefixes misses links unless it is shortened
+    got = {r.doc_id: (r.class_id, r.n_links) for r in near_text.classes(df, trees=4, depth=8, recall=0.999).collect()}
+    assert got == want and sum(n for _, n in want.values()) > 60
+
+
+def test_one_of_each_keeps_different_texts_of_an_id(spark):
+    a, b, c = "a b c d e f g h", "q r s t u v w x", "one two three four five six"
+    rows = [(1, a, "x"), (1, b, "x"), (2, a, "x"), (3, c, "x"), (3, c, "y"), (3, c, "y"), (4, None, "x"), (4, None, "x"), (4, "", "z"), (None, a, "x"), (None, a, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _row string")
+    got = near_text.one_of_each(df.withColumnRenamed("_row", "lang"))
+    assert got.columns == ["doc_id", "text", "lang"]
+    out = sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
+    assert out == sorted([(1, a), (1, b), (3, c), (4, out[[x[0] for x in out].index(4)][1]), (None, a), (None, a)], key=str)
+    again = near_text.one_of_each(df.withColumnRenamed("_row", "lang").repartition(7))
+    assert sorted(map(str, got.collect())) == sorted(map(str, again.collect()))
+    assert near_text.one_of_each(df.withColumnRenamed("_row", "lang").limit(0)).count() == 0
 
 
 def test_groups_that_span_batches_stay_whole():

@@ -42,6 +42,17 @@ def test_mixing_odd_rows(spark):
     assert mixing.mixed(df.limit(0)).count() == 0
 
 
+def test_mixing_stage_with_repeated_ids(spark):
+    rows = [(1, "a b c", "en", "s", 5), (1, "d e f g", "en", "s", 7), (2, "h i", "en", "s", 3), (2, "h i", "en", "s", 3), (3, "j " * 9, "en", "t", 18)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    copies = Counter()
+    for r in mixing.mixed(docs, keep=("text",)).collect():
+        copies[r.doc_id, r.text] += r.copies
+    got = corpus_pipeline.mixed_by_source(spark, docs, SF)
+    assert got.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter({k: n for k, n in copies.items() if n})
+
+
 def test_positions_follow_the_schedules(spark):
     df = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("w w w w").alias("text"), (F.col("id") % 3).cast("string").alias("source"))
     got = mixing.mixed(df)
