@@ -1,63 +1,5 @@
-"""A training corpus from raw documents, in five stages of the text operators.
+"""A training corpus from raw documents, in five stages; see ``cellweave.llm.pipeline``."""
 
-Every stage takes (spark, docs, sf_dir), works on all that the stage before it kept, and is written as Parquet before
-the next one reads it. All but the last return the columns of ``docs``.
-"""
+from cellweave.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-from cellweave.llm import mixing, near_text, packing, quality, secrets
-from cellweave.llm.common import staged, table
-
-#: No SQL: the classifier is trained, and the tokenizer isn't a SQL function. See tests/llm/test_pipeline.py.
-ORACLE_SQL = None
-
-
-def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject."""
-    weights = quality.fit(docs)
-    return quality.score(docs, weights, keep=docs.columns).where("score >= 0.5").select(*docs.columns)
-
-
-def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one of least id, of every class of near copies. Documents without id stay."""
-    kept = near_text.classes(docs).where("doc_id = class_id").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).union(docs.where("doc_id is null"))
-
-
-def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets replaced."""
-    return secrets.masked(docs)
-
-
-def mixed_by_source(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Whole documents as often as the mix takes them, in order of training. Documents without id come once, at the end."""
-    shares = mixing.mixed(docs.where("doc_id is not null")).where("copies > 0").select("doc_id", F.explode("positions").alias("_cellweave_at"))
-    rows = docs.join(shares, "doc_id").select(*docs.columns, "_cellweave_at").union(docs.where("doc_id is null").withColumn("_cellweave_at", F.lit(2.0)))
-    return rows.repartitionByRange("_cellweave_at", "doc_id").sortWithinPartitions("_cellweave_at", "doc_id").drop("_cellweave_at")
-
-
-def in_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every piece of every document and its place in a training sequence."""
-    return packing.packed(docs, public_tokenizers.path(packing.VOCABULARY))
-
-
-STAGES = [
-    ("quality", good_quality),
-    ("near_copies", one_of_each),
-    ("secrets", without_secrets),
-    ("mixing", mixed_by_source),
-    ("packing", in_sequences),
-]
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; what lies between is kept in the shared folder."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
