@@ -80,7 +80,7 @@ def _digest(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
 def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What remains of every document without its long repeats."""
     out = repeats.removed(table(spark, sf_dir, "documents"), keep=["doc_id"])
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passages")
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

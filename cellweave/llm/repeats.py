@@ -1,44 +1,61 @@
-"""Long repeats in a corpus of whole texts, by prefix-free parsing and window order over repeated phrases only.
-
-Rolling-hash triggers cut each text into phrases: a position is a trigger if its hash is the least of some ``REACH``
-successive positions, so triggers depend on nearby bytes alone and are never far apart. Any string of ``LENGTH`` bytes
-then has a trigger whose surroundings lie inside it, at the same place wherever the string occurs. Every window of
-``LENGTH`` bytes belongs to the first such trigger; a trigger's phrase is what all its windows share (``core``), its
-context what they cover together. Spark groups the phrases of the corpus: this is the dictionary, and only phrases
-that occur twice can hold repeats. Where a whole context occurs twice, all its windows repeat. Elsewhere, at the ends
-of repeats, the windows of the phrase's contexts are put in the corpus order of their own bytes (by hash, Spark
-groups equal ones), as neighbours in a suffix array would be, and those with an equal one repeat.
-
-Texts are known by their hash, so equal rows get equal results. Null texts count as empty; texts shorter than
-``LENGTH`` bytes hold no repeat. Matches never cross texts, since windows don't. An empty table gives an empty result.
+"""Long repeats in a corpus of whole texts, by prefix-free parsing: dictionary, parse, and their suffix order.
+
+Rolling-hash triggers cut each text into phrases: a position is a trigger if its hash is the least of some ``reach``
+successive positions, so triggers depend on nearby bytes alone and are never far apart. Any string of ``shortest`` bytes
+then has a trigger whose surroundings lie inside it, at the same place wherever the string occurs. Every window (a
+place where a match of a given length may start) belongs to the first such trigger; what all windows of a trigger share
+is its phrase, and what they cover together, up to the longer length, its context.
+
+* Dictionary: Spark counts the phrases. Only windows of phrases that occur twice can repeat.
+* Parse: where a whole context occurs twice, successive phrases are equal to the depth of the match, and all windows of
+  the trigger repeat. What is left are the ends of repeats.
+* Suffix order: the distinct contexts of phrases with such an end are sorted by phrase and by their bytes from the
+  trigger on (the order of the parse's suffixes), and by phrase and by their bytes before the trigger, read backwards
+  (the order of the dictionary's suffixes that end there). Bytes are compared between neighbours. A window that begins
+  d bytes before the trigger repeats if some context has d bytes before and length - d after the trigger in common with
+  it. Neighbours in either order have the longest common bytes on that side, so no window outside their bounds repeats,
+  and where one neighbour reaches both bounds, all windows within do. Both sorts are range sorts of Spark, so a phrase
+  that is everywhere is spread over tasks. Windows that this leaves open (bounds from different neighbours, neighbours
+  in another task) are put together by the hash of their bytes.
+
+Phrases, contexts and open windows are told apart by 64-bit hashes. Texts are known by their hash, so equal rows get
+equal results. Null texts count as empty; texts shorter than a match hold no repeat. Matches never cross texts, since
+windows don't. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from cellweave.llm.common import chunks, sealed, staged, texts
-from cellweave.llm.words import joined, mix, prefix_sums, stretch
+from cellweave.llm.words import joined, prefix_sums, stretch
+
+#: Bytes of a repeat that is removed, of a passage that is counted, and the words that a passage has more than.
+LENGTH, PASSAGE, WORDS = 400, 280, 50
+#: Bytes of a rolling hash.
+GRAM = 16
 
-#: Bytes of a repeat; bytes of a rolling hash; positions of which a trigger is the least.
-LENGTH, GRAM, REACH = 400, 16, 128
-assert 3 * REACH + GRAM <= LENGTH
+
+def reach(shortest: int) -> int:
+    """The positions of which a trigger is the least: every ``shortest`` bytes hold a trigger with its surroundings."""
+    return (shortest - GRAM) // 3
 
 
 @dataclass
 class Anchors:
-    """text, place of the trigger, first and last window start (places in ``data``); sums for hashing."""
+    """text, trigger, first window (places in the joined bytes), windows of both lengths, end of the context; sums for hashing."""
 
     text: np.ndarray
     at: np.ndarray
     first: np.ndarray
-    last: np.ndarray
+    short: np.ndarray
+    long: np.ndarray
+    end: np.ndarray
     starts: np.ndarray
     sums: np.ndarray
 
@@ -53,121 +70,249 @@ def _sliding(x: np.ndarray, n: int, least: bool) -> np.ndarray:
     return op(back[: len(x)], ahead[n - 1 : n - 1 + len(x)])
 
 
-def anchors(items: list[bytes]) -> Anchors:
+def anchors(items: list[bytes], shortest: int, length: int) -> Anchors:
     data, starts = joined(items)
-    sums = prefix_sums(data)
-    n = len(data)
+    sums, n, r = prefix_sums(data), len(data), reach(shortest)
     text = np.repeat(np.arange(len(items)), np.diff(starts))
     end = starts[1:][text] - 1  # each place's end of text
     place = np.arange(n)
     gram = np.full(n, np.uint64(2**64 - 1))
     inside = np.flatnonzero(place + GRAM <= end)
     gram[inside] = stretch(sums, inside, inside + GRAM) >> np.uint64(1)
-    least = _sliding(gram, REACH, True)
-    least[place + REACH - 1 + GRAM > end] = 0
-    # the greatest of the last REACH window minima
-    best = _sliding(np.concatenate([np.zeros(REACH - 1, np.uint64), least]), REACH, False)[:n]
+    least = _sliding(gram, r, True)
+    least[place + r - 1 + GRAM > end] = 0
+    # the greatest of the last r window minima
+    best = _sliding(np.concatenate([np.zeros(r - 1, np.uint64), least]), r, False)[:n]
     at = np.flatnonzero((gram == best) & (place + GRAM <= end))
     of = text[at]
-    before = np.full(len(at), -LENGTH)
-    before[1:] = np.where(of[1:] == of[:-1], at[:-1], -LENGTH)
-    first = np.maximum(starts[of], before - REACH + 2)
-    last = np.minimum(at - REACH + 1, starts[of + 1] - 1 - LENGTH)
-    some = first <= last
-    return Anchors(of[some], at[some], first[some], last[some], starts, sums)
+    before = np.full(len(at), -length)
+    before[1:] = np.where(of[1:] == of[:-1], at[:-1], -length)
+    first = np.maximum(starts[of], before - r + 2)
+    last = starts[of + 1] - 1
+    some = np.flatnonzero(np.minimum(at - r + 1, last - shortest) >= first)
+    of, at, first, last = of[some], at[some], first[some], last[some]
+    count = [np.maximum(np.minimum(at - r + 1, last - n) - first + 1, 0) for n in (shortest, length)]
+    return Anchors(of, at, first, *count, np.minimum(at - r + 1 + length, last), starts, sums)
 
 
-def phrases(rows: DataFrame, most_chars: int) -> DataFrame:
-    """(core, context, n, key, at, keys, ats): the phrase and context of triggers; at: 256 times the first window plus their number.
+# A trigger's place in its text is one number: first window, and a byte each for the bytes from there to the trigger
+# and the numbers of its windows of the shorter and of the longer length.
+def _packed(a: Anchors) -> np.ndarray:
+    return (a.first - a.starts[a.text]) << 24 | (a.at - a.first) << 16 | a.short << 8 | a.long
 
-    Equal contexts that a task meets together make one row: n triggers, the first here, the others in keys and ats.
-    """
+
+def _first(place: Column) -> Column:
+    return F.shiftright(place, 24)
+
+
+def _byte(place: Column, k: int) -> Column:
+    return F.shiftright(place, 8 * k).bitwiseAND(F.lit(255))
+
+
+def parsed(rows: DataFrame, shortest: int, length: int, most_chars: int) -> DataFrame:
+    """(core, context, key, place) of every trigger of every text."""
+    r = reach(shortest)
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in chunks(batches, "text", most_chars):
-            a = anchors([x.encode("utf-8", "replace") for x in texts(frame["text"])])
-            core = stretch(a.sums, a.at - REACH + 1, a.at + LENGTH - 2 * REACH + 2)
-            context = mix(stretch(a.sums, a.first, a.last + LENGTH) + ((a.at - a.first) << 16 | (a.at - a.last)).astype(np.uint64))
-            key, at = frame["key"].to_numpy()[a.text], (a.first - a.starts[a.text]) << 8 | (a.last - a.first + 1)
-            order = np.argsort(context, kind="stable")
-            context = context[order]
-            begin = np.flatnonzero(np.diff(context, prepend=~context[:1])) if len(order) else order
-            n = np.diff(begin, append=len(order))
-            own = order[begin]
-            keys, ats = np.full(len(own), None, object), np.full(len(own), None, object)
-            for g in np.flatnonzero(n > 1):
-                others = order[begin[g] + 1 : begin[g] + n[g]]
-                keys[g], ats[g] = key[others], at[others]
-            yield pd.DataFrame({"core": core[own].view(np.int64), "context": context[begin].view(np.int64), "n": n, "key": key[own], "at": at[own], "keys": keys, "ats": ats})
-
-    return rows.mapInPandas(parse, "core long, context long, n long, key long, at long, keys array<long>, ats array<long>")
-
-
-def dictionary(parsed: DataFrame) -> DataFrame:
-    """(key, at, whole, look) of phrases that occur twice. whole: the context occurs twice as well; look: its windows
-    must be looked at, as an end of a repeat or as one of the contexts that such an end is compared with."""
-    phrase, context = W.partitionBy("core"), W.partitionBy("core", "context")
-    counted = parsed.select("*", F.sum("n").over(phrase).alias("all"), F.sum("n").over(context).alias("m"), F.row_number().over(context.orderBy("key", "at")).alias("nth")).where("all > 1")
-    marked = counted.withColumn("ends", F.max(F.when(F.col("m") == 1, 1).otherwise(0)).over(phrase))
-    own = F.struct("key", "at", (F.col("m") > 1).alias("whole"), ((F.col("ends") == 1) & (F.col("nth") == 1)).alias("look"))
-    more = F.transform(F.arrays_zip("keys", "ats"), lambda x: F.struct(x["keys"].alias("key"), x["ats"].alias("at"), F.lit(True).alias("whole"), F.lit(False).alias("look")))
-    all = F.when(F.col("keys").isNull(), F.array(own)).otherwise(F.concat(F.array(own), more))
-    return marked.select(F.inline(all))
-
-
-def windows(rows: DataFrame, look: DataFrame, most_chars: int) -> DataFrame:
-    """(hash, key, start) of every window of the phrases to look at; rows: key, text; look: key, ats."""
+            a = anchors([x.encode("utf-8", "replace") for x in texts(frame["text"])], shortest, length)
+            core = stretch(a.sums, a.at - r + 1, a.at + shortest - 2 * r + 2)
+            # contexts are equal if their bytes and the trigger's place in them are
+            context = stretch(a.sums, a.first, a.end) + (a.at - a.first).astype(np.uint64)
+            yield pd.DataFrame({"core": core.view(np.int64), "context": context.view(np.int64), "key": frame["key"].to_numpy()[a.text], "place": _packed(a)})
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    return rows.mapInPandas(parse, "core long, context long, key long, place long")
+
+
+def contexts(triggers: DataFrame) -> DataFrame:
+    """(core, context, n, other, key, place): contexts of phrases that occur twice, how often each occurs, whether in
+    two texts, and one of its places. ``triggers`` holds such phrases only."""
+    return triggers.groupBy("core", "context").agg(
+        F.count("*").alias("n"), (F.min("key") < F.max("key")).alias("other"), F.min(F.struct("key", "place")).alias("_one")
+    ).select("core", "context", "n", "other", "_one.*")
+
+
+def border_contexts(rows: DataFrame, look: DataFrame, length: int, shortest: int, most_chars: int) -> DataFrame:
+    """(core, key, place, after, before): the bytes from the trigger on, and those before it read backwards."""
+    r = reach(shortest)
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in chunks(batches, "text", most_chars):
-            data, starts = joined([x.encode("utf-8", "replace") for x in texts(frame["text"])])
-            sums = prefix_sums(data)
-            ats = frame["ats"].tolist()
-            at = np.concatenate([np.asarray(x, np.int64) for x in ats])
-            text = np.repeat(np.arange(len(frame)), [len(x) for x in ats])
-            n = at & 255
-            start = np.repeat(at >> 8, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            text = np.repeat(text, n)
-            place = starts[text] + start
-            yield pd.DataFrame({"hash": stretch(sums, place, place + LENGTH).view(np.int64), "key": frame["key"].to_numpy()[text], "start": start})
-
-    return rows.join(look, "key").select("key", "text", "ats").mapInPandas(each, "hash long, key long, start long")
-
-
-def removed(docs: DataFrame, *, text: str = "text", keep: list[str], most_chars: int = 1_500_000) -> DataFrame:
-    """``keep``, ``kept`` (the remaining bytes), n_bytes, n_removed and n_spans (maximal removed runs) of each text."""
-    made = ("kept", "n_bytes", "n_removed", "n_spans")
+            out = []
+            for key, text, some in zip(frame["key"], texts(frame["text"]), frame["some"]):
+                data = text.encode("utf-8", "replace")
+                for x in some:
+                    first, at = x["place"] >> 24, (x["place"] >> 24) + (x["place"] >> 16 & 255)
+                    out.append((x["core"], key, x["place"], data[at : at - r + 1 + length], data[first:at][::-1]))
+            yield pd.DataFrame(out, columns=["core", "key", "place", "after", "before"])
+
+    some = look.groupBy("key").agg(F.collect_set(F.struct("core", "place")).alias("some"))
+    return rows.dropDuplicates(["key"]).join(some, "key").select("key", "text", "some").mapInPandas(cut, "core long, key long, place long, after binary, before binary")
+
+
+def _common(x: pd.Series, skip: np.ndarray) -> np.ndarray:
+    """The number of first bytes that each value has in common with the next one; 0 where ``skip`` holds."""
+    size = x.str.len().to_numpy()
+    # what lies beyond a value's end never equals the next value's
+    grid = np.repeat((-1 - np.arange(len(x)) % 2).astype(np.int16)[:, None], int(size.max()) + 1, 1)
+    grid[np.arange(grid.shape[1]) < size[:, None]] = np.frombuffer(b"".join(x), np.uint8)
+    return np.where(skip, 0, (grid[:-1] != grid[1:]).argmax(1))
+
+
+def neighbours(borders: DataFrame, order: list[str]) -> DataFrame:
+    """(core, key, place, before, after, other, open): what contexts have in common with their neighbours in an order.
+
+    before, after: the bytes on both sides of the trigger; other: the neighbour is of another text; open: the neighbour
+    is in another task, and nothing is known of it.
+    """
+    names = ["core", "key", "place"]
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            for at in range(0, len(batch), 4096):
+                part = batch.iloc[at : at + 4096]
+                if held is None:
+                    yield part.iloc[:1][names].assign(before=0, after=0, other=False, open=True)
+                frame = part if held is None else pd.concat([held, part], ignore_index=True)
+                held = frame.iloc[-1:]
+                if len(frame) < 2:
+                    continue
+                core, key = frame["core"].to_numpy(), frame["key"].to_numpy()
+                apart = core[1:] != core[:-1]
+                both = {"before": _common(frame["before"], apart), "after": _common(frame["after"], apart), "other": key[1:] != key[:-1], "open": False}
+                for side in (frame.iloc[:-1], frame.iloc[1:]):
+                    yield side[names].reset_index(drop=True).assign(**both)[~apart]
+        if held is not None:
+            yield held[names].assign(before=0, after=0, other=False, open=True)
+
+    dealt = borders.repartitionByRange(*order).sortWithinPartitions(*order)
+    return dealt.mapInPandas(compare, "core long, key long, place long, before int, after int, other boolean, open boolean")
+
+
+def _bounds(length: int, which: int, before: Column, after: Column) -> tuple[Column, Column]:
+    """The least and greatest distance from window to trigger of windows that these common bytes allow."""
+    own = _byte(F.col("place"), 2)
+    least = F.greatest(F.lit(length) - after, own - _byte(F.col("place"), which) + 1)
+    return least, F.least(before, own)
+
+
+def matched(pairs: DataFrame, length: int, which: int) -> DataFrame:
+    """(key, start, end) of what neighbours have in common; which: the byte of ``place`` that counts the windows."""
+    low, high = _bounds(length, which, F.col("before"), F.col("after"))
+    rows = pairs.withColumns({"_low": low, "_high": high}).where("_low <= _high")
+    at = _first(F.col("place")) + _byte(F.col("place"), 2)
+    return rows.select("key", (at - F.col("_high")).alias("start"), (at - F.col("_low") + length).alias("end"))
+
+
+def undecided(pairs: DataFrame, length: int, which: int, only_other: bool) -> DataFrame:
+    """The phrases (core) with a context whose windows neighbours leave open."""
+    each = pairs.groupBy("core", "key", "place").agg(
+        F.max("before").alias("_b"), F.max("after").alias("_a"), F.max("open").alias("_open"), F.collect_list(F.struct("before", "after", "other")).alias("_pairs")
+    )  # at most four pairs
+    low, high = _bounds(length, which, F.col("_b"), F.col("_a"))
+    # a neighbour in another task may have any bytes in common
+    low, high = (F.when(F.col("_open"), x).otherwise(y) for x, y in zip(_bounds(length, which, F.lit(1 << 20), F.lit(length)), (low, high)))
+    rows = each.withColumns({"_low": low, "_high": high}).where("_low <= _high")
+    own = F.exists("_pairs", lambda p: (F.lit(length) - p["after"] <= F.col("_low")) & (p["before"] >= F.col("_high")) & (p["other"] if only_other else F.lit(True)))
+    return rows.where(~own).select("core").distinct()
+
+
+def windows(borders: DataFrame, cores: DataFrame, length: int, which: int) -> DataFrame:
+    """(key, start, end, other) of the windows of these phrases that occur twice, told apart by a hash of their bytes."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for low in range(0, len(batch), 1000):
+                frame = batch.iloc[low : low + 1000]
+                data, starts = joined([b[::-1] + a for b, a in zip(frame["before"], frame["after"])])
+                place = frame["place"].to_numpy()
+                n = place >> 8 * which & 255
+                of = np.repeat(np.arange(len(frame)), n)
+                shift = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                at = starts[of] + shift
+                hashes = stretch(prefix_sums(data), at, at + length)
+                yield pd.DataFrame({"hash": hashes.view(np.int64), "key": frame["key"].to_numpy()[of], "start": (place >> 24)[of] + shift})
+
+    rows = staged(borders.join(cores, "core", "left_semi").select("key", "place", "before", "after").mapInPandas(each, "hash long, key long, start long"), "windows")
+    seen = rows.groupBy("hash").agg(F.count("*").alias("n"), (F.min("key") < F.max("key")).alias("other")).where("n > 1")
+    return rows.join(seen.select("hash", "other"), "hash").select("key", "start", (F.col("start") + length).alias("end"), "other")
+
+
+def covered(rows: DataFrame, *, length: int, shortest: int, most_chars: int) -> DataFrame:
+    """(key, kind, start, end): stretches of texts (key, text) that repeated strings cover.
+
+    kind "removed": strings of ``length`` bytes that start anywhere else; "passage": of ``shortest`` bytes that are in
+    another text.
+    """
+    triggers = staged(parsed(rows, shortest, length, most_chars), "triggers")
+    twice = triggers.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
+    found = staged(triggers.join(twice, "core"), "phrases")
+    known = staged(contexts(found), "contexts")
+    # ends of repeats: a context that occurs once, or in one text alone; all contexts of its phrase are compared
+    ends = known.groupBy("core").agg(F.count("*").alias("contexts"), F.max((F.col("n") == 1) | ~F.col("other")).alias("ends")).where("contexts > 1 and ends").select("core")
+    look = known.join(ends, "core", "left_semi").select("core", "key", "place")
+    borders = staged(border_contexts(rows, look, length, shortest, most_chars), "borders")
+    pairs = staged(neighbours(borders, ["core", "after", "before"]).union(neighbours(borders, ["core", "before", "after"])), "neighbours")
+    whole = found.join(known.where("n > 1").select("core", "context", "other"), ["core", "context"])
+    first = _first(F.col("place"))
+    out = []
+    for kind, size, which in (("removed", length, 0), ("passage", shortest, 1)):
+        passage = kind == "passage"
+        n = _byte(F.col("place"), which)
+        every = whole.where(F.col("other")) if passage else whole
+        open_windows = windows(borders, undecided(pairs, size, which, passage), size, which)
+        parts = [
+            every.where(n > 0).select("key", first.alias("start"), (first + n - 1 + size).alias("end")),
+            matched(pairs.where("other") if passage else pairs, size, which),
+            (open_windows.where("other") if passage else open_windows).select("key", "start", "end"),
+        ]
+        out += [p.select("key", F.lit(kind).alias("kind"), "start", "end") for p in parts]
+    total = out[0]
+    for p in out[1:]:
+        total = total.union(p)
+    return total
+
+
+def _gone(n: int, spans: list | None) -> np.ndarray:
+    """Which of n bytes the spans (start, end) cover."""
+    step = np.zeros(n + 1, np.int64)
+    if spans is not None and len(spans):
+        at = np.array([(s["start"], s["end"]) for s in spans], np.int64)
+        np.add.at(step, at[:, 0], 1)
+        np.add.at(step, at[:, 1], -1)
+    return np.cumsum(step[:-1]) > 0
+
+
+def removed(docs: DataFrame, *, text: str = "text", keep: list[str], length: int = LENGTH, passage: int = PASSAGE, passage_words: int = WORDS, most_chars: int = 1_500_000) -> DataFrame:
+    """``keep``, ``kept`` (the remaining bytes), n_bytes, n_removed, n_spans (maximal removed runs) and n_passages of each text.
+
+    n_passages: maximal runs of more than ``passage_words`` words in which every byte is of a string of ``passage`` bytes
+    (at most ``length``, 64 at least) that another row's text holds too. Of rows with one text, the whole text is a passage.
+    """
+    made = ("kept", "n_bytes", "n_removed", "n_spans", "n_passages")
     hidden, shown, schema = sealed(docs, keep, made)
     names = [f"_k{i}" for i in range(len(keep))]
     rows = docs.select(*hidden, F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
-    long = rows.where(F.octet_length("text") >= LENGTH).select("key", "text")
-    found = staged(dictionary(phrases(long, most_chars)), "phrases")
-    look = found.where("look").groupBy("key").agg(F.collect_set("at").alias("ats"))
-    seen = windows(long, look, most_chars).withColumn("n", F.count("*").over(W.partitionBy("hash"))).where("n > 1")
-    starts = seen.groupBy("key").agg(F.collect_set("start").alias("starts"))
-    whole = found.where("whole").groupBy("key").agg(F.collect_set("at").alias("wholes"))
-    cover = staged(whole.join(starts, "key", "full_outer"), "repeats")
+    long = rows.where(F.octet_length("text") >= passage).select("key", "text")
+    copies = long.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.lit("copies").alias("kind"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"))
+    spans = covered(long, length=length, shortest=passage, most_chars=most_chars).union(copies)
+    of = lambda kind: F.collect_set(F.when(F.col("kind") == kind, F.struct("start", "end")))
+    cover = staged(spans.groupBy("key").agg(of("removed").alias("gone"), of("passage").alias("passages"), F.max(F.col("kind") == "copies").alias("copied")), "repeats")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in chunks(batches, "text", most_chars):
             out = []
-            for t, wholes, starts in zip(texts(frame["text"]), frame["wholes"], frame["starts"]):
+            for t, spans, passages, copied in zip(texts(frame["text"]), frame["gone"], frame["passages"], frame["copied"]):
                 data = t.encode("utf-8", "replace")
-                step = np.zeros(len(data) + 1, np.int64)
-                if wholes is not None:
-                    at = np.asarray(wholes, np.int64)
-                    np.add.at(step, at >> 8, 1)
-                    np.add.at(step, (at >> 8) + (at & 255) - 1 + LENGTH, -1)
-                if starts is not None:
-                    at = np.asarray(starts, np.int64)
-                    np.add.at(step, at, 1)
-                    np.add.at(step, at + LENGTH, -1)
-                gone = np.cumsum(step[:-1]) > 0
-                spans = int((np.diff(gone.astype(np.int8), prepend=0) > 0).sum())
-                kept = np.frombuffer(data, np.uint8)[~gone].tobytes() if spans else data
-                out.append((kept, len(data), len(data) - len(kept), spans))
+                gone = _gone(len(data), spans)
+                n = int((np.diff(gone.astype(np.int8), prepend=0) > 0).sum())
+                kept = np.frombuffer(data, np.uint8)[~gone].tobytes() if n else data
+                edges = np.flatnonzero(np.diff(_gone(len(data), passages).astype(np.int8), prepend=0, append=0))
+                runs = [(0, len(data))] if copied is True else zip(edges[::2], edges[1::2])
+                out.append((kept, len(data), len(data) - len(kept), n, sum(len(data[a:b].split()) > passage_words for a, b in runs)))
             yield pd.concat([frame[names], pd.DataFrame(out, columns=made, index=frame.index)], axis=1)
 
-    joined_rows = rows.join(cover, "key", "left").select(*names, "text", "wholes", "starts")
-    out = joined_rows.mapInPandas(cut, schema + ", kept binary, n_bytes long, n_removed long, n_spans long")
+    joined_rows = rows.join(cover, "key", "left").select(*names, "text", "gone", "passages", "copied")
+    out = joined_rows.mapInPandas(cut, schema + ", kept binary, n_bytes long, n_removed long, n_spans long, n_passages long")
     return out.select(*shown, *made)
