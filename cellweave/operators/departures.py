@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from cellweave.functions import distributions as d
 from cellweave.functions.tails import nb_upper
 from cellweave.operators.error_control import bh
+from cellweave.operators.ranking import running
 
 RATE_RATIO = 1.1
 
@@ -200,8 +201,8 @@ def steps(cells: DataFrame, *, least_past: int = 2, prior: float = 0.05, sd: flo
 
 def bayes_selected(found: DataFrame, q: float, *, posterior: str = "posterior", id: str = "u") -> DataFrame:
     """The largest set, by decreasing posterior, whose mean posterior null is at most q."""
-    w = W.partitionBy(F.lit(0)).orderBy(F.desc(posterior), id).rowsBetween(W.unboundedPreceding, 0)
-    return found.withColumn("_mean", F.avg(1 - F.col(posterior)).over(w)).withColumn("selected", F.col("_mean") <= q).drop("_mean")
+    rows = running(found, [F.desc(posterior), F.asc(id)], {"_null": 1 - F.col(posterior), "_k": F.lit(1)})
+    return rows.withColumn("selected", F.col("_null") / F.col("_k") <= q).drop("_null", "_k")
 
 
 def share_excess(cells: DataFrame, q: float, *, theta: float = 50.0, least: int = 20, ratio: float = 1.25) -> DataFrame:

@@ -1,7 +1,7 @@
 """Multiple testing on tables of p-values. Ties are ordered by the id, so results don't depend on partitioning.
 
-Procedures that rank all tests of a family do so in one sorted pass over the family's rows (a p-value each); many
-families are ranked side by side.
+Without ``by``, all tests are one family, ranked over range-sorted parts (see ``ranking``), so no task holds them all.
+With ``by``, families are ranked side by side, each in one sorted pass over its rows.
 """
 
 from __future__ import annotations
@@ -10,9 +10,23 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from cellweave.operators.ranking import least_from, running
 
-def _families(by: list[str]):
-    return W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
+
+def _ranked(tests: DataFrame, value: str, id: str, by: list[str]) -> DataFrame:
+    """``tests`` with _rank and _m, the number of the family's tests."""
+    if by:
+        fam = W.partitionBy(*by)
+        return tests.withColumns({"_rank": F.row_number().over(fam.orderBy(value, id)), "_m": F.count("*").over(fam)})
+    rows = running(tests, [value, id], {"_rank": F.lit(1)})
+    return rows.crossJoin(rows.agg(F.count("*").alias("_m")))  # one row
+
+
+def _per_family(rows: DataFrame, by: list[str], **values: Column) -> DataFrame:
+    """``rows`` with aggregates of their family."""
+    if by:
+        return rows.withColumns({k: v.over(W.partitionBy(*by)) for k, v in values.items()})
+    return rows.crossJoin(rows.agg(*[v.alias(k) for k, v in values.items()]))  # one row
 
 
 def bh(tests: DataFrame, q: float, *, p: str = "p", id: str = "id", by: tuple[str, ...] = (), dependent: bool = False, weight: str | None = None) -> DataFrame:
@@ -20,31 +34,31 @@ def bh(tests: DataFrame, q: float, *, p: str = "p", id: str = "id", by: tuple[st
 
     Weights are scaled to mean 1 in each family and divide the p-values.
     """
-    fam = _families(list(by))
-    value = F.col(p)
+    fam = list(by)
+    rows = tests.withColumn("_p", F.col(p))
     if weight:
-        value = value / (F.col(weight) / F.avg(weight).over(fam))
-    rows = tests.withColumn("_p", value).withColumn("_m", F.count("*").over(fam))
-    rows = rows.withColumn("_rank", F.row_number().over(fam.orderBy("_p", id)))
-    if dependent:
-        rows = rows.withColumn("_c", F.sum(1 / F.col("_rank")).over(fam))
-    level = F.lit(q) * F.col("_rank") / (F.col("_m") * (F.col("_c") if dependent else F.lit(1.0)))
-    last = F.max(F.when(F.col("_p") <= level, F.col("_rank"))).over(fam)
-    out = rows.withColumn("rejected", F.coalesce(F.col("_rank") <= last, F.lit(False)))
-    return out.drop("_p", "_m", "_rank", "_c")
+        rows = _per_family(rows, fam, _w=F.avg(weight)).withColumn("_p", F.col(p) / (F.col(weight) / F.col("_w"))).drop("_w")
+    rows = _ranked(rows, "_p", id, fam)
+    rows = _per_family(rows, fam, _c=F.sum(1 / F.col("_rank"))) if dependent else rows.withColumn("_c", F.lit(1.0))
+    level = F.lit(q) * F.col("_rank") / (F.col("_m") * F.col("_c"))
+    rows = _per_family(rows, fam, _last=F.max(F.when(F.col("_p") <= level, F.col("_rank"))))
+    return rows.withColumn("rejected", F.coalesce(F.col("_rank") <= F.col("_last"), F.lit(False))).drop("_p", "_m", "_rank", "_c", "_last")
 
 
 def adjusted(tests: DataFrame, *, p: str = "p", id: str = "id", by: tuple[str, ...] = ()) -> DataFrame:
     """``tests`` with ``q_value``: the least level at which Benjamini-Hochberg rejects each."""
-    fam = _families(list(by))
-    rows = tests.withColumn("_m", F.count("*").over(fam)).withColumn("_rank", F.row_number().over(fam.orderBy(p, id)))
-    after = fam.orderBy(p, id).rowsBetween(0, W.unboundedFollowing)
-    return rows.withColumn("q_value", F.least(F.lit(1.0), F.min(F.col(p) * F.col("_m") / F.col("_rank")).over(after))).drop("_m", "_rank")
+    rows = _ranked(tests, p, id, list(by))
+    own = F.col(p) * F.col("_m") / F.col("_rank")
+    if by:
+        rows = rows.withColumn("_q", F.min(own).over(W.partitionBy(*by).orderBy(p, id).rowsBetween(0, W.unboundedFollowing)))
+    else:
+        rows = least_from(rows, [p, id], "_q", own)
+    return rows.withColumn("q_value", F.least(F.lit(1.0), F.col("_q"))).drop("_m", "_rank", "_q")
 
 
 def simes(tests: DataFrame, *, by: tuple[str, ...], p: str = "p", id: str = "id") -> DataFrame:
     """Simes p-value of each family: the least p m / rank."""
-    fam = _families(list(by))
+    fam = W.partitionBy(*by)
     rows = tests.withColumn("_v", F.col(p) * F.count("*").over(fam) / F.row_number().over(fam.orderBy(p, id)))
     return rows.groupBy(*by).agg(F.min("_v").alias("p"), F.count("*").alias("tests"))
 
@@ -52,8 +66,8 @@ def simes(tests: DataFrame, *, by: tuple[str, ...], p: str = "p", id: str = "id"
 def bogomolov(tests: DataFrame, q: float, *, family: str, p: str = "p", id: str = "id") -> DataFrame:
     """Families chosen by BH on their Simes p-values; in each, BH at q times the share of families chosen."""
     chosen = bh(simes(tests, by=(family,), p=p, id=id), q, id=family)
-    share = F.sum(F.col("rejected").cast("int")).over(W.partitionBy(F.lit(0))) / F.count("*").over(W.partitionBy(F.lit(0)))
-    chosen = chosen.select(family, F.col("rejected").alias("family_selected"), (F.lit(q) * share).alias("_q"))
+    chosen = _per_family(chosen, [], _share=F.avg(F.col("rejected").cast("int")))
+    chosen = chosen.select(family, F.col("rejected").alias("family_selected"), (F.lit(q) * F.col("_share")).alias("_q"))
     rows = tests.join(chosen, family)
     fam = W.partitionBy(family)
     rows = rows.withColumn("_rank", F.row_number().over(fam.orderBy(p, id))).withColumn("_m", F.count("*").over(fam))
@@ -62,7 +76,7 @@ def bogomolov(tests: DataFrame, q: float, *, family: str, p: str = "p", id: str
 
 
 def tree_bh(leaves: DataFrame, levels: list[str], q: float, *, p: str = "p", id: str = "id") -> DataFrame:
-    """Hierarchical BH down ``levels`` (coarse first): a node is tested only if its parent was chosen.
+    """``leaves`` with ``rejected``: hierarchical BH down ``levels`` (coarse first), a node tested only if its parent was chosen.
 
     A node's p-value is the Simes value of its leaves; among a chosen parent's children BH runs at q times the
     shares of children chosen on the way down.
@@ -71,21 +85,16 @@ def tree_bh(leaves: DataFrame, levels: list[str], q: float, *, p: str = "p", id:
     parents: list[str] = []
     for level in levels:
         nodes = simes(leaves, by=(*parents, level), p=p, id=id).select(*parents, level, F.col("p").alias("_np"))
-        if parents:
-            nodes = nodes.join(rows.select(*parents, "_level").distinct(), parents)
-        else:
-            nodes = nodes.withColumn("_level", F.lit(q))
-        fam = _families(parents)
-        ranked = nodes.withColumn("_rank", F.row_number().over(fam.orderBy("_np", level))).withColumn("_m", F.count("*").over(fam))
-        last = F.max(F.when(F.col("_np") <= F.col("_level") * F.col("_rank") / F.col("_m"), F.col("_rank"))).over(fam)
-        kept = ranked.withColumn("_last", last).where("_rank <= _last")
+        nodes = nodes.join(rows.select(*parents, "_level").distinct(), parents) if parents else nodes.withColumn("_level", F.lit(q))
+        ranked = _ranked(nodes, "_np", level, parents)
+        kept = _per_family(ranked, parents, _last=F.max(F.when(F.col("_np") <= F.col("_level") * F.col("_rank") / F.col("_m"), F.col("_rank")))).where("_rank <= _last")
         kept = kept.select(*parents, level, (F.col("_level") * F.col("_last") / F.col("_m")).alias("_level"))
         parents = [*parents, level]
         rows = rows.drop("_level").join(kept, parents)
-    fam = W.partitionBy(*parents)
-    rows = rows.withColumn("_rank", F.row_number().over(fam.orderBy(p, id))).withColumn("_m", F.count("*").over(fam))
-    last = F.max(F.when(F.col(p) <= F.col("_level") * F.col("_rank") / F.col("_m"), F.col("_rank"))).over(fam)
-    return rows.withColumn("_last", last).where("_rank <= _last").drop("_rank", "_m", "_last", "_level")
+    rows = _ranked(rows, p, id, parents)
+    rows = _per_family(rows, parents, _last=F.max(F.when(F.col(p) <= F.col("_level") * F.col("_rank") / F.col("_m"), F.col("_rank"))))
+    chosen = rows.where("_rank <= _last").select(id, F.lit(True).alias("rejected"))
+    return leaves.join(chosen, id, "left").withColumn("rejected", F.coalesce("rejected", F.lit(False)))
 
 
 def lond(tests: DataFrame, q: float, *, order: str, p: str = "p", by: str) -> DataFrame:

@@ -7,6 +7,7 @@ from itertools import permutations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from cellweave.functions.tails import poisson_interval
+from cellweave.operators.ranking import share_not_above
 
 
 def decomposition(cells: DataFrame) -> DataFrame:
@@ -133,9 +134,7 @@ def disparity(cells: DataFrame, *, reference: str) -> DataFrame:
 
 def context_percentiles(values: DataFrame, locus: Column) -> DataFrame:
     """Percentile (share not above) of each locus place's context value among all places."""
-    w = W.partitionBy(F.lit(0)).orderBy("value").rangeBetween(W.unboundedPreceding, 0)
-    rows = values.withColumn("percentile", F.count("*").over(w) / F.count("*").over(W.partitionBy(F.lit(0))))
-    return rows.where(locus)
+    return share_not_above(values, "value").where(locus)
 
 
 def recovery(found: DataFrame, documented: DataFrame) -> DataFrame:

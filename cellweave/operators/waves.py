@@ -8,6 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from cellweave.operators.ranking import running
+
 
 def onsets(hits: DataFrame) -> DataFrame:
     """(u, onset): each place's first departing period. hits: u, year, rejected."""
@@ -27,9 +29,9 @@ def wave_scores(onset: DataFrame, distance: DataFrame, *, least: int = 10) -> Da
     distance: source, u, d. A disc holds the places up to some distance; ranks of onsets are those among all places,
     so growing discs are running sums and no disc is gathered. The best disc of each source is returned.
     """
-    every = W.partitionBy(F.lit(0))
-    ranks = onset.withColumn("r", F.rank().over(every.orderBy("onset")) + (F.count("*").over(W.partitionBy("onset")) - 1) / 2)
-    rows = distance.join(ranks, "u")
+    tied = running(onset.groupBy("onset").agg(F.count("*").alias("_n")), ["onset"], {"_upto": F.col("_n")})
+    ranks = tied.select("onset", (F.col("_upto") - (F.col("_n") - 1) / 2).alias("r"))
+    rows = distance.join(onset.join(ranks, "onset"), "u")
     upto = W.partitionBy("source").orderBy("d", "u").rowsBetween(W.unboundedPreceding, 0)
     k = F.row_number().over(W.partitionBy("source").orderBy("d", "u"))
     rows = rows.withColumn("k", k.cast("double"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from cellweave.operators import departures as d, error_control as ec, expectation as ex, graphs, relations as rel
 from cellweave.queries.base import EXPECTED, REC, expected, governed, people, places, query, records
 from cellweave.sources.records import table
+from cellweave.sources.scratch import staged
 
 r6 = lambda col, name=None: F.round(col, 6).alias(name or col)
 
@@ -276,14 +279,30 @@ def institution_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.institution_windows(cells).select("facility", F.round("g", 5).alias("g"))
 
 
-#: p-values made of the data: a smooth function of each cell's ratio, with ties.
-_P = f"{EXPECTED}, tests AS (SELECT u * 10000 + year AS id, u, year, region, round(exp(-2 * abs(ln((y + 0.5) / (mu + 0.5))) * sqrt(mu) / 20), 3) AS p, mu FROM expected JOIN places USING (u))"
+#: A place and year's two half-years against all places' rate: the squared scaled residuals' sum, chi-square on 2 degrees
+#: of freedom, whose tail is exp(-x / 2).
+_P = f"""{EXPECTED}, hy AS (SELECT u, year, (month > 6)::INT AS half, sum(wt) AS y FROM cells GROUP BY ALL),
+hg AS (SELECT e.u, e.year, e.n, h.range::INT AS half, coalesce(hy.y, 0) AS y FROM expected e CROSS JOIN range(2) h LEFT JOIN hy ON hy.u = e.u AND hy.year = e.year AND hy.half = h.range),
+hm AS (SELECT *, n * sum(y) OVER (PARTITION BY year, half) / sum(n) OVER (PARTITION BY year, half) AS mu FROM hg),
+hp AS (SELECT CASE WHEN sum((y - mu) * (y - mu) - mu) > 0 THEN greatest(sum(mu * mu) / sum((y - mu) * (y - mu) - mu), 0.01) ELSE 1e9 END AS phi FROM hm),
+tests AS (SELECT hm.u * 10000 + year AS id, hm.u, year, region, round(exp(-sum((y - mu) * (y - mu) / (mu + mu * mu / phi)) / 2), 9) AS p, sum(mu) AS mu FROM hm JOIN places ON hm.u = places.u, hp WHERE mu > 0 GROUP BY ALL)"""
+
+
+def half_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(u, year, half, n, y, mu, phi)."""
+    cells = governed(spark, sf_dir).groupBy("u", "year", (F.col("month") > 6).cast("int").alias("half")).agg(F.sum("wt").alias("y"))
+    grid = expected(spark, sf_dir).select("u", "year", "n", F.explode(F.array(F.lit(0), F.lit(1))).alias("half"))
+    rows = grid.join(cells, ["u", "year", "half"], "left").withColumn("y", F.coalesce("y", F.lit(0)))
+    w = W.partitionBy("year", "half")
+    rows = staged(rows.withColumn("mu", F.col("n") * F.sum("y").over(w) / F.sum("n").over(w)), "halves")
+    return rows.crossJoin(ex.dispersion(rows))  # one row
 
 
 def _tests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = expected(spark, sf_dir).join(places(spark, sf_dir), "u")
-    p = F.round(F.exp(-2 * F.abs(F.log((F.col("y") + 0.5) / (F.col("mu") + 0.5))) * F.sqrt("mu") / 20), 3)
-    return rows.select((F.col("u") * 10000 + F.col("year")).alias("id"), "u", "year", "region", p.alias("p"), "mu")
+    rows = half_years(spark, sf_dir).where("mu > 0").join(places(spark, sf_dir), "u")
+    x = (F.col("y") - F.col("mu")) ** 2 / (F.col("mu") + F.col("mu") ** 2 / F.col("phi"))
+    per = rows.groupBy("u", "year", "region").agg(F.round(F.exp(-F.sum(x) / 2), 9).alias("p"), F.sum("mu").alias("mu"))
+    return per.select((F.col("u") * 10000 + F.col("year")).alias("id"), "u", "year", "region", "p", "mu")
 
 
 def _bh_sql(q: float, value: str = "p", c: str = "1.0") -> str:
@@ -301,7 +320,7 @@ def bh_dependent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ec.bh(_tests(spark, sf_dir), 0.5, dependent=True).select("id", "p", "rejected")
 
 
-@query(f"WITH {_P.replace('mu FROM expected JOIN', 'mu / avg(mu) OVER () AS w FROM expected JOIN')}, {_bh_sql(0.2, 'p / w')}")
+@query(f"WITH {_P.replace('tests AS (', 'unweighed AS (')}, tests AS (SELECT *, mu / avg(mu) OVER () AS w FROM unweighed), {_bh_sql(0.2, 'p / w')}")
 def bh_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ec.bh(_tests(spark, sf_dir), 0.2, weight="mu").select("id", "p", "rejected")
 
@@ -328,12 +347,32 @@ def bogomolov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ec.bogomolov(_tests(spark, sf_dir), 0.4, family="u").select("id", "rejected")
 
 
-@query()
+def _level(name: str, keys: str, parents: str, q: str, source: str) -> str:
+    """SQL of one level of hierarchical BH: Simes values of the nodes ``keys`` of ``source``, BH among the children of ``parents``."""
+    part = f"PARTITION BY {parents}" if parents else ""
+    return f"""{name}_s AS (SELECT {keys}, {q} AS lev, min(p * m / k) AS np FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY p, id) AS k, count(*) OVER (PARTITION BY {keys}) AS m FROM {source}) GROUP BY ALL),
+{name}_r AS (SELECT *, row_number() OVER ({part} ORDER BY np, {keys.split(", ")[-1]}) AS k, count(*) OVER ({part}) AS m FROM {name}_s), {name}_l AS (SELECT *, max(CASE WHEN np <= lev * k / m THEN k END) OVER ({part}) AS last FROM {name}_r),
+{name} AS (SELECT {keys}, lev * last / m AS lev FROM {name}_l WHERE k <= last)"""
+
+
+@query(
+    f"""WITH {_P}, {_level("ra", "region", "", "0.5", "tests")}, inside AS (SELECT tests.*, ra.lev FROM tests JOIN ra ON tests.region = ra.region), {_level("ua", "region, u", "region", "lev", "inside")},
+lr AS (SELECT tests.id, p, ua.lev, row_number() OVER (PARTITION BY tests.u ORDER BY p, id) AS k, count(*) OVER (PARTITION BY tests.u) AS m FROM tests JOIN ua ON tests.u = ua.u), ll AS (SELECT *, max(CASE WHEN p <= lev * k / m THEN k END) OVER (PARTITION BY id // 10000) AS last FROM lr)
+SELECT tests.id, region, u, tests.p, coalesce(ll.k <= ll.last, false) AS rejected FROM tests LEFT JOIN ll ON tests.id = ll.id"""
+)
 def tree_bh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ec.tree_bh(_tests(spark, sf_dir), ["region", "u"], 0.5).select("id", "region", "u", "p")
+    return ec.tree_bh(_tests(spark, sf_dir), ["region", "u"], 0.5).select("id", "region", "u", "p", "rejected")
 
 
-@query()
+_SCALE = 1 / sum(1 / (i * math.log(i + 1) ** 2) for i in range(1, 100_001))
+
+
+@query(
+    f"""WITH RECURSIVE {_P}, o AS (SELECT *, row_number() OVER (PARTITION BY u ORDER BY year) AS i FROM tests),
+f AS (SELECT id, u, p, i, {_SCALE!r} * 0.5 / (i * ln(i + 1) * ln(i + 1)) AS level, (p <= {_SCALE!r} * 0.5 / (i * ln(i + 1) * ln(i + 1)))::INT AS found FROM o WHERE i = 1
+UNION ALL SELECT o.id, o.u, o.p, o.i, {_SCALE!r} * 0.5 / (o.i * ln(o.i + 1) * ln(o.i + 1)) * (f.found + 1), f.found + (o.p <= {_SCALE!r} * 0.5 / (o.i * ln(o.i + 1) * ln(o.i + 1)) * (f.found + 1))::INT FROM f JOIN o ON o.u = f.u AND o.i = f.i + 1)
+SELECT id, p, round(level, 6) AS level, p <= level AS rejected FROM f"""
+)
 def lond(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ec.lond(_tests(spark, sf_dir), 0.5, order="year", by="u").select("id", "p", r6("level"), "rejected")
 

@@ -51,13 +51,15 @@ def governed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routed(records(spark, sf_dir), places(spark, sf_dir)).where("reason is null")
 
 
-#: Yearly counts and expectations of places: expected at all places' rate per customer in each year, phi fixed at 20.
+#: Yearly counts and expectations of places: expected at all places' rate per customer in each year, phi by moments.
 EXPECTED = REC + """,
 yearly AS (SELECT u, year, sum(wt)::BIGINT AS y FROM cells GROUP BY ALL),
 people AS (SELECT c_nationkey AS u, count(*)::DOUBLE AS n FROM customer GROUP BY ALL),
 grid AS (SELECT p.u, t.year, n FROM people p JOIN places USING (u), (SELECT DISTINCT year FROM cells) t),
 filled AS (SELECT grid.u, grid.year, n, coalesce(y, 0)::BIGINT AS y FROM grid LEFT JOIN yearly ON grid.u = yearly.u AND grid.year = yearly.year),
-expected AS (SELECT *, n * sum(y) OVER (PARTITION BY year) / sum(n) OVER (PARTITION BY year) AS mu, 20.0::DOUBLE AS phi FROM filled)"""
+level AS (SELECT *, n * sum(y) OVER (PARTITION BY year) / sum(n) OVER (PARTITION BY year) AS mu FROM filled),
+spread AS (SELECT CASE WHEN sum((y - mu) * (y - mu) - mu) > 0 THEN greatest(sum(mu * mu) / sum((y - mu) * (y - mu) - mu), 0.01) ELSE 1e9 END AS phi FROM level),
+expected AS (SELECT level.*, phi FROM level, spread)"""
 
 
 def people(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,13 +67,17 @@ def people(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def expected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(u, year, n, y, mu, phi), written once: whatever refers to it several times reads the records once."""
     from pyspark.sql import Window as W
 
+    from cellweave.operators.expectation import dispersion
     from cellweave.operators.exposure import lattice
+    from cellweave.sources.scratch import staged
 
     cells = governed(spark, sf_dir)
     yearly = cells.groupBy("u", "year").agg(F.sum("wt").alias("y"))
     grid = lattice(places(spark, sf_dir).select("u"), cells.select("year")).join(people(spark, sf_dir), "u")
     filled = grid.join(yearly, ["u", "year"], "left").withColumn("y", F.coalesce("y", F.lit(0)))
     w = W.partitionBy("year")
-    return filled.withColumns({"mu": F.col("n") * F.sum("y").over(w) / F.sum("n").over(w), "phi": F.lit(20.0)})
+    level = staged(filled.withColumn("mu", F.col("n") * F.sum("y").over(w) / F.sum("n").over(w)), "expected")
+    return level.crossJoin(dispersion(level))  # one row

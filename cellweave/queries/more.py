@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from cellweave.operators import departures as de, error_control as ec, expectation as ex, noise as no, waves as wv
-from cellweave.queries.analysis import _MONTHS, _tests, year_harmonics
-from cellweave.queries.base import EXPECTED, expected, governed, places, query
+from cellweave.operators.ranking import running
+from cellweave.queries.analysis import _tests
+from cellweave.queries.base import EXPECTED, REC, expected, governed, places, query
 from cellweave.queries.readers import _MARKS, _marked
 from cellweave.sources.records import table
 
@@ -29,12 +30,18 @@ def absent_before(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wv.absent_before(expected(spark, sf_dir), _onsets(spark, sf_dir))
 
 
+#: Suppliers on a line, their balance: each with the 30 before and the 30 after it.
+NEAR = 30
+
+
 def _first_orders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Suppliers' first sales as onsets, and distances between suppliers of like balance as a map of one dimension."""
+    """Suppliers' first sales as onsets, and distances of each supplier to those of like balance."""
     first = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("u")).agg(F.datediff(F.min("l_shipdate"), F.lit("1994-01-01").cast("date")).alias("onset"))
-    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("u"), "s_nationkey", "s_acctbal")
-    near = s.select(F.col("u").alias("source"), "s_nationkey", F.col("s_acctbal").alias("at")).join(s, "s_nationkey")
-    return first, near.select("source", "u", F.abs(F.col("at") - F.col("s_acctbal")).alias("d"))
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("u"), F.col("s_acctbal").alias("at"))
+    s = running(s, ["at", "u"], {"k": F.lit(1)})
+    around = s.select(F.col("u").alias("source"), F.col("at").alias("from"), "k", F.explode(F.sequence(F.lit(-NEAR), F.lit(NEAR))).alias("by"))
+    around = around.select("source", "from", (F.col("k") + F.col("by")).alias("k"))
+    return first, around.join(s, "k").select("source", "u", F.abs(F.col("from") - F.col("at")).alias("d"))
 
 
 @query()
@@ -45,7 +52,8 @@ def wave_of_onsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH o AS (SELECT l_suppkey AS u, min(l_shipdate)::DATE - DATE '1994-01-01' AS onset FROM lineitem GROUP BY ALL),
-d AS (SELECT a.s_suppkey AS source, b.s_suppkey AS u, abs(a.s_acctbal - b.s_acctbal) AS d FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey)
+r AS (SELECT *, row_number() OVER (ORDER BY s_acctbal, s_suppkey) AS k FROM supplier),
+d AS (SELECT a.s_suppkey AS source, b.s_suppkey AS u, abs(a.s_acctbal - b.s_acctbal) AS d FROM r a JOIN r b ON b.k BETWEEN a.k - 30 AND a.k + 30)
 SELECT source, round(median(d / (o.onset - s.onset)), 6) AS speed FROM d JOIN o ON d.u = o.u JOIN o s ON d.source = s.u WHERE o.onset > s.onset GROUP BY ALL"""
 )
 def wave_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,19 +124,31 @@ def replicated_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ec.adjusted(halved, by=("half",)).select("id", "half", r6("q_value"))
 
 
-_SEASON = f"""{_MONTHS}, h AS (SELECT u, year, round(sum(ln((y + 0.5) / (mu + 0.5)) * sin(2 * pi() * (month - 1) / 12)) / 6, 6) AS s, round(sum(ln((y + 0.5) / (mu + 0.5)) * cos(2 * pi() * (month - 1) / 12)) / 6, 6) AS c FROM mm GROUP BY ALL HAVING count(*) = 12)"""
+#: Regions' months against an even year.
+_SEASON = f"""{REC}, mo AS (SELECT region AS u, year, month, sum(wt) AS y FROM cells JOIN places ON cells.u = places.u GROUP BY ALL), mm AS (SELECT *, sum(y) OVER (PARTITION BY u, year) / 12.0 AS mu FROM mo),
+h AS (SELECT u, year, round(sum(ln((y + 0.5) / (mu + 0.5)) * sin(2 * pi() * (month - 1) / 12)) / 6, 6) AS s, round(sum(ln((y + 0.5) / (mu + 0.5)) * cos(2 * pi() * (month - 1) / 12)) / 6, 6) AS c FROM mm GROUP BY ALL HAVING count(*) = 12)"""
+
+
+def _regional_harmonics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = governed(spark, sf_dir).join(places(spark, sf_dir), "u").groupBy(F.col("region").alias("u"), "year", "month").agg(F.sum("wt").alias("y"))
+    rows = rows.withColumn("mu", F.sum("y").over(W.partitionBy("u", "year")) / 12.0)
+    return de.harmonics(rows).select("u", "year", r6("sin"), r6("cos"))
 
 
 @query(
-    f"""WITH {_SEASON} SELECT u, count(*)::BIGINT AS years, round(sqrt(avg(s) * avg(s) + avg(c) * avg(c)), 6) AS amplitude, round(atan2(avg(s), avg(c)) * 6 / pi(), 5) AS phase,
+    f"""WITH {_SEASON} SELECT u, count(*)::BIGINT AS years, round(sqrt(avg(s) * avg(s) + avg(c) * avg(c)), 6) AS amplitude, round(atan2(avg(s), avg(c)) * 6 / pi(), 4) AS phase,
 round(count(*) * (avg(s) * avg(s) + avg(c) * avg(c)) / (var_samp(s) + var_samp(c)), 5) AS f FROM h GROUP BY ALL HAVING count(*) >= 4"""
 )
 def season_departure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = de.season_departure(year_harmonics(spark, sf_dir))
-    return out.select("u", "years", r6("amplitude"), F.round("phase", 5).alias("phase"), F.round("f", 5).alias("f"))
+    out = de.season_departure(_regional_harmonics(spark, sf_dir))
+    return out.select("u", "years", r6("amplitude"), F.round("phase", 4).alias("phase"), F.round("f", 5).alias("f"))
 
 
-@query()
+#: The tail of F on 2 and m degrees of freedom is (1 + 2 f / m) ** (-m / 2).
+@query(
+    f"""WITH {_SEASON}, t AS (SELECT u, count(*) AS k, count(*) * (avg(s) * avg(s) + avg(c) * avg(c)) / (var_samp(s) + var_samp(c)) AS f FROM h GROUP BY ALL HAVING count(*) >= 4), p AS (SELECT u, pow(1 + f / (k - 1), 1 - k) AS p FROM t),
+r AS (SELECT *, row_number() OVER (ORDER BY p, u) AS k, count(*) OVER () AS m FROM p), l AS (SELECT max(k) AS last FROM r WHERE p <= 0.1 * k / m) SELECT u, round(p, 6) AS p, coalesce(k <= last, false) AS rejected FROM r, l"""
+)
 def season_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = de.season_departure(year_harmonics(spark, sf_dir)).withColumn("id", F.col("u"))
+    out = de.season_departure(_regional_harmonics(spark, sf_dir)).withColumn("id", F.col("u"))
     return ec.bh(out, 0.1).select("u", r6("p"), "rejected")
