@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cellweave.queries import analysis, more, readers, reading
+from cellweave.queries import analysis, modelling, more, readers, reading
 from cellweave.queries.base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "analysis", "more", "readers", "reading"]
+__all__ = ["ORACLES", "QUERIES", "analysis", "modelling", "more", "readers", "reading"]
