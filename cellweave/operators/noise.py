@@ -93,3 +93,12 @@ def explained_away(cells: DataFrame, driver: str) -> DataFrame:
     rows = cells.crossJoin(s).withColumn("_mu", w * F.exp(F.col("_a") + F.col("_b") * (x - F.col("_m"))))  # s is one row
     dev = lambda m: 2 * F.sum(F.when(F.col("y") > 0, F.col("y") * F.log(F.col("y") / m)).otherwise(0.0) - (F.col("y") - m))
     return rows.agg((1 - dev(F.col("_mu")) / dev(w)).alias("absorbed"), F.first("_b").alias("slope"))
+
+
+def lag_covariance(cells: DataFrame, lag: int) -> DataFrame:
+    """(u, year, covariance) of each cell and the one ``lag`` years before: the scaled residuals' common correlation times both deviations."""
+    sd = F.sqrt(F.col("mu") + F.col("mu") ** 2 / F.col("phi"))
+    w = W.partitionBy("u").orderBy("year")
+    rows = cells.select("u", "year", ((F.col("y") - F.col("mu")) / sd).alias("_r"), sd.alias("_sd")).withColumns({"_r1": F.lag("_r", lag).over(w), "_sd1": F.lag("_sd", lag).over(w)})
+    rho = rows.agg((F.sum(F.col("_r") * F.col("_r1")) / F.sum(F.col("_r") ** 2)).alias("_rho"))
+    return rows.where("_sd1 is not null").crossJoin(rho).select("u", "year", (F.col("_rho") * F.col("_sd") * F.col("_sd1")).alias("covariance"))  # one row
