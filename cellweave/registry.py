@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cellweave.queries import analysis, explaining, modelling, more, readers, reading
+from cellweave.queries import analysis, explaining, modelling, more, readers, reading, sources
 from cellweave.queries.base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "analysis", "explaining", "modelling", "more", "readers", "reading"]
+__all__ = ["ORACLES", "QUERIES", "analysis", "explaining", "modelling", "more", "readers", "reading", "sources"]
