@@ -33,7 +33,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: its lineage is cut and survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/cellweave/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

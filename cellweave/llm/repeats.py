@@ -16,9 +16,11 @@ is its phrase, and what they cover together, up to the longer length, its contex
   it. Neighbours in either order have the longest common bytes on that side, so no window outside their bounds repeats,
   and where one neighbour reaches both bounds, all windows within do. Both sorts are range sorts of Spark, so a phrase
   that is everywhere is spread over tasks. Windows that this leaves open (bounds from different neighbours, neighbours
-  in another task) are put together by the hash of their bytes.
+  in another task) are put together by the hash of their bytes. Texts are parsed twice, to count phrases and to find
+those that occur twice: that takes less of disks than to keep all of them.
 
-Phrases, contexts and open windows are told apart by 64-bit hashes. Texts are known by their hash, so equal rows get
+Phrases, contexts and open windows are told apart by 64-bit hashes; what is sorted and compared are a context's bytes
+beyond its phrase. Texts are known by their hash, so equal rows get
 equal results. Null texts count as empty; texts shorter than a match hold no repeat. Matches never cross texts, since
 windows don't. An empty table gives an empty result.
 """
@@ -33,7 +35,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cellweave.llm.common import chunks, sealed, staged, texts
-from cellweave.llm.words import joined, prefix_sums, stretch
+from cellweave.llm.words import joined, mix, prefix_sums, stretch
 
 #: Bytes of a repeat that is removed, of a passage that is counted, and the words that a passage has more than.
 LENGTH, PASSAGE, WORDS = 400, 280, 50
@@ -132,9 +134,14 @@ def contexts(triggers: DataFrame) -> DataFrame:
     ).select("core", "context", "n", "other", "_one.*")
 
 
+def _inside(shortest: int) -> tuple[int, int]:
+    """The bytes of a phrase before its trigger and from it on."""
+    return reach(shortest) - 1, shortest - 2 * reach(shortest) + 2
+
+
 def border_contexts(rows: DataFrame, look: DataFrame, length: int, shortest: int, most_chars: int) -> DataFrame:
-    """(core, key, place, after, before): the bytes from the trigger on, and those before it read backwards."""
-    r = reach(shortest)
+    """(core, key, place, after, before): the bytes beyond the phrase, those before it read backwards."""
+    r, (left, right) = reach(shortest), _inside(shortest)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in chunks(batches, "text", most_chars):
@@ -143,7 +150,7 @@ def border_contexts(rows: DataFrame, look: DataFrame, length: int, shortest: int
                 data = text.encode("utf-8", "replace")
                 for x in some:
                     first, at = x["place"] >> 24, (x["place"] >> 24) + (x["place"] >> 16 & 255)
-                    out.append((x["core"], key, x["place"], data[at : at - r + 1 + length], data[first:at][::-1]))
+                    out.append((x["core"], key, x["place"], data[at + right : at - r + 1 + length], data[first : at - left][::-1]))
             yield pd.DataFrame(out, columns=["core", "key", "place", "after", "before"])
 
     some = look.groupBy("key").agg(F.collect_set(F.struct("core", "place")).alias("some"))
@@ -159,13 +166,13 @@ def _common(x: pd.Series, skip: np.ndarray) -> np.ndarray:
     return np.where(skip, 0, (grid[:-1] != grid[1:]).argmax(1))
 
 
-def neighbours(borders: DataFrame, order: list[str]) -> DataFrame:
+def neighbours(borders: DataFrame, order: list[str], shortest: int) -> DataFrame:
     """(core, key, place, before, after, other, open): what contexts have in common with their neighbours in an order.
 
-    before, after: the bytes on both sides of the trigger; other: the neighbour is of another text; open: the neighbour
+    before, after: the bytes before the trigger and from it on, those of the phrase included; other: the neighbour is of another text; open: the neighbour
     is in another task, and nothing is known of it.
     """
-    names = ["core", "key", "place"]
+    names, (left, right) = ["core", "key", "place"], _inside(shortest)
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -180,7 +187,7 @@ def neighbours(borders: DataFrame, order: list[str]) -> DataFrame:
                     continue
                 core, key = frame["core"].to_numpy(), frame["key"].to_numpy()
                 apart = core[1:] != core[:-1]
-                both = {"before": _common(frame["before"], apart), "after": _common(frame["after"], apart), "other": key[1:] != key[:-1], "open": False}
+                both = {"before": left + _common(frame["before"], apart), "after": right + _common(frame["after"], apart), "other": key[1:] != key[:-1], "open": False}
                 for side in (frame.iloc[:-1], frame.iloc[1:]):
                     yield side[names].reset_index(drop=True).assign(**both)[~apart]
         if held is not None:
@@ -206,7 +213,7 @@ def matched(pairs: DataFrame, length: int, which: int) -> DataFrame:
 
 
 def undecided(pairs: DataFrame, length: int, which: int, only_other: bool) -> DataFrame:
-    """The phrases (core) with a context whose windows neighbours leave open."""
+    """(core, distances): distances from window to trigger that neighbours leave open for some context of a phrase."""
     each = pairs.groupBy("core", "key", "place").agg(
         F.max("before").alias("_b"), F.max("after").alias("_a"), F.max("open").alias("_open"), F.collect_list(F.struct("before", "after", "other")).alias("_pairs")
     )  # at most four pairs
@@ -214,27 +221,36 @@ def undecided(pairs: DataFrame, length: int, which: int, only_other: bool) -> Da
     # a neighbour in another task may have any bytes in common
     low, high = (F.when(F.col("_open"), x).otherwise(y) for x, y in zip(_bounds(length, which, F.lit(1 << 20), F.lit(length)), (low, high)))
     rows = each.withColumns({"_low": low, "_high": high}).where("_low <= _high")
-    own = F.exists("_pairs", lambda p: (F.lit(length) - p["after"] <= F.col("_low")) & (p["before"] >= F.col("_high")) & (p["other"] if only_other else F.lit(True)))
-    return rows.where(~own).select("core").distinct()
+    own = lambda at: F.exists("_pairs", lambda p: (F.lit(length) - p["after"] <= at) & (p["before"] >= at) & (p["other"] if only_other else F.lit(True)))
+    left = rows.select("core", F.explode(F.filter(F.sequence("_low", "_high"), lambda at: ~own(at))).alias("distance"))
+    return left.groupBy("core").agg(F.collect_set("distance").alias("distances"))  # as many as a phrase has windows
 
 
-def windows(borders: DataFrame, cores: DataFrame, length: int, which: int) -> DataFrame:
-    """(key, start, end, other) of the windows of these phrases that occur twice, told apart by a hash of their bytes."""
+def windows(borders: DataFrame, distances: DataFrame, length: int, shortest: int, which: int) -> DataFrame:
+    """(key, start, end, other) of the windows at these distances that occur twice, told apart by a hash of their bytes.
+
+    A window is known by its phrase, its distance, and its bytes beyond the phrase.
+    """
+    left, right = _inside(shortest)
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for low in range(0, len(batch), 1000):
                 frame = batch.iloc[low : low + 1000]
                 data, starts = joined([b[::-1] + a for b, a in zip(frame["before"], frame["after"])])
-                place = frame["place"].to_numpy()
-                n = place >> 8 * which & 255
-                of = np.repeat(np.arange(len(frame)), n)
-                shift = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                at = starts[of] + shift
-                hashes = stretch(prefix_sums(data), at, at + length)
-                yield pd.DataFrame({"hash": hashes.view(np.int64), "key": frame["key"].to_numpy()[of], "start": (place >> 24)[of] + shift})
-
-    rows = staged(borders.join(cores, "core", "left_semi").select("key", "place", "before", "after").mapInPandas(each, "hash long, key long, start long"), "windows")
+                place, core = frame["place"].to_numpy(), frame["core"].to_numpy().view(np.uint64)
+                of = np.repeat(np.arange(len(frame)), frame["distances"].map(len))
+                d = np.concatenate([np.asarray(x, np.int64) for x in frame["distances"]])
+                most = place >> 16 & 255
+                ours = np.flatnonzero((d <= most[of]) & (d > (most - (place >> 8 * which & 255))[of]))
+                of, d = of[ours], d[ours]
+                trigger = starts[of] + frame["before"].str.len().to_numpy()[of]
+                hashes = stretch(prefix_sums(data), trigger - (d - left), trigger + (length - d - right))
+                hashes = mix(hashes ^ mix(core[of] + d.astype(np.uint64)))
+                yield pd.DataFrame({"hash": hashes.view(np.int64), "key": frame["key"].to_numpy()[of], "start": (place >> 24)[of] + most[of] - d})
+
+    rows = borders.join(distances, "core").select("core", "key", "place", "before", "after", "distances")
+    rows = staged(rows.mapInPandas(each, "hash long, key long, start long"), "windows")
     seen = rows.groupBy("hash").agg(F.count("*").alias("n"), (F.min("key") < F.max("key")).alias("other")).where("n > 1")
     return rows.join(seen.select("hash", "other"), "hash").select("key", "start", (F.col("start") + length).alias("end"), "other")
 
@@ -243,9 +259,9 @@ def covered(rows: DataFrame, *, length: int, shortest: int, most_chars: int) ->
     """(key, kind, start, end): stretches of texts (key, text) that repeated strings cover.
 
     kind "removed": strings of ``length`` bytes that start anywhere else; "passage": of ``shortest`` bytes that are in
-    another text.
+    another text; "whole": start is the place of a trigger whose windows all repeat, end whether in another text (0, 1).
     """
-    triggers = staged(parsed(rows, shortest, length, most_chars), "triggers")
+    triggers = parsed(rows, shortest, length, most_chars)
     twice = triggers.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
     found = staged(triggers.join(twice, "core"), "phrases")
     known = staged(contexts(found), "contexts")
@@ -253,17 +269,13 @@ def covered(rows: DataFrame, *, length: int, shortest: int, most_chars: int) ->
     ends = known.groupBy("core").agg(F.count("*").alias("contexts"), F.max((F.col("n") == 1) | ~F.col("other")).alias("ends")).where("contexts > 1 and ends").select("core")
     look = known.join(ends, "core", "left_semi").select("core", "key", "place")
     borders = staged(border_contexts(rows, look, length, shortest, most_chars), "borders")
-    pairs = staged(neighbours(borders, ["core", "after", "before"]).union(neighbours(borders, ["core", "before", "after"])), "neighbours")
+    pairs = staged(neighbours(borders, ["core", "after", "before"], shortest).union(neighbours(borders, ["core", "before", "after"], shortest)), "neighbours")
     whole = found.join(known.where("n > 1").select("core", "context", "other"), ["core", "context"])
-    first = _first(F.col("place"))
-    out = []
+    out = [whole.select("key", F.lit("whole").alias("kind"), F.col("place").alias("start"), F.col("other").cast("long").alias("end"))]
     for kind, size, which in (("removed", length, 0), ("passage", shortest, 1)):
         passage = kind == "passage"
-        n = _byte(F.col("place"), which)
-        every = whole.where(F.col("other")) if passage else whole
-        open_windows = windows(borders, undecided(pairs, size, which, passage), size, which)
+        open_windows = windows(borders, undecided(pairs, size, which, passage), size, shortest, which)
         parts = [
-            every.where(n > 0).select("key", first.alias("start"), (first + n - 1 + size).alias("end")),
             matched(pairs.where("other") if passage else pairs, size, which),
             (open_windows.where("other") if passage else open_windows).select("key", "start", "end"),
         ]
@@ -274,13 +286,17 @@ def covered(rows: DataFrame, *, length: int, shortest: int, most_chars: int) ->
     return total
 
 
-def _gone(n: int, spans: list | None) -> np.ndarray:
-    """Which of n bytes the spans (start, end) cover."""
+def _gone(n: int, spans: list | None, places: np.ndarray, which: int, length: int) -> np.ndarray:
+    """Which of n bytes are covered by spans (start, end), or by all windows of triggers at these places."""
     step = np.zeros(n + 1, np.int64)
     if spans is not None and len(spans):
         at = np.array([(s["start"], s["end"]) for s in spans], np.int64)
         np.add.at(step, at[:, 0], 1)
         np.add.at(step, at[:, 1], -1)
+    count = places >> 8 * which & 255
+    first, count = (places >> 24)[count > 0], count[count > 0]
+    np.add.at(step, first, 1)
+    np.add.at(step, first + count - 1 + length, -1)
     return np.cumsum(step[:-1]) > 0
 
 
@@ -298,21 +314,22 @@ def removed(docs: DataFrame, *, text: str = "text", keep: list[str], length: int
     copies = long.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.lit("copies").alias("kind"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"))
     spans = covered(long, length=length, shortest=passage, most_chars=most_chars).union(copies)
     of = lambda kind: F.collect_set(F.when(F.col("kind") == kind, F.struct("start", "end")))
-    cover = staged(spans.groupBy("key").agg(of("removed").alias("gone"), of("passage").alias("passages"), F.max(F.col("kind") == "copies").alias("copied")), "repeats")
+    cover = staged(spans.groupBy("key").agg(of("removed").alias("gone"), of("passage").alias("passages"), of("whole").alias("whole"), F.max(F.col("kind") == "copies").alias("copied")), "repeats")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in chunks(batches, "text", most_chars):
             out = []
-            for t, spans, passages, copied in zip(texts(frame["text"]), frame["gone"], frame["passages"], frame["copied"]):
+            for t, spans, passages, whole, copied in zip(texts(frame["text"]), frame["gone"], frame["passages"], frame["whole"], frame["copied"]):
                 data = t.encode("utf-8", "replace")
-                gone = _gone(len(data), spans)
+                at = np.array([(x["start"], x["end"]) for x in whole] if whole is not None else [], np.int64).reshape(-1, 2)
+                gone = _gone(len(data), spans, at[:, 0], 0, length)
                 n = int((np.diff(gone.astype(np.int8), prepend=0) > 0).sum())
                 kept = np.frombuffer(data, np.uint8)[~gone].tobytes() if n else data
-                edges = np.flatnonzero(np.diff(_gone(len(data), passages).astype(np.int8), prepend=0, append=0))
+                edges = np.flatnonzero(np.diff(_gone(len(data), passages, at[at[:, 1] == 1, 0], 1, passage).astype(np.int8), prepend=0, append=0))
                 runs = [(0, len(data))] if copied is True else zip(edges[::2], edges[1::2])
                 out.append((kept, len(data), len(data) - len(kept), n, sum(len(data[a:b].split()) > passage_words for a, b in runs)))
             yield pd.concat([frame[names], pd.DataFrame(out, columns=made, index=frame.index)], axis=1)
 
-    joined_rows = rows.join(cover, "key", "left").select(*names, "text", "gone", "passages", "copied")
+    joined_rows = rows.join(cover, "key", "left").select(*names, "text", "gone", "passages", "whole", "copied")
     out = joined_rows.mapInPandas(cut, schema + ", kept binary, n_bytes long, n_removed long, n_spans long, n_passages long")
     return out.select(*shown, *made)
