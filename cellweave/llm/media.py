@@ -60,7 +60,7 @@ def features(tensor: np.ndarray) -> str:
     return ":".join(f"{v:.4f}" for v in [*means, *light])
 
 
-def stored(docs: DataFrame, *, text: str = "text", keep: list[str], most_chars: int = 2_000_000) -> DataFrame:
+def stored(docs: DataFrame, *, text: str = "text", keep: list[str], most_chars: int = 1_000_000) -> DataFrame:
     """``keep``, ``media`` (the stored file), and what reading it back gives: ``payload``, ``height``, ``width``,
     ``feature`` and ``rgb``, the full-resolution tensor's bytes, channel by channel, row by row."""
     made = ["media", "payload", "height", "width", "feature", "rgb"]

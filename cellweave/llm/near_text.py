@@ -94,7 +94,7 @@ def row_hash(docs: DataFrame) -> Column:
     return F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind])
 
 
-def signed(docs: DataFrame, *, id: str, text: str, trees: int, depth: int, shingle: int, most_chars: int = 1_500_000) -> DataFrame:
+def signed(docs: DataFrame, *, id: str, text: str, trees: int, depth: int, shingle: int, most_chars: int = 1_000_000) -> DataFrame:
     """(id, row, h1, h2, n_words, sig): each document's id, row hash, text keys and MinHash values."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -47,7 +47,7 @@ class Encoder:
     #: The second bytes of Latin-1 letters, whose lower case is one letter too; the first is 0xC3.
     _SECOND = np.isin(np.arange(256), [*range(0x80, 0x97), *range(0x98, 0xB7), *range(0xB8, 0xC0)])
 
-    def __init__(self, path: str, most: int = 3_000_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -58,7 +58,7 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.key, self.at, self.size, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+        self.key, self.at, self.size, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, "<u4")
 
     def _segments(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start and end of each segment, and whether it is a word of plain letters."""
@@ -110,11 +110,11 @@ class Encoder:
             made = self.tokenizer.encode_batch_fast([data[a:b].tobytes().decode() for a, b in zip(start[other].tolist(), end[other].tolist())], add_special_tokens=False)
             each = [np.array(e.ids, "<u4") for e in made]
             size[other], ids[1] = [len(x) for x in each], np.concatenate(each)
-        at = np.zeros(len(key), np.int64)
+        at = np.zeros(len(key), np.int32)
         order = np.concatenate([plain, other])
         at[order] = len(self.pool) + np.cumsum(size[order]) - size[order]
         to = np.searchsorted(self.key, key)
-        self.key, self.at, self.size = (np.insert(old, to, new) for old, new in ((self.key, key), (self.at, at), (self.size, size)))
+        self.key, self.at, self.size = (np.insert(old, to, new) for old, new in ((self.key, key), (self.at, at), (self.size, size.astype(np.int32))))
         self.pool = np.concatenate([self.pool, *ids])
 
     def encode(self, items: list[str]) -> list[bytes]:
@@ -132,7 +132,7 @@ class Encoder:
             fresh = first[~known]
             self._learn(key[~known], start[fresh], end[fresh], word[fresh], data)
             place = np.searchsorted(self.key, key)
-        count = self.size[place][which]
+        count = self.size[place].astype(np.int64)[which]
         reached = np.concatenate([[0], np.cumsum(count)])
         out = self.pool[np.repeat(self.at[place][which] - reached[:-1], count) + np.arange(reached[-1])]
         texts = np.cumsum([0] + [len(x) + 1 for x in raw])
@@ -143,7 +143,7 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
-def pieces(docs: DataFrame, path: str, *, id: str, text: str, capacity: int = CAPACITY, end: int = END, most_chars: int = 3_000_000) -> DataFrame:
+def pieces(docs: DataFrame, path: str, *, id: str, text: str, capacity: int = CAPACITY, end: int = END, most_chars: int = 1_000_000) -> DataFrame:
     """(id, piece, start, length, ids_crc32): each document's ids and the end token, cut every ``capacity`` tokens."""
     tail = np.array([end], "<u4").tobytes()
 

@@ -69,7 +69,7 @@ def fit(labelled: DataFrame, *, max_rows: int = MAX_ROWS, shards: int = 1, epoch
     return Weights(keys[order], np.array([r.weight / n for r in found if not r.bias])[order], sum(r.weight / n for r in found if r.bias))
 
 
-def score(docs: DataFrame, weights: Weights, *, keep: list[str], text: str = "text", most_chars: int = 2_000_000) -> DataFrame:
+def score(docs: DataFrame, weights: Weights, *, keep: list[str], text: str = "text", most_chars: int = 1_000_000) -> DataFrame:
     """The ``keep`` columns of ``docs`` and ``score``, the probability that the whole text is toxic."""
     sent = docs.sparkSession.sparkContext.broadcast(weights)
     hidden, shown, schema = sealed(docs, keep, ("score",))
