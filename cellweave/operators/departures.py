@@ -205,19 +205,44 @@ def bayes_selected(found: DataFrame, q: float, *, posterior: str = "posterior",
     return rows.withColumn("selected", F.col("_null") / F.col("_k") <= q).drop("_null", "_k")
 
 
-def share_excess(cells: DataFrame, q: float, *, theta: float = 50.0, least: int = 20, ratio: float = 1.25) -> DataFrame:
-    """Parts of totals two-sided against a beta-binomial around the expected share. cells: u, year, y, n, share."""
+def central_theta(cells: DataFrame) -> DataFrame:
+    """theta of a beta-binomial by central matching: the middle half's spread of (y - n p) / sqrt(n p (1 - p)) at the mean n.
+
+    cells: y, n, share. One row; 1e6 where the middle spreads no more than a binomial's.
+    """
+    z = (F.col("y") - F.col("n") * F.col("share")) / F.sqrt(F.col("n") * F.col("share") * (1 - F.col("share")))
+    rows = cells.where("share > 0 and share < 1").select(z.alias("z"), "n")
+    s = ((F.percentile("z", F.lit(0.75)) - F.percentile("z", F.lit(0.25))) / 1.349) ** 2
+    out = rows.agg(s.alias("s"), F.avg("n").alias("n"))
+    return out.select(F.when(F.col("s") > 1, F.greatest(F.lit(1.0), (F.col("n") - 1) / (F.col("s") - 1) - 1)).otherwise(F.lit(1e6)).alias("theta"))
+
+
+def share_excess(cells: DataFrame, q: float, *, least: int = 20, ratio: float = 1.25) -> DataFrame:
+    """Parts of totals two-sided against a beta-binomial around the expected share. cells: u, year, y, n, share.
+
+    Tails are sums over counts, of many cells at once; for totals beyond 100,000 they are a normal's with a half added.
+    """
 
     def tails(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in batches:
-            p = []
-            for y, n, s in zip(f["y"], f["n"], f["share"]):
-                low, high = d.betabinom_tails(int(y), int(n), max(s, 1e-9) * theta, max(1 - s, 1e-9) * theta)
-                p.append(min(1.0, 2 * min(low, high)))
-            yield f.assign(p=p)
+            y, n, s, theta = (f[c].to_numpy(float) for c in ("y", "n", "share", "theta"))
+            s = np.clip(s, 1e-9, 1 - 1e-9)
+            sd = np.sqrt(n * s * (1 - s) * (1 + (n - 1) / (theta + 1)))
+            low, high = d.normal_cdf((y + 0.5 - n * s) / sd), d.normal_sf((y - 0.5 - n * s) / sd)
+            exact = np.flatnonzero(n <= 100_000)
+            for part in np.split(exact, np.flatnonzero(np.diff(np.cumsum(n[exact] + 1) // 1_000_000)) + 1):
+                size = (n[part] + 1).astype(int)
+                of = np.repeat(np.arange(len(part)), size)
+                k = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                m, a, b = n[part][of], (s * theta)[part][of], ((1 - s) * theta)[part][of]
+                p = np.exp(d.betabinom_logpmf(k.astype(float), m, a, b))
+                low[part] = np.bincount(of, p * (k <= y[part][of]), len(part))
+                high[part] = np.bincount(of, p * (k >= y[part][of]), len(part))
+            yield f.assign(p=np.minimum(1.0, 2 * np.minimum(low, high)))
 
     rows = cells.where(F.col("n") >= least).select("u", "year", F.col("y").cast("long"), F.col("n").cast("long"), F.col("share").cast("double"))
-    tested = rows.mapInPandas(tails, "u int, year int, y long, n long, share double, p double")
+    rows = rows.crossJoin(central_theta(rows))  # one row
+    tested = rows.mapInPandas(tails, "u int, year int, y long, n long, share double, theta double, p double")
     r = (F.col("y") + 0.5) / (F.col("n") * F.col("share") + 0.5)
     out = bh(tested.withColumn("id", F.concat_ws(":", "u", "year")).withColumn("ratio", r), q)
     return out.withColumn("found", F.col("rejected") & ((F.col("ratio") >= ratio) | (F.col("ratio") <= 1 / ratio))).drop("id", "rejected")

@@ -125,10 +125,12 @@ def optimal_weights(xi: Column, alpha: float, c: float) -> Column:
     return F.when(xi > 0, normal_two_sided(xi / 2 + F.lit(c) / xi) / 2 / F.lit(alpha)).otherwise(F.lit(0.0))
 
 
-def halves(rows: DataFrame, *, unit: str, within: str, seed: str = "") -> DataFrame:
-    """``rows`` with ``half`` 0 or 1: units of each ``within`` in the order of a hash, alternately."""
+def halves(rows: DataFrame, *, unit: str, within: str) -> DataFrame:
+    """``rows`` with ``half`` 0 or 1: units (whole numbers) of each ``within`` in a scattered order, alternately."""
+    from cellweave.operators.expectation import scattered
+
     units = rows.select(unit, within).distinct()
-    w = W.partitionBy(within).orderBy(F.xxhash64(F.lit(seed), unit), unit)
+    w = W.partitionBy(within).orderBy(scattered(unit), unit)
     side = units.select(unit, within, (F.row_number().over(w) % 2).alias("half"))
     return rows.join(side, [unit, within])
 

@@ -83,6 +83,16 @@ def uniform(*keys: str, seed: str = ""):
     return (F.pmod(F.xxhash64(F.lit(seed), *[F.col(k) for k in keys]), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
+def scattered(*keys: str):
+    """A uniform number in [0, 1) that depends on whole-number keys alone, by arithmetic that any engine has."""
+    total = F.lit(0).cast("long")
+    for k, prime in zip(keys, (73_856_093, 19_349_663, 83_492_791)):
+        total = total + F.col(k).cast("long") * F.lit(prime)
+    mixed = F.pmod(F.pmod(total, F.lit(1 << 31)) * F.lit(2_654_435_761), F.lit(1 << 32))
+    mixed = F.pmod(F.shiftright(mixed, 9) * F.lit(1_103_515_245) + F.lit(12_345), F.lit(1 << 31))
+    return mixed / F.lit(float(1 << 31))
+
+
 def surprise(cells: DataFrame, *, keys: tuple[str, ...] = ("u", "year")) -> DataFrame:
     """Randomised PIT, z and weight w = mu / (1 + mu / phi) of each cell (y, mu, phi)."""
     rows = cells.withColumn("_p", randomised_pit("y", "mu", "phi", uniform(*keys, seed="pit")))

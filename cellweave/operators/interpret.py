@@ -15,14 +15,13 @@ def decomposition(cells: DataFrame) -> DataFrame:
 
     cells: u, g, n0, y0, n1, y1. n = N * place share * group share within the place; rates y / n.
     """
-    w = W.partitionBy(F.lit(0))
     p = W.partitionBy("u")
-    rows = cells
+    rows = cells.crossJoin(cells.agg(F.sum("n0").alias("all0"), F.sum("n1").alias("all1")))  # one row
     for k in ("0", "1"):
-        rows = rows.withColumns({f"N{k}": F.sum(f"n{k}").over(w), f"U{k}": F.sum(f"n{k}").over(p)})
-        rows = rows.withColumns({f"s{k}": F.col(f"U{k}") / F.col(f"N{k}"), f"c{k}": F.when(F.col(f"U{k}") > 0, F.col(f"n{k}") / F.col(f"U{k}")).otherwise(0.0), f"r{k}": F.when(F.col(f"n{k}") > 0, F.col(f"y{k}") / F.col(f"n{k}")).otherwise(0.0)})
-    parts = ("N", "s", "c", "r")
-    named = {"N": "size", "s": "place", "c": "composition", "r": "risk"}
+        rows = rows.withColumn(f"of{k}", F.sum(f"n{k}").over(p))
+        rows = rows.withColumns({f"s{k}": F.col(f"of{k}") / F.col(f"all{k}"), f"c{k}": F.when(F.col(f"of{k}") > 0, F.col(f"n{k}") / F.col(f"of{k}")).otherwise(0.0), f"r{k}": F.when(F.col(f"n{k}") > 0, F.col(f"y{k}") / F.col(f"n{k}")).otherwise(0.0)})
+    parts = ("all", "s", "c", "r")
+    named = {"all": "size", "s": "place", "c": "composition", "r": "risk"}
 
     def value(now: frozenset) -> Column:
         out = F.lit(1.0)

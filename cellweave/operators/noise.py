@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from cellweave.operators.expectation import uniform
+from cellweave.operators.error_control import halves
+from cellweave.operators.expectation import scattered
 
 
 def winsorised_scores(cells: DataFrame, *, bound: float = 3.5) -> DataFrame:
@@ -54,13 +55,13 @@ def facility_effects(rows: DataFrame) -> DataFrame:
     return f.select("facility", "n", ((F.col("sr") / F.col("n") - F.col("m")) * F.col("tau2") / (F.col("tau2") + F.col("s2") / F.col("n"))).alias("effect"))
 
 
-def event_sides(cells: DataFrame, share: float, *, keys: tuple[str, ...], seed: str = "sides") -> DataFrame:
+def event_sides(cells: DataFrame, share: float, *, keys: tuple[str, str]) -> DataFrame:
     """Counts split in two sides at random, each event by itself: the sides are thinned counts that add up to y.
 
-    Events of a cell are numbered by ``sequence``, so the work follows the events; a hash of cell and number decides.
+    Events of a cell are numbered by ``sequence``, so the work follows the events; cell (two whole numbers) and number decide.
     """
     each = cells.where("y > 0").select(*keys, F.explode(F.sequence(F.lit(1), F.col("y").cast("int"))).alias("_i"))
-    first = each.groupBy(*keys).agg(F.sum((uniform(*keys, "_i", seed=seed) < share).cast("int")).alias("a"))
+    first = each.groupBy(*keys).agg(F.sum((scattered(*keys, "_i") < share).cast("int")).alias("a"))
     rows = cells.join(first, list(keys), "left").withColumn("a", F.coalesce("a", F.lit(0)))
     return rows.withColumn("b", F.col("y") - F.col("a"))
 
@@ -74,10 +75,11 @@ def planted(cells: DataFrame, where: Column, theta: float, *, shape: str = "spik
 def jurisdictions(cells: DataFrame, *, place: str, state: str, own: Column) -> DataFrame:
     """Whether other states show what a locus's own states do: observed, expected and ratio inside and outside, by side.
 
-    Places of other states are halved by a hash of the state, so that the two halves share no jurisdiction.
+    The other states are halved at random, so that the two halves share no jurisdiction.
     """
-    side = F.when(own, "own").otherwise(F.concat(F.lit("half "), F.pmod(F.col(state), F.lit(2)).cast("string")))
-    per = cells.groupBy(side.alias("side")).agg(F.count_distinct(place).alias("places"), F.sum("y").alias("y"), F.sum("mu").alias("mu"))
+    rows = halves(cells.withColumns({"_own": own, "_every": F.lit(0)}), unit=state, within="_every")
+    side = F.when(F.col("_own"), "own").otherwise(F.concat(F.lit("half "), F.col("half").cast("string")))
+    per = rows.groupBy(side.alias("side")).agg(F.count_distinct(place).alias("places"), F.sum("y").alias("y"), F.sum("mu").alias("mu"))
     return per.withColumn("ratio", (F.col("y") + 0.5) / (F.col("mu") + 0.5))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import combinations
+from itertools import combinations, product
 
 import numpy as np
 import pandas as pd
@@ -33,40 +33,53 @@ def capture_patterns(flags: DataFrame, systems: list[str]) -> DataFrame:
     return rows.where(" or ".join(f"{s} = 1" for s in systems))
 
 
-def multiple_systems(patterns: DataFrame, systems: list[str], *, max_pairs: int = 3) -> tuple[float, float]:
-    """Estimated total and its standard deviation: log-linear models of all main and up to ``max_pairs`` pair effects, weighted by AIC.
+def log_linear(design: np.ndarray, counts: np.ndarray, *, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, float] | None:
+    """Poisson regression: coefficients, their covariance and the log likelihood; None if the design doesn't identify them."""
+    if design.shape[1] > len(counts) or np.linalg.matrix_rank(design) < design.shape[1]:
+        return None
+    eta = np.log(counts + 0.5)
+    for _ in range(rounds):
+        mu = np.exp(np.clip(eta, -30, 30))
+        target = eta + (counts - mu) / mu
+        root = np.sqrt(mu)
+        beta = np.linalg.lstsq(design * root[:, None], target * root, rcond=None)[0]
+        new = design @ beta
+        done = np.abs(new - eta).max() < 1e-9
+        eta = new
+        if done:
+            break
+    mu = np.exp(np.clip(eta, -30, 30))
+    information = (design.T * mu) @ design
+    if not np.isfinite(information).all() or np.linalg.cond(information) > 1e12:  # an effect that runs off to infinity
+        return None
+    return beta, np.linalg.inv(information), float((counts * np.log(mu) - mu - d.lgamma(counts + 1)).sum())
+
+
+def multiple_systems(patterns: DataFrame, systems: list[str]) -> tuple[float, float]:
+    """Estimated total and its standard deviation from counts by pattern of systems: a mean over log-linear models.
 
-    patterns has at most 2 ** systems - 1 rows, whatever the number of persons.
+    A model has the systems' own effects and any set of effects of pairs; those that the patterns don't identify are
+    passed over. Models weigh exp(-AIC / 2); the deviation holds each model's own and the spread between models.
+    Patterns that no person shows count zero. There are 2 ** systems - 1 patterns, whatever the number of persons.
     """
-    rows = patterns.collect()
-    x = np.array([[r[s] for s in systems] for r in rows], float)
-    y = np.array([r.n for r in rows], float)
-    pairs = list(combinations(range(len(systems)), 2))
-    found = []
-    for k in range(min(max_pairs, len(pairs)) + 1):
-        for chosen in combinations(pairs, k):
-            m = np.column_stack([np.ones(len(y)), x, *[x[:, i] * x[:, j] for i, j in chosen]])
-            if m.shape[1] > len(y):
-                continue
-            beta = np.zeros(m.shape[1])
-            beta[0] = np.log(y.mean() + 0.5)
-            for _ in range(100):
-                mu = np.exp(np.clip(m @ beta, -30, 30))
-                step = np.linalg.lstsq(m.T @ (mu[:, None] * m) + 1e-9 * np.eye(m.shape[1]), m.T @ (y - mu), rcond=None)[0]
-                beta = beta + step
-                if np.abs(step).max() < 1e-10:
-                    break
-            mu = np.exp(np.clip(m @ beta, -30, 30))
-            ll = float((y * np.log(mu) - mu - d.lgamma(y + 1)).sum())
-            cov = np.linalg.pinv(m.T @ (mu[:, None] * m))
-            unseen = float(np.exp(beta[0]))
-            found.append((2 * m.shape[1] - 2 * ll, y.sum() + unseen, unseen * float(np.sqrt(max(cov[0, 0], 0)))))
-    aic = np.array([f[0] for f in found])
-    w = np.exp(-(aic - aic.min()) / 2)
-    w /= w.sum()
-    n = np.array([f[1] for f in found])
-    total = float(w @ n)
-    return total, float(w @ np.sqrt(np.array([f[2] for f in found]) ** 2 + (n - total) ** 2))
+    seen = {tuple(int(r[s]) for s in systems): float(r["n"]) for r in patterns.collect()}
+    cells = [c for c in product((0, 1), repeat=len(systems)) if any(c)]
+    counts, main = np.array([seen.get(c, 0.0) for c in cells]), np.array(cells, float)
+    both = np.array([[c[i] * c[j] for i, j in combinations(range(len(systems)), 2)] for c in cells], float).reshape(len(cells), -1)
+    fitted = []
+    for chosen in product((False, True), repeat=both.shape[1]):
+        design = np.hstack([np.ones((len(cells), 1)), main, both[:, np.array(chosen, bool)]])
+        if (found := log_linear(design, counts)) is not None:
+            beta, covariance, likelihood = found
+            hidden = float(np.exp(beta[0]))
+            fitted.append((2 * design.shape[1] - 2 * likelihood, hidden, hidden * float(np.sqrt(covariance[0, 0]))))
+    if not fitted:
+        raise ValueError("no model is identified by these patterns")
+    aic, hidden, own = np.array(fitted).T
+    weight = np.exp((aic.min() - aic) / 2)
+    weight /= weight.sum()
+    mean = float(weight @ hidden)
+    return float(counts.sum()) + mean, float(weight @ np.hypot(own, hidden - mean))
 
 
 def cohort_fit(table: DataFrame, attributes: list[str], *, outcome: str = "y", person_time: str = "t", place: str = "u", rounds: int = 8, prior: float = 1.0) -> pd.DataFrame:

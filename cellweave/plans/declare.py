@@ -68,12 +68,65 @@ def coverage(records: DataFrame, roles: Roles) -> list[tuple[str, str]]:
     return out
 
 
-def split_source(source: str) -> tuple[str, list[str]]:
-    """The base and the modifiers of "base+mod+mod"."""
-    base, *mods = source.split("+")
-    if not base or not all(mods):
-        raise ValueError(f"{source!r} isn't base+modifier+...")
-    return base, mods
+def base_and_modifiers(text: str) -> tuple[str, list[str]]:
+    """The parts of "base+modifier+modifier"."""
+    found = re.fullmatch(r"([^+]+)((?:\+[^+]+)*)", text)
+    if not found:
+        raise ValueError(f"{text!r} isn't base+modifier+...")
+    return found[1], re.findall(r"[^+]+", found[2])
+
+
+@dataclass(frozen=True)
+class Offer:
+    """A series that a record table offers: its kind, the expression that it reads, and a value if it is of one."""
+
+    kind: str
+    column: str
+    value: str | None = None
+
+
+def offers(records: DataFrame, roles: Roles, *, values: dict[str, list] | None = None, classifiers: tuple[str, ...] = (), places: tuple[str, ...] = (), groups: dict[str, tuple[str, ...]] | None = None, links: tuple[str, ...] = ()) -> list[Offer]:
+    """All series of a record table by declaration: measures, shares, missing values, flows, delays, classifiers, supports, mentions, links.
+
+    Measures are numeric columns that no role reads; ``values`` has the values of columns that make shares (see
+    ``reading.value_shares``); classifiers, places, groups of code columns and links are declared, as their names don't tell.
+    """
+    used = {c for c, by in coverage(records, roles) if by != "nothing reads it"}
+    kinds = dict(records.dtypes)
+    out = [Offer("measure", c) for c, kind in kinds.items() if c not in used and re.match("(tiny|small|big)?int|float|double|decimal", kind)]
+    out += [Offer("measure", roles.mark)] if roles.mark else []
+    out += [Offer("share", c, str(v)) for c, several in (values or {}).items() for v in several]
+    out += [Offer("quality", c) for c in kinds]
+    out += [Offer("flow", roles.facility_place)] if roles.facility_place else []
+    out += [Offer("interval", roles.reported)] if roles.reported else []
+    out += [Offer("classifier", c) for c in classifiers] + [Offer("support", c) for c in places]
+    out += [Offer("mention", c, name) for name, columns in (groups or {}).items() for c in columns]
+    return out + [Offer("link", c) for c in links]
+
+
+def band_edges(bands: list[str]) -> list[int]:
+    """Lower edges of age bands such as "0-4", "5-9", "80+", which must follow one another without a gap."""
+    edges, end = [], None
+    for band in bands:
+        m = re.fullmatch(r"(\d+)(?:-(\d+)|\+)", band)
+        if not m or (end is not None and int(m[1]) != end + 1):
+            raise ValueError(f"band {band!r} doesn't follow")
+        edges.append(int(m[1]))
+        end = int(m[2]) if m[2] else None
+    if end is not None:
+        raise ValueError("the last band must be open")
+    return edges
+
+
+def exposure_source(roles: Roles, years: tuple[int, int], offered: dict[str, tuple[int, int, bool]]) -> str:
+    """Which exposure a count is read against: the first offered that covers the years and has ages if the records do.
+
+    offered: name to first year, last year, whether by age.
+    """
+    for name, (first, last, aged) in offered.items():
+        if first <= years[0] and years[1] <= last and (aged or not roles.age):
+            return name
+    raise ValueError(f"no exposure covers {years[0]} to {years[1]}")
 
 
 def outcome(text: str) -> Column:

@@ -107,7 +107,13 @@ def history_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ex.forecasts(s, horizon=2).select("u", r6("linear"), r6("damped"), r6("flat"), r6("median"))
 
 
-@query()
+#: The negative binomial's upper tail as one less the sum of what lies below y.
+@query(
+    f"""WITH {EXPECTED}, th AS (SELECT u, year, y, mu, phi, least(1.1, 1 + 0.1 * avg(mu) OVER () / mu) AS theta, mu / avg(mu) OVER () AS w FROM expected),
+low AS (SELECT u, year, theta * mu AS m, phi, unnest(range(y)) AS k FROM th), tail AS (SELECT u, year, sum(exp(lgamma(k + phi) - lgamma(phi) - lgamma(k + 1) + phi * ln(phi / (phi + m)) + k * ln(m / (phi + m)))) AS below FROM low GROUP BY ALL),
+tp AS (SELECT th.*, concat(th.u, ':', th.year) AS id, greatest(0, 1 - coalesce(below, 0)) AS p FROM th LEFT JOIN tail ON th.u = tail.u AND th.year = tail.year), r AS (SELECT *, row_number() OVER (ORDER BY p / w, id) AS k, count(*) OVER () AS n FROM tp), l AS (SELECT max(k) AS last FROM r WHERE p / w <= 0.1 * k / n)
+SELECT u, year, y, round(theta, 6) AS theta, round(p, 6) AS p, round((y + 0.5) / (mu + 0.5), 6) AS ratio, coalesce(k <= last, false) AS rejected FROM r, l"""
+)
 def outbreak(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.outbreak(expected(spark, sf_dir), 0.1).select("u", "year", "y", r6("theta"), r6("p"), r6("ratio"), "rejected")
 
@@ -174,7 +180,16 @@ def step_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.bayes_selected(d.steps(expected(spark, sf_dir)).select("u", r6("posterior")), 0.2)
 
 
-@query()
+_BETABINOM = "exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + lgamma(k + s * theta) + lgamma(n - k + (1 - s) * theta) - lgamma(n + theta) + lgamma(theta) - lgamma(s * theta) - lgamma((1 - s) * theta))"
+
+
+@query(
+    f"""WITH {REC}, sy AS (SELECT u, year, count(*) AS n, count(*) FILTER (status = 'R') AS y FROM cells GROUP BY ALL), sn AS (SELECT year, sum(y) / sum(n) AS share FROM sy GROUP BY ALL), sc AS (SELECT u, sy.year, y, n, share FROM sy JOIN sn ON sy.year = sn.year WHERE n >= 20),
+sz AS (SELECT (y - n * share) / sqrt(n * share * (1 - share)) AS z, n FROM sc WHERE share > 0 AND share < 1), sp AS (SELECT pow((quantile_cont(z, 0.75) - quantile_cont(z, 0.25)) / 1.349, 2) AS s, avg(n) AS n FROM sz), st AS (SELECT CASE WHEN s > 1 THEN greatest(1, (n - 1) / (s - 1) - 1) ELSE 1e6 END AS theta FROM sp),
+sk AS (SELECT u, year, y, n, least(greatest(share, 1e-9), 1 - 1e-9) AS s, theta, unnest(range(n + 1)) AS k FROM sc, st), tl AS (SELECT u, year, sum(CASE WHEN k <= y THEN {_BETABINOM} ELSE 0 END) AS low, sum(CASE WHEN k >= y THEN {_BETABINOM} ELSE 0 END) AS high FROM sk GROUP BY ALL),
+tp AS (SELECT sc.*, concat(sc.u, ':', sc.year) AS id, least(1, 2 * least(low, high)) AS p, (y + 0.5) / (n * share + 0.5) AS ratio FROM sc JOIN tl ON sc.u = tl.u AND sc.year = tl.year), r AS (SELECT *, row_number() OVER (ORDER BY p, id) AS k, count(*) OVER () AS m FROM tp), l AS (SELECT max(k) AS last FROM r WHERE p <= 0.1 * k / m)
+SELECT u, year, y::BIGINT AS y, n::BIGINT AS n, round(share, 6) AS share, round(p, 6) AS p, round(ratio, 6) AS ratio, coalesce(k <= last, false) AND (ratio >= 1.25 OR ratio <= 1 / 1.25) AS found FROM r, l"""
+)
 def share_excess(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = governed(spark, sf_dir).groupBy("u", "year").agg(F.count("*").alias("n"), F.count(F.when(F.col("status") == "R", 1)).alias("y"))
     nat = rows.groupBy("year").agg((F.sum("y") / F.sum("n")).alias("share"))
@@ -399,7 +414,16 @@ def weighted_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rel.weighted_correlations(_x(spark, sf_dir), lags=2).select("field", "leader", "lag", r6("rho"), F.round("n_eff", 5).alias("n_eff"))
 
 
-@query()
+#: The normal's tail beyond z by the series of its distribution function around 0.
+_NORMAL_TAIL = "greatest(0, 0.5 - exp(-z * z / 2) / sqrt(2 * pi()) * (SELECT sum(exp((2 * j + 1) * ln(z) - lgamma(2 * j + 2) + j * ln(2) + lgamma(j + 1))) FROM range(300) x(j)))"
+
+
+@query(
+    f"""WITH {_X}, pm AS (SELECT a.field, b.field AS leader, sqrt(a.w * b.w) AS w, a.x, b.x AS y FROM x a JOIN x b ON a.u = b.u AND a.year = b.year AND a.field > b.field), ps AS (SELECT field, leader, sum(w) AS n, sum(w * w) AS nn, sum(w * x) AS sx, sum(w * y) AS sy, sum(w * x * x) AS sxx, sum(w * y * y) AS syy, sum(w * x * y) AS sxy FROM pm GROUP BY ALL),
+pr AS (SELECT field, leader, (sxy / n - sx * sy / (n * n)) / sqrt((sxx / n - sx * sx / (n * n)) * (syy / n - sy * sy / (n * n))) AS rho, n * n / nn AS n_eff FROM ps), pz AS (SELECT *, (ln((1 + abs(rho)) / (1 - abs(rho))) / 2 - ln(1.03 / 0.97) / 2) * sqrt(greatest(n_eff - 3, 0)) AS z FROM pr),
+pp AS (SELECT *, CASE WHEN z > 0 THEN 2 * {_NORMAL_TAIL} ELSE 1.0 END AS p, concat(field, ':', leader) AS id FROM pz), pk AS (SELECT *, row_number() OVER (ORDER BY p, id) AS k, count(*) OVER () AS m FROM pp)
+SELECT field, leader, round(rho, 6) AS rho, round(z, 6) AS z, round(p, 6) AS p, round(least(1.0, min(p * m / k) OVER (ORDER BY p, id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS q_value FROM pk"""
+)
 def pair_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = rel.pair_test(rel.weighted_correlations(_x(spark, sf_dir)), delta=0.03)
     return ec.adjusted(pairs.withColumn("id", F.concat_ws(":", "field", "leader"))).select("field", "leader", r6("rho"), r6("z"), r6("p"), r6("q_value"))
@@ -458,7 +482,7 @@ def tree_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     tree = part.select(F.concat("p_type", F.lit("|"), "p_brand").alias("code"), F.col("p_type").alias("parent")).union(part.select("p_type", F.lit("all"))).distinct()
     tree = tree.union(spark.range(1).select(F.lit("all"), F.lit(None).cast("string")))
-    return graphs.closure(tree, deepest=4)
+    return graphs.closure(tree)
 
 
 @query("WITH o AS (SELECT l_suppkey, s_nationkey, l_returnflag = 'R' AS a, l_quantity > 25 AS b FROM lineitem JOIN supplier ON l_suppkey = s_suppkey) SELECT round(sum((a AND b)::INT) / least(sum(a::INT), sum(b::INT)), 6) AS overlap FROM o")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from cellweave.operators import departures as de, error_control as ec, expectation as ex, noise as no, waves as wv
 from cellweave.operators.ranking import running
-from cellweave.queries.analysis import _tests
+from cellweave.queries.analysis import _P, _tests
 from cellweave.queries.base import EXPECTED, REC, expected, governed, places, query
 from cellweave.queries.readers import _MARKS, _marked
 from cellweave.sources.records import table
@@ -91,7 +91,14 @@ def facility_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return no.facility_effects(sums).select("facility", "n", r6("effect"))
 
 
-@query()
+def _scattered(total: str) -> str:
+    return f"((((({total})::BIGINT % 2147483648 * 2654435761 % 4294967296) >> 9) * 1103515245 + 12345) % 2147483648 / 2147483648.0)"
+
+
+@query(
+    f"""WITH {REC}, c AS (SELECT u, year, count(*) AS y FROM cells GROUP BY ALL), e AS (SELECT u, year, unnest(range(1, y + 1)) AS i FROM c), a AS (SELECT u, year, sum(({_scattered("u::BIGINT * 73856093 + year::BIGINT * 19349663 + i::BIGINT * 83492791")} < 0.5)::INT) AS a FROM e GROUP BY ALL)
+SELECT c.u, c.year, y::BIGINT AS y, a::BIGINT AS a, (y - a)::BIGINT AS b FROM c JOIN a ON c.u = a.u AND c.year = a.year"""
+)
 def event_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = governed(spark, sf_dir).groupBy("u", "year").agg(F.count("*").alias("y"))
     return no.event_sides(cells, 0.5, keys=("u", "year")).select("u", "year", "y", "a", "b")
@@ -102,7 +109,10 @@ def planted_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return no.planted(expected(spark, sf_dir), F.col("u") % 5 == 0, 1.5, shape="step", first=1999).select("u", "year", "y")
 
 
-@query(f"WITH {EXPECTED} SELECT CASE WHEN region = 0 THEN 'own' ELSE concat('half ', region % 2) END AS side, count(DISTINCT expected.u)::BIGINT AS places, sum(y)::BIGINT AS y, round(sum(mu), 6) AS mu, round((sum(y) + 0.5) / (sum(mu) + 0.5), 6) AS ratio FROM expected JOIN places ON expected.u = places.u GROUP BY ALL")
+@query(
+    f"""WITH {EXPECTED}, rg AS (SELECT region, row_number() OVER (ORDER BY {_scattered("region::BIGINT * 73856093")}, region) % 2 AS half FROM (SELECT DISTINCT region FROM places))
+SELECT CASE WHEN rg.region = 0 THEN 'own' ELSE concat('half ', half) END AS side, count(DISTINCT expected.u)::BIGINT AS places, sum(y)::BIGINT AS y, round(sum(mu), 6) AS mu, round((sum(y) + 0.5) / (sum(mu) + 0.5), 6) AS ratio FROM expected JOIN places ON expected.u = places.u JOIN rg ON places.region = rg.region GROUP BY ALL"""
+)
 def jurisdiction_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = expected(spark, sf_dir).join(places(spark, sf_dir), "u")
     return no.jurisdictions(rows, place="u", state="region", own=F.col("region") == 0).select("side", "places", "y", r6("mu"), r6("ratio"))
@@ -117,10 +127,14 @@ def explained_away(spark: SparkSession, sf_dir: str) -> DataFrame:
     return no.explained_away(expected(spark, sf_dir), "n").select(F.round("absorbed", 5).alias("absorbed"), F.round("slope", 5).alias("slope"))
 
 
-@query()
+@query(
+    f"""WITH {_P}, un AS (SELECT DISTINCT u, region FROM tests), hv AS (SELECT u, row_number() OVER (PARTITION BY region ORDER BY {_scattered("u::BIGINT * 73856093")}, u) % 2 AS half FROM un),
+r AS (SELECT id, half, p, row_number() OVER (PARTITION BY half ORDER BY p, id) AS k, count(*) OVER (PARTITION BY half) AS m FROM tests JOIN hv ON tests.u = hv.u)
+SELECT id, half::INT AS half, round(least(1.0, min(p * m / k) OVER (PARTITION BY half ORDER BY p, id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS q_value FROM r"""
+)
 def replicated_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each region's places halved, and the tests of each half adjusted on their own."""
-    halved = ec.halves(_tests(spark, sf_dir), unit="u", within="region", seed="halves")
+    halved = ec.halves(_tests(spark, sf_dir), unit="u", within="region")
     return ec.adjusted(halved, by=("half",)).select("id", "half", r6("q_value"))
 
 

@@ -18,26 +18,37 @@ def _delays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.delays(records(spark, sf_dir), "date", "reported")[0].withColumn("delay", F.floor(F.col("delay") / 13).cast("int"))
 
 
-@query(
-    f"""WITH {_DELAY}, t AS (SELECT u, (d // 7 // 13)::INT AS delay, count(*) AS c FROM late WHERE d >= 0 AND d // 7 // 13 BETWEEN 0 AND 8 GROUP BY ALL),
+_SHARES = f"""{_DELAY}, t AS (SELECT u, (d // 7 // 13)::INT AS delay, count(*) AS c FROM late WHERE d >= 0 AND d // 7 // 13 BETWEEN 0 AND 8 GROUP BY ALL),
 nat AS (SELECT delay, sum(c) / (SELECT sum(c) FROM t) AS nat FROM t GROUP BY ALL), tot AS (SELECT u, sum(c) AS tot FROM t GROUP BY ALL),
 g AS (SELECT tot.u, r.range::INT AS delay, tot, coalesce(c, 0) AS c, coalesce(nat, 0) AS nat FROM tot CROSS JOIN range(9) r LEFT JOIN t ON t.u = tot.u AND t.delay = r.range LEFT JOIN nat ON nat.delay = r.range),
 m AS (SELECT sum((c / tot - nat) * (c / tot - nat)) AS v, sum(nat * (1 - nat)) AS s, sum(nat * (1 - nat) / tot) AS e FROM g WHERE tot >= 20),
-a AS (SELECT greatest(CASE WHEN v > e THEN least(1e6, (s - v) / (v - e)) ELSE 1e6 END, 0) AS a FROM m)
-SELECT u, delay, round((c + a * nat) / (tot + a), 6) AS share FROM g, a"""
-)
+a AS (SELECT greatest(CASE WHEN v > e THEN least(1e6, (s - v) / (v - e)) ELSE 1e6 END, 0) AS a FROM m)"""
+
+
+@query(f"WITH {_SHARES} SELECT u, delay, round((c + a * nat) / (tot + a), 6) AS share FROM g, a")
 def delay_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sv.delay_shares(_delays(spark, sf_dir), most=8).select("u", "delay", r6("share"))
 
 
-_NOW = f"{EXPECTED}, now AS (SELECT u, year, (y // 2)::BIGINT AS y, 0.3 + 0.1 * (year - 1995) AS f, mu, phi FROM expected)"
+#: What is known at the end of 2000 of each place and year: records reported by then, the share of the place's delays that
+#: have passed since the middle of the year, and the mean of the years to 1998.
+_NOW = f"""{_SHARES}, cum AS (SELECT u, delay, sum((c + a * nat) / (tot + a)) OVER (PARTITION BY u ORDER BY delay) AS f FROM g, a), rep AS (SELECT u, year, reported::DATE AS reported FROM rec WHERE reported::DATE >= date AND (reported::DATE - date) // 7 // 13 <= 8 AND year <= 2000),
+was AS (SELECT u, count(*) / 4.0 AS mu FROM rep WHERE year BETWEEN 1995 AND 1998 GROUP BY ALL), kn AS (SELECT u, year, count(*) FILTER (reported <= DATE '2000-12-31') AS y FROM rep WHERE year >= 1999 GROUP BY ALL),
+now AS (SELECT kn.u, year, y, coalesce(cum.f, 1) AS f, mu, 20.0 AS phi FROM kn JOIN was ON kn.u = was.u LEFT JOIN cum ON cum.u = kn.u AND cum.delay = (DATE '2000-12-31' - make_date(year, 7, 1)) // 91)"""
 
 
 def _known(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return expected(spark, sf_dir).select("u", "year", F.expr("y div 2").alias("y"), (0.3 + 0.1 * (F.col("year") - 1995)).alias("f"), "mu", "phi")
+    end = F.lit("2000-12-31").cast("date")
+    shares = sv.delay_shares(_delays(spark, sf_dir), most=8).select("u", F.col("delay").alias("_q"), F.col("cumulative").alias("f"))
+    days = F.datediff("reported", "date")
+    rows = records(spark, sf_dir).where((days >= 0) & (F.floor(F.floor(days / 7) / 13) <= 8) & (F.col("year") <= 2000))
+    was = rows.where("year between 1995 and 1998").groupBy("u").agg((F.count("*") / 4.0).alias("mu"))
+    known = rows.where("year >= 1999").groupBy("u", "year").agg(F.count(F.when(F.to_date("reported") <= end, 1)).alias("y"))
+    passed = F.floor(F.datediff(end, F.make_date("year", F.lit(7), F.lit(1))) / 91).cast("int")
+    return known.join(was, "u").withColumn("_q", passed).join(shares, ["u", "_q"], "left").select("u", "year", "y", F.coalesce("f", F.lit(1.0)).alias("f"), "mu", F.lit(20.0).alias("phi"))
 
 
-@query(f"WITH {_NOW} SELECT u, year, y, round(y + (phi + y) * (1 - f) / (phi / mu + f), 6) AS eventual FROM now")
+@query(f"WITH {_NOW} SELECT u, year, y::BIGINT AS y, round(y + (phi + y) * (1 - f) / (phi / mu + f), 6) AS eventual FROM now")
 def nowcast_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sv.nowcast(_known(spark, sf_dir)).select("u", "year", "y", r6("eventual"))
 
@@ -79,7 +90,23 @@ def _two_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("u", "g").agg(*[v.alias(k) for k, v in agg.items()])
 
 
-@query()
+def _shapley(x: str) -> str:
+    """SQL of one factor's mean change over all orders in which the four factors change."""
+    others = [k for k in ("nn", "s", "c", "r") if k != x]
+    terms = []
+    for changed in range(8):
+        now = [bool(changed >> i & 1) for i in range(3)]
+        weight = "0.25" if sum(now) in (0, 3) else "(1 / 12.0)"
+        rest = " * ".join(f"{k}{int(f)}" for k, f in zip(others, now))
+        terms.append(f"{weight} * {rest} * ({x}1 - {x}0)")
+    return "round(sum(" + " + ".join(terms) + "), 4)"
+
+
+@query(
+    f"""WITH {REC}, w AS (SELECT u, (age // 10)::INT AS g, count(*) FILTER (year = 1996)::DOUBLE AS n0, coalesce(sum(wt) FILTER (year = 1996), 0)::DOUBLE AS y0, count(*) FILTER (year = 2000)::DOUBLE AS n1, coalesce(sum(wt) FILTER (year = 2000), 0)::DOUBLE AS y1 FROM cells GROUP BY ALL),
+f AS (SELECT *, sum(n0) OVER () AS nn0, sum(n1) OVER () AS nn1, sum(n0) OVER p / sum(n0) OVER () AS s0, sum(n1) OVER p / sum(n1) OVER () AS s1, CASE WHEN sum(n0) OVER p > 0 THEN n0 / sum(n0) OVER p ELSE 0 END AS c0, CASE WHEN sum(n1) OVER p > 0 THEN n1 / sum(n1) OVER p ELSE 0 END AS c1,
+CASE WHEN n0 > 0 THEN y0 / n0 ELSE 0 END AS r0, CASE WHEN n1 > 0 THEN y1 / n1 ELSE 0 END AS r1 FROM w WINDOW p AS (PARTITION BY u)) SELECT {_shapley("nn")} AS size, {_shapley("s")} AS place, {_shapley("c")} AS composition, {_shapley("r")} AS risk, round(sum(y1 - y0), 4) AS change FROM f"""
+)
 def decomposition_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return it.decomposition(_two_periods(spark, sf_dir)).select(*[F.round(x, 4).alias(x) for x in ("size", "place", "composition", "risk", "change")])
 

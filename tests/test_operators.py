@@ -39,7 +39,7 @@ def test_bh_by_hand(spark):
 def test_tree_bh_keeps_only_children_of_chosen(spark):
     rows = [(i, "a", "x", 0.001) for i in range(3)] + [(i + 10, "b", "y", 0.6) for i in range(3)] + [(20, "a", "z", 0.9)]
     got = ec.tree_bh(spark.createDataFrame(rows, "id int, g string, h string, p double"), ["g", "h"], 0.1)
-    assert {r.id for r in got.collect()} == {0, 1, 2}
+    assert {r.id for r in got.where("rejected").collect()} == {0, 1, 2} and got.count() == len(rows)
 
 
 def test_lond_levels_rise_after_rejections(spark):
@@ -88,6 +88,47 @@ def test_nearest_points(spark):
     assert got == want
 
 
+def test_sparse_points_have_all_their_neighbours(spark):
+    pts = [(i, float(i % 5), float(i // 5)) for i in range(25)] + [(100, 500.0, 500.0), (101, -900.0, 40.0)]
+    got = {(r.a, r.b) for r in graphs.nearest(spark.createDataFrame(pts, "u int, x double, y double"), 3, cell=1.0).collect()}
+    xy = np.array([(x, y) for _, x, y in pts])
+    want = set()
+    for i, p in enumerate(xy):
+        far = np.sqrt(((xy - p) ** 2).sum(1))
+        far[i] = np.inf
+        for j in sorted(range(len(pts)), key=lambda j: (far[j], pts[j][0]))[:3]:
+            want |= {(pts[i][0], pts[j][0]), (pts[j][0], pts[i][0])}
+    assert got == want
+
+
+def test_trees_of_any_depth(spark):
+    chain = [(i, i - 1 if i else None) for i in range(30)]
+    got = graphs.closure(spark.createDataFrame(chain, "code int, parent int"))
+    assert got.count() == 30 * 31 // 2 and got.agg(F.max("distance")).first()[0] == 29
+    with pytest.raises(ValueError):
+        graphs.closure(spark.createDataFrame([(1, 2), (2, 1)], "code int, parent int"))
+
+
+def test_running_sums_over_parts(spark):
+    from cellweave.operators import ranking
+
+    rnd = np.random.default_rng(1)
+    rows = [(int(i), float(rnd.integers(0, 20)), float(rnd.random())) for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, v double, w double").repartition(7)
+    got = {r.id: r for r in ranking.running(df, ["v", "id"], {"k": F.lit(1), "s": F.col("w")}).collect()}
+    total = 0.0
+    for k, (i, v, w) in enumerate(sorted(rows, key=lambda r: (r[1], r[0])), 1):
+        total += w
+        assert got[i].k == k and got[i].s == pytest.approx(total) and set(got[i].asDict()) == {"id", "v", "w", "k", "s"}
+    least = {r.id: r.m for r in ranking.least_from(df, ["v", "id"], "m", F.col("w")).collect()}
+    best = 9.0
+    for i, v, w in sorted(rows, key=lambda r: (r[1], r[0]), reverse=True):
+        best = min(best, w)
+        assert least[i] == best
+    share = {r.id: r.percentile for r in ranking.share_not_above(df, "v").collect()}
+    assert all(share[i] == pytest.approx(sum(x[1] <= v for x in rows) / 300) for i, v, _ in rows)
+
+
 def test_planted_cluster_is_found(spark):
     rows = [(u, y, 30 if u in (3, 4) and y >= 2004 else 10, 10.0, 1e9) for u in range(1, 9) for y in range(2000, 2006)]
     cells = spark.createDataFrame(rows, "u int, year int, y int, mu double, phi double")
@@ -125,7 +166,11 @@ def test_decomposition_adds_up(spark):
 def test_two_systems_give_the_classic_estimate(spark):
     flags = [(1, 1)] * 20 + [(1, 0)] * 30 + [(0, 1)] * 40
     df = pe.capture_patterns(spark.createDataFrame(flags, "a int, b int"), ["a", "b"])
-    assert pe.multiple_systems(df, ["a", "b"], max_pairs=0)[0] == pytest.approx(50 * 60 / 20, rel=1e-6)
+    # three parameters for three patterns: the pair's effect isn't identified, the two systems' own give the classic estimate
+    assert pe.multiple_systems(df, ["a", "b"])[0] == pytest.approx(50 * 60 / 20, rel=1e-6)
+    four = [(a, b, c, e) for a in (0, 1) for b in (0, 1) for c in (0, 1) for e in (0, 1) if a + b + c + e for _ in range(40 if a + b + c + e == 2 else 60)]
+    total, sd = pe.multiple_systems(pe.capture_patterns(spark.createDataFrame(four, "a int, b int, c int, e int"), list("abce")), list("abce"))
+    assert total > len(four) and sd > 0
     mean, sd = pe.over_draws([(1.0, 0.1), (1.2, 0.1)])
     assert mean == pytest.approx(1.1) and sd > 0.1
 
