@@ -146,15 +146,16 @@ def border_contexts(rows: DataFrame, look: DataFrame, length: int, shortest: int
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in chunks(batches, "text", most_chars):
             out = []
-            for key, text, some in zip(frame["key"], texts(frame["text"]), frame["some"]):
+            for key, text, cores, places in zip(frame["key"], texts(frame["text"]), frame["cores"], frame["places"]):
                 data = text.encode("utf-8", "replace")
-                for x in some:
-                    first, at = x["place"] >> 24, (x["place"] >> 24) + (x["place"] >> 16 & 255)
-                    out.append((x["core"], key, x["place"], data[at + right : at - r + 1 + length], data[first : at - left][::-1]))
+                for core, place in zip(cores.tolist(), places.tolist()):
+                    first, at = place >> 24, (place >> 24) + (place >> 16 & 255)
+                    out.append((core, key, place, data[at + right : at - r + 1 + length], data[first : at - left][::-1]))
             yield pd.DataFrame(out, columns=["core", "key", "place", "after", "before"])
 
     some = look.groupBy("key").agg(F.collect_set(F.struct("core", "place")).alias("some"))
-    return rows.dropDuplicates(["key"]).join(some, "key").select("key", "text", "some").mapInPandas(cut, "core long, key long, place long, after binary, before binary")
+    some = some.select("key", F.col("some.core").alias("cores"), F.col("some.place").alias("places"))
+    return rows.dropDuplicates(["key"]).join(some, "key").select("key", "text", "cores", "places").mapInPandas(cut, "core long, key long, place long, after binary, before binary")
 
 
 def _common(x: pd.Series, skip: np.ndarray) -> np.ndarray:
@@ -286,13 +287,12 @@ def covered(rows: DataFrame, *, length: int, shortest: int, most_chars: int) ->
     return total
 
 
-def _gone(n: int, spans: list | None, places: np.ndarray, which: int, length: int) -> np.ndarray:
-    """Which of n bytes are covered by spans (start, end), or by all windows of triggers at these places."""
+def _gone(n: int, spans: np.ndarray | None, places: np.ndarray, which: int, length: int) -> np.ndarray:
+    """Which of n bytes are covered by spans (start and, in the last 16 bits, length), or by all windows of triggers at these places."""
     step = np.zeros(n + 1, np.int64)
     if spans is not None and len(spans):
-        at = np.array([(s["start"], s["end"]) for s in spans], np.int64)
-        np.add.at(step, at[:, 0], 1)
-        np.add.at(step, at[:, 1], -1)
+        np.add.at(step, spans >> 16, 1)
+        np.add.at(step, (spans >> 16) + (spans & 0xFFFF), -1)
     count = places >> 8 * which & 255
     first, count = (places >> 24)[count > 0], count[count > 0]
     np.add.at(step, first, 1)
@@ -313,19 +313,20 @@ def removed(docs: DataFrame, *, text: str = "text", keep: list[str], length: int
     long = rows.where(F.octet_length("text") >= passage).select("key", "text")
     copies = long.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.lit("copies").alias("kind"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"))
     spans = covered(long, length=length, shortest=passage, most_chars=most_chars).union(copies)
-    of = lambda kind: F.collect_set(F.when(F.col("kind") == kind, F.struct("start", "end")))
-    cover = staged(spans.groupBy("key").agg(of("removed").alias("gone"), of("passage").alias("passages"), of("whole").alias("whole"), F.max(F.col("kind") == "copies").alias("copied")), "repeats")
+    span = F.shiftleft("start", 16).bitwiseOR(F.col("end") - F.col("start"))  # a span is shorter than two matches
+    of = lambda kind, x=span: F.collect_set(F.when(F.col("kind") == kind, x))
+    cover = staged(spans.groupBy("key").agg(of("removed").alias("gone"), of("passage").alias("passages"), of("whole", F.shiftleft("start", 1).bitwiseOR(F.col("end"))).alias("whole"), F.max(F.col("kind") == "copies").alias("copied")), "repeats")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in chunks(batches, "text", most_chars):
             out = []
             for t, spans, passages, whole, copied in zip(texts(frame["text"]), frame["gone"], frame["passages"], frame["whole"], frame["copied"]):
                 data = t.encode("utf-8", "replace")
-                at = np.array([(x["start"], x["end"]) for x in whole] if whole is not None else [], np.int64).reshape(-1, 2)
-                gone = _gone(len(data), spans, at[:, 0], 0, length)
+                at = whole if whole is not None else np.zeros(0, np.int64)
+                gone = _gone(len(data), spans, at >> 1, 0, length)
                 n = int((np.diff(gone.astype(np.int8), prepend=0) > 0).sum())
                 kept = np.frombuffer(data, np.uint8)[~gone].tobytes() if n else data
-                edges = np.flatnonzero(np.diff(_gone(len(data), passages, at[at[:, 1] == 1, 0], 1, passage).astype(np.int8), prepend=0, append=0))
+                edges = np.flatnonzero(np.diff(_gone(len(data), passages, (at >> 1)[at & 1 == 1], 1, passage).astype(np.int8), prepend=0, append=0))
                 runs = [(0, len(data))] if copied is True else zip(edges[::2], edges[1::2])
                 out.append((kept, len(data), len(data) - len(kept), n, sum(len(data[a:b].split()) > passage_words for a, b in runs)))
             yield pd.concat([frame[names], pd.DataFrame(out, columns=made, index=frame.index)], axis=1)
