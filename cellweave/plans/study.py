@@ -7,10 +7,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from cellweave.operators import departures as d, error_control as ec
+from cellweave.functions.tails import chi2_upper, nb_upper, normal_two_sided
+from cellweave.operators import departures as d, error_control as ec, models, waves
 from cellweave.operators.interpret import lead_rank
 
-QUESTIONS = ("excess", "step", "trend")
+QUESTIONS = ("excess", "step", "trend")  # those that cells alone answer
 
 
 @dataclass
@@ -38,7 +39,7 @@ def load(declaration: dict) -> Study:
     if len(period) != 2 or period[0] > period[1]:
         wrong.append(f"period {period} isn't a first and a last year")
     for x in declaration.get("questions", QUESTIONS):
-        if x not in QUESTIONS:
+        if x not in METHODS:
             wrong.append(f"question {x!r} is unknown")
     if not 0 < declaration.get("q", 0.1) < 1:
         wrong.append("q must lie between 0 and 1")
@@ -62,27 +63,125 @@ def scope(study: Study, cells: DataFrame) -> DataFrame:
     return rows.where(F.col("u").isin(study.where)) if study.where else rows
 
 
-def ask(question: str, cells: DataFrame, q: float) -> DataFrame:
-    """Findings (u, first, last, method, p, effect) of one question; each of its methods runs at q over their number."""
-    findings = {
-        "excess": [lambda q: d.outbreak(cells, q).where("rejected").select("u", F.col("year").alias("first"), F.col("year").alias("last"), F.lit("outbreak").alias("method"), "p", F.log("ratio").alias("effect"))],
-        "step": [
-            lambda q: d.change_point(cells, q).where("rejected").select("u", F.col("since").alias("first"), F.lit(9999).alias("last"), F.lit("change_point").alias("method"), "p", F.lit(None).cast("double").alias("effect")),
-            lambda q: d.bayes_selected(d.steps(cells), q).where("selected and size > 0").select("u", F.col("since").alias("first"), F.lit(9999).alias("last"), F.lit("step").alias("method"), (1 - F.col("posterior")).alias("p"), F.col("size").alias("effect")),
-        ],
-        "trend": [lambda q: _trend_findings(cells, q)],
-    }[question]
-    made = [f(q / len(findings)) for f in findings]
-    return merged(reduce(DataFrame.unionByName, made)).withColumn("question", F.lit(question))
+@dataclass
+class Inputs:
+    """What questions read: cells (u, year, n, y, mu, phi), and for some of them more tables; see the questions.
+
+    edges: a, b both ways. shares: u, year, y, n, share. facilities: facility (a place of its own), year, y, mu.
+    groups: u, g, y, mu. months: u, year, month, y, mu. distance: source, u, d. train_last: last year that was learnt from.
+    """
+
+    cells: DataFrame
+    edges: DataFrame | None = None
+    shares: DataFrame | None = None
+    facilities: DataFrame | None = None
+    groups: DataFrame | None = None
+    months: DataFrame | None = None
+    distance: DataFrame | None = None
+    train_last: int | None = None
+
+
+def _found(rows: DataFrame, method: str, *, u: str = "u", first=None, last=None, effect=None) -> DataFrame:
+    one = lambda x, t: (F.lit(None) if x is None else x).cast(t)
+    return rows.select(F.col(u).cast("int").alias("u"), one(first, "int").alias("first"), one(last, "int").alias("last"), F.lit(method).alias("method"), "p", one(effect, "double").alias("effect"))
+
+
+def _years(found: DataFrame, cells: DataFrame) -> DataFrame:
+    """Findings without years of their own are of all years."""
+    span = cells.agg(F.min("year").alias("_f"), F.max("year").alias("_l"))
+    return found.crossJoin(span).select("u", F.coalesce("first", "_f").alias("first"), F.coalesce("last", "_l").alias("last"), "method", "p", "effect")  # span is one row
+
+
+def _cluster(x: Inputs, q: float) -> DataFrame:
+    per = x.cells.groupBy("u").agg(F.sum("y").alias("y"), F.sum("mu").alias("mu"), (F.sum("mu") ** 2 / F.sum(F.col("mu") ** 2 / F.col("phi"))).alias("phi"))
+    rows = ec.bh(per.withColumn("p", nb_upper("y", 1.1 * F.col("mu"), "phi")), q, id="u").where("rejected")
+    return _found(rows, "excess_level", effect=F.log((F.col("y") + 0.5) / (F.col("mu") + 0.5)))
+
+
+def _propagation(x: Inputs, q: float) -> DataFrame:
+    onset = waves.onsets(d.outbreak(x.cells, q).select("u", "year", "rejected"))
+    rows = waves.waves(onset, x.distance, q=q).where("found")
+    return _found(rows, "propagation", u="source", effect=F.col("rho"))
+
+
+def _share(x: Inputs, q: float) -> DataFrame:
+    return _found(d.share_excess(x.shares, q).where("found"), "share_excess", first=F.col("year"), last=F.col("year"), effect=F.log("ratio"))
+
+
+def _institution(x: Inputs, q: float) -> DataFrame:
+    # twice the log likelihood ratio of a window against none, on two degrees of freedom
+    rows = ec.bh(d.institution_windows(x.facilities).withColumn("p", F.exp(-F.col("g") / 2)), q, id="facility").where("rejected and found")
+    return _found(rows, "institution_step", u="facility", first=F.col("first"), last=F.col("last"), effect=F.log("ratio"))
+
+
+def _group(x: Inputs, q: float) -> DataFrame:
+    rows = d.group_spread(x.groups).where("df > 0").withColumn("p", chi2_upper("g2", F.col("df").cast("double")))
+    return _found(ec.bh(rows, q, id="u").where("rejected"), "group_disparity", effect=F.log(F.col("g2") / F.col("df")))
 
 
-def _trend_findings(cells: DataFrame, q: float) -> DataFrame:
-    from cellweave.functions.tails import normal_two_sided
+def _divergence(x: Inputs, q: float) -> DataFrame:
+    rows = d.divergence(d.trends(x.cells), x.edges).withColumn("p", normal_two_sided(F.col("difference") / F.col("sd")))
+    return _found(ec.bh(rows, q, id="u").where("rejected"), "trend_divergence", effect=F.col("difference"))
 
-    t = d.trends(cells).withColumn("z", F.col("beta") / F.col("sd"))
-    t = ec.bh(t.withColumn("p", normal_two_sided("z")).withColumn("id", F.col("u")), q).where("rejected")
-    years = cells.groupBy("u").agg(F.min("year").alias("first"), F.max("year").alias("last"))
-    return t.join(years, "u").select("u", "first", "last", F.lit("trend").alias("method"), "p", F.col("beta").alias("effect"))
+
+def _seasonality(x: Inputs, q: float) -> DataFrame:
+    rows = ec.bh(d.season_departure(d.harmonics(x.months)), q, id="u").where("rejected")
+    return _found(rows, "season_departure", effect=F.col("amplitude"))
+
+
+def _prospective(x: Inputs, q: float) -> DataFrame:
+    phi = x.cells.agg(F.min("phi").alias("phi"))
+    rows = models.prospective(x.cells.select("u", "year", "y", "n"), x.train_last).crossJoin(phi)  # one row
+    rows = rows.withColumns({"p": nb_upper("y", 1.1 * F.col("bpa"), "phi"), "id": F.concat_ws(":", "u", "year")})
+    rows = ec.bh(rows, q, weight="bpa").where("rejected")
+    return _found(rows, "outbreak", first=F.col("year"), last=F.col("year"), effect=F.log((F.col("y") + 0.5) / (F.col("bpa") + 0.5)))
+
+
+def _excess(x: Inputs, q: float) -> DataFrame:
+    return _found(d.outbreak(x.cells, q).where("rejected"), "outbreak", first=F.col("year"), last=F.col("year"), effect=F.log("ratio"))
+
+
+def _change(x: Inputs, q: float) -> DataFrame:
+    return _found(d.change_point(x.cells, q).where("rejected"), "change_point", first=F.col("since"), last=F.lit(9999))
+
+
+def _step(x: Inputs, q: float) -> DataFrame:
+    rows = d.bayes_selected(d.steps(x.cells), q).where("selected and size > 0").withColumn("p", 1 - F.col("posterior"))
+    return _found(rows, "step", first=F.col("since"), last=F.lit(9999), effect=F.col("size"))
+
+
+def _trend(x: Inputs, q: float) -> DataFrame:
+    rows = d.trends(x.cells).withColumn("p", normal_two_sided(F.col("beta") / F.col("sd")))
+    return _found(ec.bh(rows, q, id="u").where("rejected"), "trend", effect=F.col("beta"))
+
+
+#: Each question's methods, and the table that they need beside the cells.
+METHODS = {
+    "excess": ([_excess], None),
+    "step": ([_change, _step], None),
+    "trend": ([_trend], None),
+    "cluster": ([_cluster], None),
+    "propagation": ([_propagation], "distance"),
+    "share": ([_share], "shares"),
+    "institution": ([_institution], "facilities"),
+    "group": ([_group], "groups"),
+    "divergence": ([_divergence], "edges"),
+    "seasonality": ([_seasonality], "months"),
+    "prospective": ([_prospective], "train_last"),
+}
+
+
+def ask(question: str, inputs: Inputs | DataFrame, q: float) -> DataFrame:
+    """Findings (u, first, last, method, p, effect) of one question; each of its methods runs at q over their number.
+
+    Of findings of institutions u is the facility.
+    """
+    x = Inputs(inputs) if isinstance(inputs, DataFrame) else inputs
+    methods, need = METHODS[question]
+    if need and getattr(x, need) is None:
+        raise ValueError(f"question {question!r} needs {need}")
+    made = [_years(f(x, q / len(methods)), x.cells) for f in methods]
+    return merged(reduce(DataFrame.unionByName, made)).withColumn("question", F.lit(question))
 
 
 def merged(found: DataFrame) -> DataFrame:
@@ -95,10 +194,10 @@ def merged(found: DataFrame) -> DataFrame:
     return rows.groupBy("u", "_run").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.min("p").alias("p"), best.alias("effect"), F.array_sort(F.collect_set("method")).alias("methods")).drop("_run")
 
 
-def run(study: Study, cells: DataFrame) -> DataFrame:
+def run(study: Study, inputs: Inputs | DataFrame) -> DataFrame:
     """Ranked findings of all the study's questions; a p-value counts once for each question."""
     k = len(study.questions)
-    found = reduce(DataFrame.unionByName, [ask(x, cells, study.q / k) for x in study.questions])
+    found = reduce(DataFrame.unionByName, [ask(x, inputs, study.q / k) for x in study.questions])
     found = found.withColumn("q", F.least(F.lit(1.0), F.col("p") * k))
     rank = lead_rank(F.col("q"), F.coalesce("effect", F.lit(0.0)), F.size("methods") - 1)
     return found.withColumn("rank", rank)

@@ -195,7 +195,7 @@ def recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH f AS (SELECT o_custkey, max((l_returnflag = 'R')::INT) AS a, max((l_discount > 0.09)::INT) AS b, max((l_quantity > 48)::INT) AS c FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL)
+    """WITH f AS (SELECT l_orderkey, max((l_returnflag = 'R')::INT) AS a, max((l_discount > 0.08)::INT) AS b, max((l_quantity > 40)::INT) AS c FROM lineitem GROUP BY ALL)
 SELECT a, b, c, count(*)::BIGINT AS n FROM f WHERE a + b + c > 0 GROUP BY ALL"""
 )
 def capture_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,9 +203,9 @@ def capture_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _systems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    flags = {"a": F.col("l_returnflag") == "R", "b": F.col("l_discount") > 0.09, "c": F.col("l_quantity") > 48}
-    return rows.groupBy("o_custkey").agg(*[F.max(x.cast("int")).alias(k) for k, x in flags.items()])
+    """Orders as persons, and three systems that hold those with a line of some kind."""
+    flags = {"a": F.col("l_returnflag") == "R", "b": F.col("l_discount") > 0.08, "c": F.col("l_quantity") > 40}
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(*[F.max(x.cast("int")).alias(k) for k, x in flags.items()])
 
 
 @query()
@@ -264,7 +264,29 @@ def reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("year", "records", F.round(F.col("records") / F.sum("records").over(W.partitionBy(F.lit(0))), 6).alias("share"))
 
 
+def _inputs(spark: SparkSession, sf_dir: str) -> study.Inputs:
+    from cellweave.queries.analysis import _flow, _groups
+    from cellweave.queries.more import _first_orders
+    from cellweave.sources.scratch import staged
+
+    rows = staged(governed(spark, sf_dir).select("u", "year", "month", "facility", "status", "wt"), "study")
+    shares = rows.groupBy("u", "year").agg(F.count("*").alias("n"), F.count(F.when(F.col("status") == "R", 1)).alias("y"))
+    national = shares.groupBy("year").agg((F.sum("y") / F.sum("n")).alias("share"))
+    per = rows.groupBy("facility", "year").agg(F.count("*").alias("y"))
+    total = per.agg(F.sum("y").alias("_all"))
+    facilities = per.crossJoin(total).withColumn("mu", F.sum("y").over(W.partitionBy("facility")) * F.sum("y").over(W.partitionBy("year")) / F.col("_all"))  # one row
+    months = rows.groupBy("u", "year", "month").agg(F.sum("wt").alias("y")).withColumn("mu", F.sum("y").over(W.partitionBy("u", "year")) / 12.0)
+    y, n = _groups(spark, sf_dir)
+    both = staged(n.join(y, ["u", "g"], "left").withColumn("y", F.coalesce("y", F.lit(0))), "groups")
+    groups = both.crossJoin(both.agg((F.sum("y") / F.sum("n")).alias("_r"))).withColumn("mu", F.col("n") * F.col("_r"))  # one row
+    # places in the order of their numbers, a step apart
+    u = places(spark, sf_dir).select("u")
+    distance = u.withColumn("d", F.explode(F.sequence(F.lit(-12), F.lit(12)))).select(F.col("u").alias("source"), (F.col("u") + F.col("d")).alias("u"), F.abs("d").cast("double").alias("d"))
+    return study.Inputs(expected(spark, sf_dir), edges=_flow(spark, sf_dir), shares=shares.join(national, "year"), facilities=facilities, groups=groups, months=months, distance=distance.join(u, "u"), train_last=1998)
+
+
 @query()
 def study_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = study.load({"study": "all order lines", "seeds": [""], "period": "1995..2001", "q": 0.2})
-    return study.run(s, expected(spark, sf_dir)).select("u", "first", "last", "question", "methods", r6("q"), r6("rank"))
+    """A study that asks all questions."""
+    s = study.load({"study": "all order lines", "seeds": [""], "period": "1995..2001", "q": 0.5, "questions": tuple(study.METHODS)})
+    return study.run(s, _inputs(spark, sf_dir)).select("u", "first", "last", "question", "methods", r6("q"), r6("rank"))

@@ -110,3 +110,22 @@ def test_season_of_one_unit(spark):
     rows = [(u, y, float((u == 1) * 0.5 + 0.1 * rng.standard_normal()), float(0.1 * rng.standard_normal())) for u in range(4) for y in range(8)]
     got = {r.u: r for r in dep.season_departure(spark.createDataFrame(rows, "u int, year int, sin double, cos double")).collect()}
     assert got[1].p < 1e-6 and got[1].phase == pytest.approx(3, abs=0.3) and all(got[u].p > 0.001 for u in (0, 2, 3))
+
+
+def test_every_question_finds_what_is_planted(spark):
+    from cellweave.plans import study
+
+    cells = spark.createDataFrame([(u, t, 100.0, 300 if u == 3 and t >= 2004 else 100, 100.0, 1e9) for u in range(12) for t in range(2000, 2008)], "u int, year int, n double, y long, mu double, phi double")
+    shares = spark.createDataFrame([(u, t, 60 if (u, t) == (5, 2003) else 20, 100, 0.2) for u in range(12) for t in range(2000, 2008)], "u int, year int, y int, n int, share double")
+    facilities = spark.createDataFrame([(f, t, 90.0 if f == 2 and t in (2003, 2004) else 20.0, 20.0) for f in range(6) for t in range(2000, 2008)], "facility int, year int, y double, mu double")
+    groups = spark.createDataFrame([(u, g, 90 if (u, g) == (4, 1) else 30, 30.0) for u in range(12) for g in range(5)], "u int, g int, y int, mu double")
+    edges = spark.createDataFrame([(a, b) for a in range(12) for b in range(12) if a != b], "a int, b int")
+    x = study.Inputs(cells, edges=edges, shares=shares, facilities=facilities, groups=groups, train_last=2003)
+    want = {"excess": {3}, "step": {3}, "trend": {3}, "cluster": {3}, "share": {5}, "institution": {2}, "group": {4}, "prospective": {3}}
+    for question, places in want.items():
+        assert {r.u for r in study.ask(question, x, 0.05).collect()} == places, question
+    assert 3 in {r.u for r in study.ask("divergence", x, 0.05).collect()}
+    for question in ("propagation", "seasonality"):
+        with pytest.raises(ValueError):
+            study.ask(question, x, 0.05)
+    assert set(study.METHODS) == set(want) | {"divergence", "propagation", "seasonality"}
