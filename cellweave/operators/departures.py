@@ -98,8 +98,8 @@ def space_time(cells: DataFrame, neighbourhoods: DataFrame, *, longest: int = 4,
 
     p is (1 - pi0) times a Gumbel tail fitted to the replicates' positive maxima, pi0 the share of maxima at zero.
     Replicates are doubled, up to MAX_REPLICATES, until MIN_POSITIVE maxima are positive; without these every p is 1.
-    A task has one centre's neighbourhood and a block of replicates; replicate r draws the same counts in every task, so
-    maxima over centres are those of one simulated map.
+    A task has one centre's neighbourhood and a block of replicates; a place's counts in a block are drawn alike in every
+    task, so maxima over centres are those of one simulated map.
     """
     from cellweave.sources.scratch import staged
 
@@ -129,11 +129,11 @@ def space_time(cells: DataFrame, neighbourhoods: DataFrame, *, longest: int = 4,
 
     def simulated(frame: pd.DataFrame) -> pd.DataFrame:
         y, m, phi, spans = table_of(frame)
-        reps, maps = sorted(frame["reps"].iat[0]), []
-        for r in reps:
-            draw = np.stack([np.random.default_rng([seed, r, int(u)]).gamma(np.maximum(f, 1e-9), 1 / np.maximum(f, 1e-9)) for u, f in zip(y.index, phi)])
-            maps.append(np.stack([np.random.default_rng([seed + 1, r, int(u)]).poisson(np.maximum(x, 0)) for u, x in zip(y.index, m * draw)]))
-        return pd.DataFrame({"replicate": reps, "top": prefixes(np.stack(maps).astype(float), m, spans)[0].max((1, 2))})
+        reps, drawn = sorted(frame["reps"].iat[0]), []
+        for u, f, x in zip(y.index, np.maximum(phi, 1e-9), np.maximum(m, 0)):  # one generator for a place and block
+            rng, size = np.random.default_rng([seed, int(reps[0]), int(u)]), (len(reps), len(x))
+            drawn.append(rng.poisson(x * rng.gamma(f, 1 / f, size)))
+        return pd.DataFrame({"replicate": reps, "top": prefixes(np.stack(drawn, 1).astype(float), m, spans)[0].max((1, 2))})
 
     def maxima(low: int, high: int) -> np.ndarray:
         blocks = joined.sparkSession.range(0, -(-(high - low) // BLOCK)).select("id", F.expr(f"sequence({low} + id * {BLOCK}, least({high}, {low} + (id + 1) * {BLOCK}) - 1)").alias("reps"))

@@ -81,13 +81,14 @@ def factors(pairs: DataFrame, k: int, *, rounds: int = 200) -> pd.DataFrame:
     return pd.DataFrame(load, index=names)
 
 
-def poisson_factors(cells: DataFrame, rank: int, *, rounds: int = 500, tol: float = 1e-7, seed: str = "factors") -> tuple[DataFrame, DataFrame]:
+def poisson_factors(cells: DataFrame, rank: int, *, rounds: int = 500, tol: float = 1e-6, seed: str = "factors") -> tuple[DataFrame, DataFrame]:
     """Non-negative Poisson factorisation y ~ mu * sum_k a_uk b_tk by multiplicative updates, component 0 held constant.
 
     cells: u, year, y, mu. A place is a row with its years as columns. In a round each task fits its places' a to the
-    b of the round (a concave problem of each place alone, so places keep no state) and sums what the update of b and
-    the deviance need; b has a row a year. Rounds end when the deviance changes by less than ``tol`` of itself. b is
-    at most 1 in each component, the size is in a.
+    b of the round (a concave problem of each place alone, so places keep no state) and sums what a Newton step of each
+    year's b and the deviance need; where that step leaves the positive numbers, or the deviance has risen, the
+    multiplicative update is taken. Rounds end when the deviance changes by less than ``tol`` of itself. b is at most 1
+    in each component, the size is in a.
     """
     from cellweave.operators.expectation import uniform
     from cellweave.sources.scratch import staged
@@ -107,8 +108,14 @@ def poisson_factors(cells: DataFrame, rank: int, *, rounds: int = 500, tol: floa
         a = np.ones((len(x), b.shape[1]))
         a[:, 1:] = 0.15
         size = np.maximum(mu @ b, 1e-12)
-        for _ in range(1000):
-            new = a * ((y / np.maximum(a @ b.T, 1e-12)) @ b) / size
+        for _ in range(200):
+            m = np.maximum(a @ b.T, 1e-12)
+            new = a * ((y / m) @ b) / size
+            if rank:  # a Newton step for every place that it leaves positive, else the multiplicative one
+                curve = np.einsum("ut,tj,tk->ujk", y / (m * m), b[:, 1:], b[:, 1:]) + 1e-9 * np.eye(rank)
+                step = a[:, 1:] + np.linalg.solve(curve, ((y / m) @ b - size)[:, 1:, None])[..., 0]
+                fine = (step > 0.1 * a[:, 1:]).all(1)
+                new[fine, 1:] = step[fine]
             new[:, 0] = 1
             done = not len(a) or np.abs(new - a).max() < 1e-10 * max(1.0, a.max())
             a = new
@@ -121,20 +128,23 @@ def poisson_factors(cells: DataFrame, rank: int, *, rounds: int = 500, tol: floa
             y, mu, a = fitted(f, b)
             m = np.maximum(a @ b.T, 1e-12)
             dev = 2 * (np.where(y > 0, y * np.log(np.maximum(y, 1e-12) / np.maximum(mu * m, 1e-12)), 0) - (y - mu * m)).sum()
-            up, down = (y / m).T @ a, mu.T @ a
-            yield pd.DataFrame([(i, k, up[i, k], down[i, k], dev if i == k == 0 else 0.0) for i in range(n) for k in range(rank + 1)], columns=["i", "k", "up", "down", "dev"])
+            up, down, curve = (y / m).T @ a, mu.T @ a, np.einsum("ut,uj,uk->tjk", y / (m * m), a, a)
+            yield pd.DataFrame({"i": np.arange(n), "up": list(up), "down": list(down), "curve": list(curve.reshape(n, -1)), "dev": np.where(np.arange(n) == 0, dev, 0.0)})
 
+    parts = "i int, up array<double>, down array<double>, curve array<double>, dev double"
+    added = lambda c: F.array(*[F.sum(F.col(c)[j]) for j in range((rank + 1) ** (2 if c == "curve" else 1))]).alias(c)
     before = np.inf
     for _ in range(rounds if n else 0):
-        rows = wide.mapInPandas(lambda batches, b=b: sums(batches, b), "i int, k int, up double, down double, dev double")
-        rows = rows.groupBy("i", "k").agg(F.sum("up").alias("up"), F.sum("down").alias("down"), F.sum("dev").alias("dev")).collect()
+        rows = wide.mapInPandas(lambda batches, b=b: sums(batches, b), parts).groupBy("i").agg(added("up"), added("down"), added("curve"), F.sum("dev").alias("dev")).collect()
         now = sum(r["dev"] for r in rows)
         if abs(before - now) < tol * max(abs(now), 1.0):
             break
-        before, b = now, b.copy()
+        safe, before, b = now > before, now, b.copy()
         for r in rows:
-            if r["k"]:
-                b[r["i"], r["k"]] *= r["up"] / max(r["down"], 1e-12)
+            up, down, own = np.array(r["up"])[1:], np.maximum(np.array(r["down"])[1:], 1e-12), b[r["i"], 1:]
+            curve = np.array(r["curve"]).reshape(rank + 1, -1)[1:, 1:] + 1e-9 * np.eye(rank)
+            new = own + np.linalg.solve(curve, up - down) if rank else own
+            b[r["i"], 1:] = own * up / down if safe or (new <= 0.1 * own).any() else new
     b = b / np.maximum(b.max(0), 1e-12) if n else b
 
     def last(batches):
