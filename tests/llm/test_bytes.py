@@ -50,11 +50,27 @@ def test_repeats_like_brute_force(spark, seed):
 
 def test_repeats_odd_rows(spark):
     df = spark.createDataFrame([(5, "ab" * 400), (5, "ab" * 400), (None, "short"), (1, None)], "doc_id long, text string")
-    got = sorted((r.n_bytes, r.n_removed) for r in repeats.removed(df, keep=["doc_id"]).collect())
+    rows = repeats.removed(df, keep=["doc_id"]).collect()
+    got = sorted((r.n_bytes, r.n_removed) for r in rows)
+    assert all(r.n_passages == 0 for r in rows)  # one word
     assert got == [(0, 0), (5, 0), (800, 800), (800, 800)]
     assert repeats.removed(df.limit(0), keep=["doc_id"]).count() == 0
 
 
+def test_long_texts_and_passages(spark):
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choices("abcdefghij", k=rnd.randint(3, 8)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    shared, own = prose(70), prose(70)
+    texts = [prose(60_000) + " " + shared + " " + prose(1000), prose(300) + " " + shared, prose(90) + " " + own + " " + prose(90) + " " + own, prose(500), "é" * 200_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in repeats.removed(df, keep=["doc_id"], most_chars=1000).collect()}
+    for i, want in enumerate(removed(texts)):
+        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, hashlib.sha256(got[i].kept).hexdigest()) == want
+    # a passage is in another text; one that a text repeats within itself isn't
+    assert [got[i].n_passages for i in range(5)] == [1, 1, 0, 0, 0]
+
+
 def test_jpeg_round_trip_of_any_coefficients():
     rng = np.random.default_rng(0)
     for kind in range(3):
