@@ -109,13 +109,16 @@ def recoded_profile(profiles: DataFrame, moved: DataFrame, *, prior: float = 0.5
 
 
 def facility_read(cells: DataFrame, window: Column) -> DataFrame:
-    """Per place the facility with the largest share of the change from base to window, years made alike. cells: u, facility, year, y."""
+    """Per place the facility with the largest share of the change from base to window, years made alike. cells: u, facility, year, y.
+
+    The share is null where no facility has risen.
+    """
     years = cells.select("year").distinct().agg(F.sum(window.cast("int")).alias("_w"), F.sum((~window).cast("int")).alias("_b"))
     per = cells.groupBy("u", "facility").agg(F.sum(F.when(window, F.col("y")).otherwise(0)).alias("_in"), F.sum(F.when(window, 0).otherwise(F.col("y"))).alias("_out"))
     per = per.crossJoin(years).withColumn("change", F.col("_in") - F.col("_out") * F.col("_w") / F.col("_b"))  # one row
     best = F.max(F.struct("change", -F.col("facility"))).alias("_top")
     out = per.groupBy("u").agg(best, F.sum("change").alias("change"), F.sum(F.greatest("change", F.lit(0.0))).alias("_rise"))
-    return out.select("u", (-F.col("_top.col2")).alias("facility"), F.col("_top.change").alias("own"), "change", (F.col("_top.change") / F.col("_rise")).alias("share"))
+    return out.select("u", (-F.col("_top.col2")).alias("facility"), F.col("_top.change").alias("own"), "change", F.when(F.col("_rise") > 0, F.col("_top.change") / F.col("_rise")).alias("share"))
 
 
 def institution_triage(cells: DataFrame, window: Column, *, ratio: float = 1.5) -> DataFrame:

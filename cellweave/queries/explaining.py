@@ -129,7 +129,7 @@ def recoded_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""WITH {REC}, yr AS (SELECT count(DISTINCT year) FILTER (year >= 1999) AS w, count(DISTINCT year) FILTER (year < 1999) AS b FROM cells), f AS (SELECT u, facility, count(*) FILTER (year >= 1999) AS i, count(*) FILTER (year < 1999) AS o FROM cells GROUP BY ALL),
 c AS (SELECT u, facility, i - o * w / b AS change FROM f, yr), k AS (SELECT *, row_number() OVER (PARTITION BY u ORDER BY change DESC, facility) AS k, sum(change) OVER (PARTITION BY u) AS total, sum(greatest(change, 0)) OVER (PARTITION BY u) AS rise FROM c)
-SELECT u, facility, round(change, 5) AS own, round(total, 5) AS change, round(change / rise, 6) AS share FROM k WHERE k = 1"""
+SELECT u, facility, round(change, 5) AS own, round(total, 5) AS change, round(change / nullif(rise, 0), 6) AS share FROM k WHERE k = 1"""
 )
 def facility_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = staged(governed(spark, sf_dir).groupBy("u", "facility", "year").agg(F.count("*").alias("y")), "facilities")
