@@ -143,7 +143,7 @@ def reliabilities(counts: dict[tuple, int], *, rounds: int = 50, smooth: float =
 
 
 def span_classifier(spans_of: DataFrame, posterior: dict[tuple, float], *, smooth: float = 5.0) -> tuple[float, dict[str, float]]:
-    """Intercept and weight of each feature: log-odds of its soft labels over all candidates."""
+    """Intercept and weight of each feature: log-odds of its soft labels over all candidates, shrunk to those of all by ``smooth`` of them."""
     if not posterior:
         return 0.0, {}
     per = {k: F.lit(float(v)) for k, v in posterior.items()}
@@ -151,9 +151,11 @@ def span_classifier(spans_of: DataFrame, posterior: dict[tuple, float], *, smoot
     code = F.concat_ws("|", "k", F.col("wide").cast("string"), F.concat_ws("", F.transform("votes", lambda v: v.cast("string"))))
     rows = spans_of.withColumn("p", F.coalesce(F.element_at(known, code), F.lit(0.5)))
     sums = rows.select("p", F.explode(F.concat(F.array(F.lit("")), "features")).alias("f")).groupBy("f").agg(F.sum("p").alias("yes"), F.sum(1 - F.col("p")).alias("no"))
-    found = {r.f: math.log((r.yes + smooth) / (r.no + smooth)) for r in sums.collect()}
-    prior = found.pop("", 0.0)
-    return prior, {f: w - prior for f, w in found.items()}
+    found = {r.f: (r.yes, r.no) for r in sums.collect()}  # a row for each kind of feature
+    yes, no = found.pop("")
+    share = (yes + 1) / (yes + no + 2)
+    prior = math.log(share / (1 - share))
+    return prior, {f: math.log((y + smooth * share) / (n + smooth * (1 - share))) - prior for f, (y, n) in found.items()}
 
 
 def _code(key: tuple) -> str:
