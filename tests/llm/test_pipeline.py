@@ -48,7 +48,7 @@ def test_mixing_stage_with_repeated_ids(spark):
     copies = Counter()
     for r in mixing.mixed(docs, keep=("text",)).collect():
         copies[r.doc_id, r.text] += r.copies
-    got = corpus_pipeline.mixed_by_source(spark, docs, SF)
+    got = dict(corpus_pipeline.STAGES)["mixing"](spark, docs, SF)
     assert got.columns == docs.columns
     assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter({k: n for k, n in copies.items() if n})
 
