@@ -82,13 +82,13 @@ def factors(pairs: DataFrame, k: int, *, rounds: int = 200) -> pd.DataFrame:
 
 
 def poisson_factors(cells: DataFrame, rank: int, *, rounds: int = 500, tol: float = 1e-6, seed: str = "factors") -> tuple[DataFrame, DataFrame]:
-    """Non-negative Poisson factorisation y ~ mu * sum_k a_uk b_tk by multiplicative updates, component 0 held constant.
+    """Non-negative Poisson factorisation y ~ mu * sum_k a_uk b_tk, component 0 held constant.
 
     cells: u, year, y, mu. A place is a row with its years as columns. In a round each task fits its places' a to the
-    b of the round (a concave problem of each place alone, so places keep no state) and sums what a Newton step of each
-    year's b and the deviance need; where that step leaves the positive numbers, or the deviance has risen, the
-    multiplicative update is taken. Rounds end when the deviance changes by less than ``tol`` of itself. b is at most 1
-    in each component, the size is in a.
+    b of the round (a concave problem of each place alone, so places keep no state) and sums the gradient and curvature
+    of the deviance that remains once a follows b. The driver takes a Newton step in log b from these sums, as many as
+    there are years and components; a step after which the deviance has risen is shortened. Rounds end when a step
+    promises less than ``tol`` of the deviance. b is at most 1 in each component, the size is in a.
     """
     from cellweave.operators.expectation import uniform
     from cellweave.sources.scratch import staged
@@ -96,8 +96,9 @@ def poisson_factors(cells: DataFrame, rank: int, *, rounds: int = 500, tol: floa
     spark = cells.sparkSession
     years = sorted(r["year"] for r in cells.select("year").distinct().collect())
     n = len(years)
+    free = n * rank
     wide = staged(cells.groupBy("u").pivot("year", years).agg(F.sum("y").cast("double").alias("y"), F.sum("mu").cast("double").alias("mu")).fillna(0.0), "factors")
-    start = spark.createDataFrame([(i, k) for i in range(n) for k in range(1, rank + 1)], "i int, k int").withColumn("b", 0.1 + 0.1 * uniform("i", "k", seed=seed)).collect() if n and rank else []
+    start = spark.createDataFrame([(i, k) for i in range(n) for k in range(1, rank + 1)], "i int, k int").withColumn("b", 0.1 + 0.1 * uniform("i", "k", seed=seed)).collect() if free else []
     b = np.ones((n, rank + 1))
     for r in start:
         b[r["i"], r["k"]] = r["b"]
@@ -114,7 +115,9 @@ def poisson_factors(cells: DataFrame, rank: int, *, rounds: int = 500, tol: floa
             if rank:  # a Newton step for every place that it leaves positive, else the multiplicative one
                 curve = np.einsum("ut,tj,tk->ujk", y / (m * m), b[:, 1:], b[:, 1:]) + 1e-9 * np.eye(rank)
                 step = a[:, 1:] + np.linalg.solve(curve, ((y / m) @ b - size)[:, 1:, None])[..., 0]
-                fine = (step > 0.1 * a[:, 1:]).all(1)
+                if rank == 1:  # a step that is too long only leads below the solution, from where the next ones rise to it
+                    step = np.maximum(step, 0.05 * a[:, 1:])
+                fine = (step > 0.01 * a[:, 1:]).all(1)
                 new[fine, 1:] = step[fine]
             new[:, 0] = 1
             done = not len(a) or np.abs(new - a).max() < 1e-10 * max(1.0, a.max())
@@ -124,27 +127,50 @@ def poisson_factors(cells: DataFrame, rank: int, *, rounds: int = 500, tol: floa
         return y, mu, a
 
     def sums(batches, b):
-        for f in batches:
-            y, mu, a = fitted(f, b)
-            m = np.maximum(a @ b.T, 1e-12)
-            dev = 2 * (np.where(y > 0, y * np.log(np.maximum(y, 1e-12) / np.maximum(mu * m, 1e-12)), 0) - (y - mu * m)).sum()
-            up, down, curve = (y / m).T @ a, mu.T @ a, np.einsum("ut,uj,uk->tjk", y / (m * m), a, a)
-            yield pd.DataFrame({"i": np.arange(n), "up": list(up), "down": list(down), "curve": list(curve.reshape(n, -1)), "dev": np.where(np.arange(n) == 0, dev, 0.0)})
-
-    parts = "i int, up array<double>, down array<double>, curve array<double>, dev double"
-    added = lambda c: F.array(*[F.sum(F.col(c)[j]) for j in range((rank + 1) ** (2 if c == "curve" else 1))]).alias(c)
-    before = np.inf
-    for _ in range(rounds if n else 0):
-        rows = wide.mapInPandas(lambda batches, b=b: sums(batches, b), parts).groupBy("i").agg(added("up"), added("down"), added("curve"), F.sum("dev").alias("dev")).collect()
-        now = sum(r["dev"] for r in rows)
-        if abs(before - now) < tol * max(abs(now), 1.0):
+        for batch in batches:
+            for at in range(0, len(batch), 1000):
+                y, mu, a = fitted(batch.iloc[at : at + 1000], b)
+                m = np.maximum(a @ b.T, 1e-12)
+                dev = 2 * (np.where(y > 0, y * np.log(np.maximum(y, 1e-12) / np.maximum(mu * m, 1e-12)), 0) - (y - mu * m)).sum()
+                rest, weight, own, at_year = y / m - mu, y / (m * m), a[:, 1:], b[:, 1:]
+                curve = np.zeros((n, rank, n, rank))
+                curve[np.arange(n), :, np.arange(n), :] = np.einsum("ut,uj,uk->tjk", weight, own, own)
+                # how a place's a answers to b; what is at its bound of 0 doesn't
+                mixed = np.einsum("ut,tj,uk->ujtk", weight, at_year, own) - np.einsum("ut,jk->ujtk", rest, np.eye(rank))
+                inner = np.einsum("ut,tj,tk->ujk", weight, at_year, at_year)
+                still = own < 1e-8
+                mixed[still] = 0
+                inner[still] = 0
+                inner.transpose(0, 2, 1)[still] = 0
+                inner += np.einsum("uj,jk->ujk", np.where(still, 1.0, 1e-9), np.eye(rank))
+                flat = mixed.reshape(len(y), rank, free)
+                curve = curve.reshape(free, free) - np.einsum("ujx,ujy->xy", flat, np.linalg.solve(inner, flat))
+                yield pd.DataFrame({"i": np.arange(free), "slope": (rest.T @ own).ravel(), "curve": list(curve), "dev": np.full(free, dev)})
+
+    before, best, step = np.inf, np.log(b[:, 1:].ravel()), np.zeros(free)
+    for _ in range(rounds if free else 0):
+        now = best + step
+        b[:, 1:] = np.exp(now).reshape(n, rank)
+        added = F.array(*[F.sum(F.col("curve")[j]) for j in range(free)]).alias("curve")
+        rows = wide.mapInPandas(lambda batches, b=b.copy(): sums(batches, b), "i int, slope double, curve array<double>, dev double")
+        rows = rows.groupBy("i").agg(F.sum("slope").alias("slope"), added, F.sum("dev").alias("dev")).toPandas().sort_values("i")  # years times components
+        if not len(rows):
+            break
+        dev = rows["dev"].iloc[0]
+        if dev > before + 1e-9 * max(abs(before), 1.0):
+            step = step / 4
+            if np.abs(step).max() < 1e-6:
+                break
+            continue
+        before, best, at = dev, now, np.exp(now)
+        slope = rows["slope"].to_numpy() * at
+        value, vector = np.linalg.eigh(np.stack(rows["curve"]) * np.outer(at, at) + np.diag(np.maximum(-slope, 0)))
+        value = np.maximum(np.abs(value), 1e-6 * np.abs(value).max() + 1e-12)
+        step = vector @ ((vector.T @ slope) / value)
+        step *= min(1.0, 1.5 / max(np.abs(step).max(), 1e-12))
+        if slope @ step < tol * max(abs(dev), 1.0):
             break
-        safe, before, b = now > before, now, b.copy()
-        for r in rows:
-            up, down, own = np.array(r["up"])[1:], np.maximum(np.array(r["down"])[1:], 1e-12), b[r["i"], 1:]
-            curve = np.array(r["curve"]).reshape(rank + 1, -1)[1:, 1:] + 1e-9 * np.eye(rank)
-            new = own + np.linalg.solve(curve, up - down) if rank else own
-            b[r["i"], 1:] = own * up / down if safe or (new <= 0.1 * own).any() else new
+    b[:, 1:] = np.exp(best).reshape(n, rank)
     b = b / np.maximum(b.max(0), 1e-12) if n else b
 
     def last(batches):
