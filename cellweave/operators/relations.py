@@ -88,7 +88,7 @@ def poisson_factors(cells: DataFrame, rank: int, *, rounds: int = 500, tol: floa
     b of the round (a concave problem of each place alone, so places keep no state) and sums the gradient and curvature
     of the deviance that remains once a follows b. The driver takes a Newton step in log b from these sums, as many as
     there are years and components; a step after which the deviance has risen is shortened. Rounds end when a step
-    promises less than ``tol`` of the deviance. b is at most 1 in each component, the size is in a.
+    promises or gains less than ``tol`` of the deviance. b is at most 1 in each component, the size is in a.
     """
     from cellweave.operators.expectation import uniform
     from cellweave.sources.scratch import staged
@@ -162,7 +162,9 @@ def poisson_factors(cells: DataFrame, rank: int, *, rounds: int = 500, tol: floa
             if np.abs(step).max() < 1e-6:
                 break
             continue
-        before, best, at = dev, now, np.exp(now)
+        gained, before, best, at = before - dev, dev, now, np.exp(now)
+        if gained < tol * max(abs(dev), 1.0):
+            break
         slope = rows["slope"].to_numpy() * at
         value, vector = np.linalg.eigh(np.stack(rows["curve"]) * np.outer(at, at) + np.diag(np.maximum(-slope, 0)))
         value = np.maximum(np.abs(value), 1e-6 * np.abs(value).max() + 1e-12)

@@ -85,6 +85,22 @@ def test_poisson_factors_like_numpy(spark):
     assert max(fb[t, 1] for t in range(8)) == pytest.approx(1) and all(fa[u, 0] == 1 for u in range(12))
 
 
+def test_poisson_factors_of_two_components_fit_as_well_as_numpy(spark):
+    rng = np.random.default_rng(8)
+    n = 30
+    mu = rng.uniform(5, 50, (n, 6))
+    y = rng.poisson(mu * (1 + rng.gamma(1, 1, (n, 2)) @ rng.uniform(0, 1, (2, 6))))
+    a, b = np.full((n, 2), 0.5), rng.uniform(0.3, 1, (6, 2))
+    for _ in range(5_000):
+        a = a * ((y / (1 + a @ b.T)) @ b) / (mu @ b)
+        b = b * ((y / (1 + a @ b.T)).T @ a) / (mu.T @ a)
+    fa, fb = rel.poisson_factors(spark.createDataFrame([(u, t, int(y[u, t]), float(mu[u, t])) for u in range(n) for t in range(6)], "u int, year int, y int, mu double"), 2)
+    fa, fb = {(r.u, r.k): r.a for r in fa.collect()}, {(r.year, r.k): r.b for r in fb.collect()}
+    got = np.array([[sum(fa[u, k] * fb[t, k] for k in range(3)) for t in range(6)] for u in range(n)])
+    dev = lambda m: 2 * (np.where(y > 0, y * np.log(np.maximum(y, 1) / m), 0) - (y - m)).sum()
+    assert min(fa.values()) >= 0 and min(fb.values()) >= 0 and dev(mu * got) <= 1.01 * dev(mu * (1 + a @ b.T))
+
+
 def test_distributed_lag_finds_the_lag(spark):
     rng = np.random.default_rng(2)
     rows = []
