@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cellweave.llm import media, mixing, near_text, near_vectors, packing, pii, pipeline, quality, repeats, secrets, spans, toxicity
+from cellweave.llm import media, mixing, near_text, near_vectors, packing, periodic, pii, pipeline, quality, repeats, secrets, spans, toxicity
 from cellweave.llm.common import table
 
 
@@ -93,5 +93,32 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digest(secrets.scan(table(spark, sf_dir, "documents"), keep=["doc_id"]), secrets.KINDS)
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_packing": op2_packing, "op3_jaccard": op3_jaccard, "op4_media": op4_media, "op5_vectors": op5_vectors, "op6_mixing": op6_mixing, "op7_repeats": op7_repeats, "op8_pii": op8_pii, "op9_secrets": op9_secrets, "op10_quality": op10_quality, "pipeline": pipeline.run}
+def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of words in every document, one in ten of which is made periodic from a place on, as its id says."""
+    hashed = F.coalesce(F.crc32(F.col("doc_id").cast("string")), F.lit(1))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", hashed.alias("h"))
+    repeated = F.expr(
+        r"""aggregate(array(1), filter(split(text, '[\\x20\\x09-\\x0D]+'), w -> w != ''), (a, x) -> a, w ->
+        CASE WHEN size(w) = 0 THEN '' ELSE array_join(transform(w, (x, i) -> CASE
+          WHEN i < (h div 10) % size(w) THEN x
+          ELSE w[cast((h div 10) % size(w) + (i - (h div 10) % size(w)) % (1 + (size(w) - (h div 10) % size(w)) div (3 + (h div 10) % 8)) AS int)]
+          END), ' ') END)"""
+    )
+    docs = docs.select("doc_id", F.when(F.col("h") % 10 == 0, repeated).otherwise(F.col("text")).alias("text"))
+    found = periodic.runs(docs, keep=["doc_id"])
+    found = found.withColumn("best", F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period")))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n"))), "")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.start")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"),
+        F.expr("(1000 * best.length) div -best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_packing": op2_packing, "op3_jaccard": op3_jaccard, "op4_media": op4_media, "op5_vectors": op5_vectors, "op6_mixing": op6_mixing, "op7_repeats": op7_repeats, "op8_pii": op8_pii, "op9_secrets": op9_secrets, "op10_quality": op10_quality, "op11_periodic": op11_periodic, "pipeline": pipeline.run}
 ORACLES: dict[str, str] = {"op5_vectors": near_vectors.SQL, "op6_mixing": mixing.SQL}
