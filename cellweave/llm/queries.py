@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cellweave.llm import media, mixing, near_text, near_vectors, packing, periodic, pii, pipeline, quality, repeats, secrets, spans, toxicity
+from cellweave.llm import lines, media, mixing, near_text, near_vectors, packing, periodic, pii, pipeline, quality, repeats, secrets, spans, toxicity
 from cellweave.llm.common import table
 
 
@@ -120,5 +120,11 @@ def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_packing": op2_packing, "op3_jaccard": op3_jaccard, "op4_media": op4_media, "op5_vectors": op5_vectors, "op6_mixing": op6_mixing, "op7_repeats": op7_repeats, "op8_pii": op8_pii, "op9_secrets": op9_secrets, "op10_quality": op10_quality, "op11_periodic": op11_periodic, "pipeline": pipeline.run}
-ORACLES: dict[str, str] = {"op5_vectors": near_vectors.SQL, "op6_mixing": mixing.SQL}
+def op13_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What remains of every document without the lines that an earlier one holds."""
+    out = lines.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_packing": op2_packing, "op3_jaccard": op3_jaccard, "op4_media": op4_media, "op5_vectors": op5_vectors, "op6_mixing": op6_mixing, "op7_repeats": op7_repeats, "op8_pii": op8_pii, "op9_secrets": op9_secrets, "op10_quality": op10_quality, "op11_periodic": op11_periodic, "op13_lines": op13_lines, "pipeline": pipeline.run}
+ORACLES: dict[str, str] = {"op5_vectors": near_vectors.SQL, "op6_mixing": mixing.SQL, "op13_lines": lines.SQL}
