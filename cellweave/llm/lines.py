@@ -6,7 +6,7 @@ are merge-joined with every run; those that no run has (the anti-join) become a
 ``fanout`` runs, they are merged into one of the next level, so that a batch meets few runs however many came before. Since
 every run is bucketed alike, only the batch's hashes are shuffled for these joins.
 
-The hashes found in two documents, with their first document, then decide all lines in one pass over the documents.
+Texts are hashed once; what follows works on the staged hashes. Those found in two documents, with their first document, then decide all lines, and one join brings the dropped places to the texts.
 Hashes that make up a thousandth of all lines or more (so at most a thousand of them) are sent to all tasks; the
 others are joined by shuffling, where each is rare. Line hashes have 128 bits.
 
@@ -33,14 +33,16 @@ HASH = ["k1", "k2"]
 
 
 def key(line: Column) -> Column:
-    """What two lines must share to be the same."""
-    return F.translate(F.btrim(line, F.lit(BLANKS)), _UPPER, _UPPER.lower())
+    """What two lines must share to be the same: the stripped line, A to Z in lower case (and no other letter)."""
+    inner = F.btrim(line, F.lit(BLANKS))
+    return F.when(F.octet_length(inner) == F.length(inner), F.lower(inner)).otherwise(F.translate(inner, _UPPER, _UPPER.lower()))
 
 
 def hashes(docs: DataFrame, *, id: str = "doc_id", text: str = "text", shortest: int = SHORTEST) -> DataFrame:
     """(id, text_hash, at, k1, k2): a row for each line whose key has at least ``shortest`` code points."""
-    rows = docs.select(F.col(id).alias("id"), F.xxhash64(text).alias("text_hash"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("at", "line"))
-    rows = rows.select("id", "text_hash", "at", key(F.col("line")).alias("key")).where(F.length("key") >= shortest)
+    rows = docs.select(F.col(id).alias("id"), F.xxhash64(text).alias("text_hash"), F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1).alias("parts"))
+    rows = rows.select("id", "text_hash", F.posexplode("parts").alias("at", "line"))  # what is of the text is made before, once
+    rows = rows.where(F.length(F.btrim("line", F.lit(BLANKS))) >= shortest).select("id", "text_hash", "at", key(F.col("line")).alias("key"))
     return rows.select("id", "text_hash", "at", F.xxhash64("key").alias("k1"), F.xxhash64(F.lit(7), F.col("key")).alias("k2"))
 
 
@@ -93,11 +95,11 @@ class Runs:
             self._place(self._sorted(merged), level + 1)
 
 
-def _bounds(docs: DataFrame, id: str, batches: int) -> list[int]:
-    """Ids that part the documents into about equal batches; at most ``batches`` - 1 numbers come to the driver."""
+def _bounds(rows: DataFrame, id: str, batches: int) -> list[int]:
+    """Ids that part the rows into about equal batches; at most ``batches`` - 1 numbers come to the driver."""
     if batches < 2:
         return []
-    cuts = docs.agg(F.percentile_approx(id, [i / batches for i in range(1, batches)], 1000).alias("c")).first().c
+    cuts = rows.agg(F.percentile_approx(id, [i / batches for i in range(1, batches)], 1000).alias("c")).first().c
     return sorted(set(cuts or []))
 
 
@@ -112,20 +114,19 @@ def deduplicated(docs: DataFrame, *, id: str = "doc_id", text: str = "text", kee
     """
     spark = docs.sparkSession
     hidden, shown, _ = sealed(docs, keep, MADE)
+    lines = staged(hashes(docs, id=id, text=text, shortest=shortest), "line-hashes")
     store, repeated = Runs(spark, fanout=fanout), []
-    cuts = _bounds(docs, id, batches)
+    cuts = _bounds(lines, "id", batches)
     for i in range(len(cuts) + 1):
         here = F.lit(True)
         if i:
-            here = here & F.coalesce(F.col(id) > cuts[i - 1], F.lit(i == len(cuts)))
+            here = here & F.coalesce(F.col("id") > cuts[i - 1], F.lit(i == len(cuts)))
         if i < len(cuts):
-            here = here & (F.col(id) <= cuts[i])
-        batch = docs.where(here)
-        repeated.append(store.add(hashes(batch, id=id, text=text, shortest=shortest).select("id", *HASH), last=i == len(cuts)))
+            here = here & (F.col("id") <= cuts[i])
+        repeated.append(store.add(lines.where(here).select("id", *HASH), last=i == len(cuts)))
     owners = reduce(DataFrame.unionByName, repeated).groupBy(*HASH).agg(F.min("owner").alias("owner"), F.sum("lines").alias("lines"))
     owners = staged(owners, "line-owners")
     common = owners.where(F.col("lines") > owners.agg(F.sum("lines")).first()[0] / COMMON) if owners.head(1) else owners
-    lines = hashes(docs, id=id, text=text, shortest=shortest)
     lines = lines.join(F.broadcast(common.select(*HASH, F.col("owner").alias("first"))), HASH, "left")
     # The lines that are decided go where their document and place put them, so that no task gets all of them.
     spread = F.col("first").isNotNull()
