@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cellweave.llm import lines, media, mixing, near_text, near_vectors, packing, periodic, pii, pipeline, quality, repeats, secrets, spans, toxicity
+from cellweave.llm import lines, media, mixing, near_text, near_vectors, packing, periodic, pii, pipeline, prefix_trie, quality, repeats, secrets, spans, toxicity
 from cellweave.llm.common import table
 
 
@@ -120,11 +120,21 @@ def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all conversations, each beginning with turns of the one whose id is the next lower multiple of 20."""
+    own = prefix_trie.sequences(table(spark, sf_dir, "conversations"))
+    heads = own.where(F.col("conv_id") % 20 == 0).select(F.col("conv_id").alias("head_id"), F.slice("turns", 1, 3).alias("head"))
+    h = (F.crc32(F.col("conv_id").cast("string")) % 4).cast("int")
+    both = own.join(heads, F.col("head_id") == F.col("conv_id") - F.col("conv_id") % 20, "left")
+    turns = F.concat(F.slice(F.coalesce("head", F.slice("turns", 1, 0)), F.lit(1), h), F.slice("turns", h + 1, F.size("turns")))
+    return prefix_trie.trie(both.select("conv_id", turns.alias("turns")))
+
+
 def op13_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What remains of every document without the lines that an earlier one holds."""
     out = lines.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_packing": op2_packing, "op3_jaccard": op3_jaccard, "op4_media": op4_media, "op5_vectors": op5_vectors, "op6_mixing": op6_mixing, "op7_repeats": op7_repeats, "op8_pii": op8_pii, "op9_secrets": op9_secrets, "op10_quality": op10_quality, "op11_periodic": op11_periodic, "op13_lines": op13_lines, "pipeline": pipeline.run}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_packing": op2_packing, "op3_jaccard": op3_jaccard, "op4_media": op4_media, "op5_vectors": op5_vectors, "op6_mixing": op6_mixing, "op7_repeats": op7_repeats, "op8_pii": op8_pii, "op9_secrets": op9_secrets, "op10_quality": op10_quality, "op11_periodic": op11_periodic, "op12_trie": op12_trie, "op13_lines": op13_lines, "pipeline": pipeline.run}
 ORACLES: dict[str, str] = {"op5_vectors": near_vectors.SQL, "op6_mixing": mixing.SQL, "op13_lines": lines.SQL}
