@@ -1,14 +1,20 @@
-"""Propagation: first departures of places, and whether they spread from a source."""
+"""Propagation: first departures of places, and whether they come later the farther places lie from a source."""
 
 from __future__ import annotations
 
-import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from cellweave.operators.ranking import running
+from cellweave.sources.scratch import staged
+
+#: Fixed values of the method: surrogates of a search, waves at most, places of a disc at least, spread of a wave's members.
+SURROGATES, MAX_WAVES, LEAST, SPREAD, LEAST_SD = 999, 5, 10, 2.0, 0.5
+#: No correlation counts as closer to 1 than this.
+NEARLY_ONE = 0.999999
 
 
 def onsets(hits: DataFrame) -> DataFrame:
@@ -23,100 +29,128 @@ def absent_before(cells: DataFrame, onset: DataFrame) -> DataFrame:
     return rows.withColumn("absent", (F.coalesce("y", F.lit(0)) == 0) & (F.exp(-F.coalesce("mu", F.lit(0.0))) >= 0.5)).select("u", "onset", "absent")
 
 
-def wave_scores(onset: DataFrame, distance: DataFrame, *, least: int = 10) -> DataFrame:
-    """For each source and disc around it: Spearman's correlation of onset and distance, times sqrt(n - 3).
+def _levels(onset: DataFrame) -> DataFrame:
+    """(onset, r, n): the mean rank and the number of places of each distinct onset; a row a period."""
+    tied = running(onset.groupBy("onset").agg(F.count("*").alias("n")), ["onset"], {"_upto": F.col("n")})
+    return tied.select("onset", (F.col("_upto") - (F.col("n") - 1) / 2).alias("r"), "n")
+
 
-    distance: source, u, d. A disc holds the places up to some distance; ranks of onsets are those among all places,
-    so growing discs are running sums and no disc is gathered. The best disc of each source is returned.
+def wave_scores(onset: DataFrame, distance: DataFrame, *, least: int = LEAST) -> DataFrame:
+    """(source, score, places, rho, radius): the disc around each source in which onset follows distance most clearly.
+
+    distance: source, u, d. rho is Spearman's correlation of onset (ranked among all places) and distance (ranked within
+    the disc), both with mean ranks for ties; a disc takes all places of a distance or none, so its sums are those of
+    distances, running outwards. The score is Fisher's z of rho times sqrt(places - 3). Discs of fewer than ``least``
+    places have none; between equal scores the larger disc counts.
     """
-    tied = running(onset.groupBy("onset").agg(F.count("*").alias("_n")), ["onset"], {"_upto": F.col("_n")})
-    ranks = tied.select("onset", (F.col("_upto") - (F.col("_n") - 1) / 2).alias("r"))
-    rows = distance.join(onset.join(ranks, "onset"), "u")
-    upto = W.partitionBy("source").orderBy("d", "u").rowsBetween(W.unboundedPreceding, 0)
-    k = F.row_number().over(W.partitionBy("source").orderBy("d", "u"))
-    rows = rows.withColumn("k", k.cast("double"))
-    s = {"sr": F.sum("r"), "srr": F.sum(F.col("r") ** 2), "sk": F.sum("k"), "skk": F.sum(F.col("k") ** 2), "srk": F.sum(F.col("r") * F.col("k"))}
-    rows = rows.withColumns({n: e.over(upto) for n, e in s.items()}).where(F.col("k") >= least)
-    n = F.col("k")
-    cov = F.col("srk") / n - F.col("sr") * F.col("sk") / n**2
-    var = (F.col("srr") / n - (F.col("sr") / n) ** 2) * (F.col("skk") / n - (F.col("sk") / n) ** 2)
-    rho = F.when(var > 0, cov / F.sqrt(var)).otherwise(F.lit(0.0))
-    rows = rows.withColumn("rho", rho).withColumn("score", F.col("rho") * F.sqrt(n - 3))
-    return rows.groupBy("source").agg(F.max("score").alias("score"), F.max_by("k", F.struct("score", "k")).cast("int").alias("places"), F.max_by("rho", F.struct("score", "k")).alias("rho"), F.max_by("d", F.struct("score", "k")).alias("radius"))
-
-
-SURROGATES, MAX_WAVES = 999, 5
-
-
-def best_wave(onset: DataFrame, distance: DataFrame, *, surrogates: int = SURROGATES, seed: str = "waves", least: int = 10) -> DataFrame:
-    """The source of largest score, and its p against onsets dealt anew among the places ``surrogates`` times.
-
-    A task has one source's places; surrogate r deals the same onsets in every task, so maxima over sources are those of
-    one dealt map. No row is repeated for a surrogate: a source gives one array of maxima for all of them.
+    rows = distance.join(onset.join(_levels(onset).select("onset", "r"), "onset"), "u")
+    rings = rows.groupBy("source", "d").agg(F.count("*").alias("m"), F.sum("r").alias("sr"), F.sum(F.col("r") ** 2).alias("srr"))
+    out = W.partitionBy("source").orderBy("d").rowsBetween(W.unboundedPreceding, 0)
+    rings = rings.withColumn("n", F.sum("m").over(out)).withColumn("k", F.col("n") - (F.col("m") - 1) / 2)
+    parts = {"sr": F.col("sr"), "srr": F.col("srr"), "sk": F.col("m") * F.col("k"), "skk": F.col("m") * F.col("k") ** 2, "srk": F.col("sr") * F.col("k")}
+    rings = rings.withColumns({f"_{name}": F.sum(e).over(out) for name, e in parts.items()}).where(F.col("n") >= max(least, 4))
+    mean = lambda name: F.col(f"_{name}") / F.col("n")
+    spread = (mean("srr") - mean("sr") ** 2) * (mean("skk") - mean("sk") ** 2)
+    rho = F.when(spread > 1e-9, (mean("srk") - mean("sr") * mean("sk")) / F.sqrt(spread)).otherwise(F.lit(0.0))
+    rings = rings.withColumn("rho", rho).withColumn("score", F.round(_fisher(F.col("rho")) * F.sqrt(F.col("n") - 3), 9))
+    best = F.struct("score", "n")
+    return rings.groupBy("source").agg(F.max("score").alias("score"), F.max_by("n", best).cast("int").alias("places"), F.max_by("rho", best).alias("rho"), F.max_by("d", best).alias("radius"))
+
+
+def _fisher(rho: Column) -> Column:
+    near = F.least(F.lit(NEARLY_ONE), F.greatest(F.lit(-NEARLY_ONE), rho))
+    return F.log((1 + near) / (1 - near)) / 2
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """64 bits well mixed."""
+    for shift, factor in ((31, 0x7FB5D329728EA185), (27, 0x81DADEF4BC2DD44D), (33, 1)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x
+
+
+def surrogate_maxima(onset: DataFrame, distance: DataFrame, *, surrogates: int = SURROGATES, seed: str = "waves", least: int = LEAST) -> DataFrame:
+    """(r, score): the best score of any source and disc when every place draws its onset anew from the places' onsets.
+
+    A place's draw in surrogate r depends on the place and r alone, so all tasks see the same map without having it. What
+    goes to the tasks is the distribution of onsets, a number for each period. A source is one row with its places by
+    distance; batches of sources send one maximum for each surrogate.
     """
+    levels = np.array([[r.r, r.n] for r in _levels(onset).orderBy("onset").collect()], float).reshape(-1, 2)
+    upto = levels[:, 1].cumsum()
+    known = distance.join(onset.select("u"), "u")
+    discs = known.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("d", F.xxhash64(F.lit(seed), "u").alias("h")))).alias("s")).select(F.col("s.d").alias("d"), F.col("s.h").alias("h"))
+    salt = _mixed(np.arange(1, surrogates + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+    def one(d: np.ndarray, h: np.ndarray) -> np.ndarray | None:
+        ends = np.flatnonzero(np.append(d[1:] != d[:-1], True)) + 1  # places up to the end of each distance
+        many = np.diff(ends, prepend=0)
+        ranks = np.repeat(ends - (many - 1) / 2, many)
+        ends = ends[ends >= max(least, 4)]
+        if not len(ends):
+            return None
+        sk, skk = (ranks.cumsum()[ends - 1] / ends, (ranks * ranks).cumsum()[ends - 1] / ends)
+        best = []
+        for low in range(0, surrogates, 128):
+            draw = _mixed(h.view(np.uint64)[None, :] ^ salt[low : low + 128, None])
+            r = levels[np.minimum(np.searchsorted(upto, (draw >> np.uint64(11)) * (upto[-1] / 2.0**53), side="right"), len(upto) - 1), 0]
+            at = lambda x: x.cumsum(axis=1)[:, ends - 1] / ends
+            sr = at(r)
+            spread = (at(r * r) - sr * sr) * (skk - sk * sk)
+            rho = np.where(spread > 1e-9, (at(r * ranks) - sr * sk) / np.sqrt(np.maximum(spread, 1e-9)), 0.0)
+            best.append((np.arctanh(np.clip(rho, -NEARLY_ONE, NEARLY_ONE)) * np.sqrt(ends - 3)).max(axis=1))
+        return np.concatenate(best)
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        top = np.full(surrogates, -np.inf)
+        for frame in frames:
+            for d, h in zip(frame["d"], frame["h"]):
+                if (own := one(np.asarray(d, float), np.asarray(h, np.int64))) is not None:
+                    top = np.maximum(top, own)
+        yield pd.DataFrame({"r": np.arange(surrogates), "score": top})
+
+    return discs.mapInPandas(work, "r int, score double").groupBy("r").agg(F.max("score").alias("score"))
+
+
+def best_wave(onset: DataFrame, distance: DataFrame, *, surrogates: int = SURROGATES, seed: str = "waves", least: int = LEAST) -> DataFrame:
+    """The source and disc of largest score, with its p among the maxima of ``surrogate_maxima``."""
     own = wave_scores(onset, distance, least=least).orderBy(F.desc("score"), "source").limit(1)
-    known = onset.select("u", "onset").orderBy("u").toPandas()
-    places, ranks = pd.Index(known["u"]), known["onset"].rank().to_numpy()
-    code = int.from_bytes(hashlib.sha256(seed.encode()).digest()[:4], "little")
-
-    def null(frame: pd.DataFrame) -> pd.DataFrame:
-        f = frame[frame["u"].isin(places)].sort_values(["d", "u"])
-        at, k = places.get_indexer(f["u"]), np.arange(1.0, len(f) + 1)
-        if len(f) < least:
-            return pd.DataFrame(columns=["r", "null"])
-        sk, skk, tops = k.cumsum(), (k * k).cumsum(), []
-        for low in range(0, surrogates, 100):
-            r = np.stack([ranks[np.random.default_rng([code, i]).permutation(len(ranks))[at]] for i in range(low, min(low + 100, surrogates))])
-            sr, srr, srk = r.cumsum(1), (r * r).cumsum(1), (r * k).cumsum(1)
-            var = (srr / k - (sr / k) ** 2) * (skk / k - (sk / k) ** 2)
-            rho = np.where(var > 1e-9, (srk / k - sr * sk / k**2) / np.sqrt(np.maximum(var, 1e-9)), 0.0)
-            tops.append((rho * np.sqrt(np.maximum(k - 3, 0)))[:, least - 1 :].max(1))
-        return pd.DataFrame({"r": np.arange(surrogates), "null": np.concatenate(tops)})
-
-    top = distance.select("source", "u", "d").groupBy("source").applyInPandas(null, "r int, null double").groupBy("r").agg(F.max("null").alias("null"))
-    out = own.join(F.broadcast(top.agg(F.collect_list("null").alias("_nulls"))))  # one row, as many numbers as surrogates
-    return out.withColumn("p", (1 + F.size(F.filter("_nulls", lambda x: x >= F.col("score") - 1e-9))) / F.lit(1.0 + surrogates)).drop("_nulls")
-
-
-def waves(onset: DataFrame, distance: DataFrame, *, q: float = 0.05, surrogates: int = SURROGATES, seed: str = "waves", least: int = 10, most: int = MAX_WAVES) -> DataFrame:
-    """Successive waves, each sought among the places that the earlier ones left, to the first whose p exceeds ``q``.
-
-    That one is given too (``found`` false). A wave takes the places of its disc within two robust deviations of its
-    Theil-Sen line of onset on distance; one whose line doesn't rise ends the search.
-    """
-    from cellweave.sources.scratch import staged
+    null = surrogate_maxima(onset, distance, surrogates=surrogates, seed=seed, least=least).withColumnRenamed("score", "_null")
+    beaten = own.crossJoin(null)  # own is one row
+    return beaten.groupBy(*own.columns).agg(((1 + F.sum((F.col("_null") >= F.col("score") - 1e-9).cast("int"))) / F.lit(1.0 + surrogates)).alias("p"))
 
+
+def waves(onset: DataFrame, distance: DataFrame, *, q: float = 0.05, surrogates: int = SURROGATES, seed: str = "waves", least: int = LEAST, most: int = MAX_WAVES) -> DataFrame:
+    """Successive waves, each sought among the places that earlier ones left, until one's p exceeds ``q``; that one is given too.
+
+    slope: of the least-squares line of onset on distance over a wave's disc; a wave whose line doesn't rise isn't
+    ``found``. A found wave takes the places of its disc within two standard deviations (of half a period at least) of the
+    line, and they neither depart nor serve as sources again. Only one row a wave comes to the driver.
+    """
     spark = onset.sparkSession
-    onset, distance = staged(onset.select("u", F.col("onset").cast("double").alias("onset")), "onset"), staged(distance.select("source", "u", F.col("d").cast("double").alias("d")), "distance")
-    kind = dict(onset.dtypes)["u"]
-    rows, gone = [], []
-    names = ["source", "score", "places", "rho", "radius", "p"]
-    while len(rows) < most:
-        left, pairs = onset, distance
-        if gone:
-            out = F.broadcast(spark.createDataFrame([(x,) for x in gone], f"u {kind}"))
-            left = onset.join(out, "u", "left_anti")
-            pairs = distance.join(out, "u", "left_anti").join(out.withColumnRenamed("u", "source"), "source", "left_anti")
-        best = best_wave(left, pairs, surrogates=surrogates, seed=f"{seed}{len(rows)}" if rows else seed, least=least).select(*names).first()
+    left = staged(onset.select("u", F.col("onset").cast("double").alias("onset")), "onset")
+    pairs = staged(distance.select("source", "u", F.col("d").cast("double").alias("d")), "distance")
+    rows = []
+    for number in range(1, most + 1):
+        best = best_wave(left, pairs, surrogates=surrogates, seed=f"{seed}:{number}", least=least).first()
         if best is None:
             break
-        disc = pairs.where((F.col("source") == best["source"]) & (F.col("d") <= best["radius"])).join(left, "u").select("u", "onset", "d").toPandas()
-        t, d = disc["onset"].to_numpy(), disc["d"].to_numpy()
-        a, b = np.triu_indices(len(t), 1)
-        apart = d[a] != d[b]
-        slope = float(np.median((t[a] - t[b])[apart] / (d[a] - d[b])[apart])) if apart.any() else 0.0
-        found = best["p"] <= q and slope > 0
-        rows.append((len(rows) + 1, *best, slope, found))
+        disc = pairs.where((F.col("source") == best.source) & (F.col("d") <= best.radius)).join(left, "u")
+        line = disc.agg(F.coalesce(F.regr_slope("onset", "d"), F.lit(0.0)).alias("b"), F.coalesce(F.regr_intercept("onset", "d"), F.avg("onset")).alias("a")).first()
+        off = F.col("onset") - line.a - line.b * F.col("d")
+        found = best.p <= q and line.b > 0
+        rows.append((number, best.source, best.score, best.places, best.rho, best.radius, best.p, line.b, found))
         if not found:
             break
-        res = t - (np.median(t) - slope * np.median(d)) - slope * d
-        sd = 1.4826 * np.median(np.abs(res - np.median(res)))
-        gone += disc["u"][np.abs(res) <= 2 * max(sd, 0.5)].tolist()
+        sd = disc.agg(F.sqrt(F.avg(off * off)).alias("s")).first().s
+        members = staged(disc.where(F.abs(off) <= SPREAD * max(sd, LEAST_SD)).select("u"), "wave")
+        left = staged(left.join(members, "u", "left_anti"), "onset")
+        pairs = staged(pairs.join(members, "u", "left_anti").join(members.withColumnRenamed("u", "source"), "source", "left_anti"), "distance")
     return spark.createDataFrame(rows, f"wave int, source {dict(distance.dtypes)['source']}, score double, places int, rho double, radius double, p double, slope double, found boolean")
 
 
 def speed(onset: DataFrame, distance: DataFrame) -> DataFrame:
-    """Theil-Sen slope of distance on onset for each source: median of its places' slopes to the source's own onset."""
+    """Distance over delay, the median of a source's places that depart after it."""
     own = onset.select(F.col("u").alias("source"), F.col("onset").alias("start"))
     rows = distance.join(onset, "u").join(own, "source").where("onset > start")
     return rows.groupBy("source").agg(F.median(F.col("d") / (F.col("onset") - F.col("start"))).alias("speed"))
