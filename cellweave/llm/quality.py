@@ -143,7 +143,11 @@ def features(t: Tokens, bits: int = 18) -> Sparse:
 
 
 def fit(docs: DataFrame, *, id: str = "doc_id", text: str = "text", max_rows: int = 8192, shards: int = 8, most_chars: int = 1_000_000) -> Weights:
-    """The scorer of ``docs``: votes of all texts are counted, a bounded sample with posterior labels is fitted."""
+    """The scorer of ``docs``: votes of all texts are counted, a bounded sample with posterior labels is fitted.
+
+    The sample has one row for each of ``max_rows`` ids, by hash: of rows with one id the least text, chosen before the
+    rows are dealt to ``shards`` tasks. A task holds its whole texts, long ones included (max_rows / shards of them).
+    """
     rows = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def cast(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -154,10 +158,10 @@ def fit(docs: DataFrame, *, id: str = "doc_id", text: str = "text", max_rows: in
     counted = rows.select("text").mapInPandas(cast, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
     junk = posterior({r.code: r.n for r in counted.collect()})
     ids = rows.select("id").where("id is not null").distinct().orderBy(F.xxhash64("id"), "id").limit(max_rows)
-    dealt = rows.join(F.broadcast(ids), "id").withColumn("shard", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(shards)).cast("int"))
+    dealt = rows.join(F.broadcast(ids), "id").groupBy("id").agg(F.min("text").alias("text")).withColumn("shard", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(shards)).cast("int"))
 
     def shard_weights(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["id", "text"], kind="stable").drop_duplicates("id")
+        frame = frame.sort_values("id", kind="stable")
         t = tokens(texts(frame["text"]))
         y = 1 - np.array([junk.get(c, 0.5) for c in votes(t).tolist()])
         w = train(features(t), y, epochs=8, alpha=1.0, beta=1.0, l1=0.2, l2=0.0, least_rows=3)

@@ -50,13 +50,17 @@ def _once(x: Sparse) -> Sparse:
 
 
 def fit(labelled: DataFrame, *, max_rows: int = MAX_ROWS, shards: int = 1, epochs: int = 10, alpha: float = 1.0, beta: float = 1.0, l1: float = 8.0, common: float = 1.5, l2: float = 0.0, least_rows: int = 3) -> Weights:
-    """Weights from ``labelled`` (id, text, label 0 or 1): a bounded sample of ``max_rows`` by the hash of id."""
+    """Weights from ``labelled`` (id, text, label 0 or 1): a bounded sample of ``max_rows`` by the hash of id.
+
+    Rows of one id are told apart by label, then by text, so reruns learn from the same rows. A task holds its whole
+    texts, long ones included (max_rows / shards of them).
+    """
     rows = labelled.where("label is not null").select("id", "text", "label")
-    sample = rows.orderBy(F.xxhash64("id"), "id", "label").limit(max_rows)
+    sample = rows.orderBy(F.xxhash64("id"), "id", "label", F.xxhash64("text"), "text").limit(max_rows)
     dealt = sample.withColumn("shard", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(shards)).cast("int"))
 
     def shard_weights(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("id", kind="stable")
+        frame = frame.sort_values(["id", "label", "text"], kind="stable")
         w = train(_once(features(texts(frame["text"]))), frame["label"].to_numpy(float), epochs=epochs, alpha=alpha, beta=beta, l1=l1, l2=l2, least_rows=least_rows, common=common)
         return pd.DataFrame({"key": np.append(w.key.view(np.int64), 0), "weight": np.append(w.weight, w.bias), "bias": [False] * len(w.key) + [True]})
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
@@ -92,3 +93,14 @@ def test_quality_odd_rows(spark):
     rows = quality.score(odd(spark), w, keep=odd(spark).columns).collect()
     assert len(rows) == 7 and all(0 <= r.score <= 1 for r in rows)
     assert quality.score(odd(spark).limit(0), quality.fit(odd(spark).limit(0)), keep=["doc_id"]).count() == 0
+
+
+def test_samples_with_repeated_ids(spark):
+    """One id with many rows is one row of the quality sample; ties of the toxicity sample don't depend on the order of rows."""
+    rows = [(1, f"text number {i} with some words.") for i in range(300)] + [(i, f"A line, and another {i}. The end!") for i in range(2, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    a, b = (quality.fit(d, max_rows=20) for d in (docs.repartition(3), docs.orderBy("text").coalesce(1)))
+    assert (a.key == b.key).all() and np.allclose(a.weight, b.weight) and a.bias == pytest.approx(b.bias)
+    labelled = docs.selectExpr("doc_id AS id", "text", "cast(doc_id = 1 AS int) AS label")
+    a, b = (toxicity.fit(d, max_rows=40, l1=0.1) for d in (labelled.repartition(3), labelled.orderBy("text").coalesce(1)))
+    assert (a.key == b.key).all() and np.allclose(a.weight, b.weight)
