@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from cellweave.operators import courses as co, error_control as ec, mixtures as mx, nulls as nu, shapes as sh, waves as wv
+from cellweave.operators import courses as co, error_control as ec, mixtures as mx, multiscale as ms, nulls as nu, shapes as sh, variance as va, waves as wv
 from cellweave.operators.expectation import dispersion, scattered
 from cellweave.operators.ranking import running
 from cellweave.queries.base import expected, governed, people, places, query
@@ -152,3 +152,42 @@ SELECT source, round(max(score), 4) AS score, arg_max(n, {'s': score, 'n': n})::
 def wave_disc_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The disc around each supplier in which first sales follow the distance in balance most clearly."""
     return wv.wave_scores(*_first_orders(spark, sf_dir)).select("source", r4(F.col("score"), "score"), "places", r4(F.col("rho"), "rho"))
+
+
+@query()
+def variance_by_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much yearly sales of nations' brands vary beyond Poisson noise: of all, by region of the supplier, by nation."""
+    regions = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("nation"), F.col("n_regionkey").alias("region"))
+    rows = _lines(spark, sf_dir).withColumn("nation", F.element_at(F.split("u", r"\|"), 2)).join(regions, "nation")
+    own, at = W.partitionBy("u"), W.partitionBy("at")
+    total = rows.agg(F.sum("y").alias("_all"))
+    rows = rows.withColumn("mu", F.sum("y").over(own) * F.sum("y").over(at)).crossJoin(total).withColumn("mu", F.col("mu") / F.col("_all"))  # one row
+    _, levels = va.place_year_variance(rows.withColumn("phi", F.lit(1e9)), ["region", "nation"])
+    return levels.select("level", "group", F.round("own_estimate", 2).alias("own_estimate"), F.round("log_variance", 2).alias("log_variance"))
+
+
+@query()
+def graph_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Peaks of nations' departures over scales of the care-flow graph and windows of years."""
+    from cellweave.queries.analysis import _flow
+
+    flow = _flow(spark, sf_dir).where("weight > 0.1")
+    return ms.peaks(expected(spark, sf_dir), flow, scales=[0, 1, 2], replicates=20).select("u", "scale", "first", "last", F.round("z", 3).alias("z"), r4(F.col("ratio"), "ratio"), r4(F.col("p"), "p"))
+
+
+@query()
+def online_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The yearly tests of nations as a stream in three batches, each nation's levels kept as state."""
+    import tempfile
+    import uuid
+
+    from cellweave.queries.analysis import _tests
+    from cellweave.streaming import online
+
+    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cellweave-")
+    source, out, state = (f"{top}/cellweave/online-{uuid.uuid4().hex}/{x}" for x in ("in", "out", "state"))
+    tests = staged(_tests(spark, sf_dir).select("id", "u", "year", "p"), "tests")
+    for part in (F.col("year") < 1997, F.col("year").between(1997, 1999), F.col("year") > 1999):
+        tests.where(part).write.mode("append").parquet(source)
+        online.drained(online.lond_stream(spark.readStream.schema(tests.schema).parquet(source), 0.5, by="u", order="year"), out, state)
+    return spark.read.parquet(out).select("id", "u", r4(F.col("p"), "p"), "number", F.round("level", 8).alias("level"), "rejected")

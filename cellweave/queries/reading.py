@@ -287,6 +287,9 @@ def _inputs(spark: SparkSession, sf_dir: str) -> study.Inputs:
 
 @query()
 def study_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A study that asks all questions."""
-    s = study.load({"study": "all order lines", "seeds": [""], "period": "1995..2001", "q": 0.5, "questions": tuple(study.METHODS)})
-    return study.run(s, _inputs(spark, sf_dir)).select("u", "first", "last", "question", "methods", r6("q"), r6("rank"))
+    """A study that asks all questions, with what is planted: three times the counts of nation 5 from 1999 on, and of nation 12 in 1997."""
+    x = _inputs(spark, sf_dir)
+    here = F.when((F.col("u") == 5) & (F.col("year") >= 1999), 3).when((F.col("u") == 12) & (F.col("year") == 1997), 3).otherwise(1)
+    x.cells = x.cells.withColumn("y", F.col("y") * here)
+    s = study.load({"study": "all order lines", "seeds": [""], "period": "1995..2001", "q": 0.1, "questions": tuple(study.METHODS)})
+    return study.run(s, x).select("locus", "u", "first", "last", "question", "methods", r6("q"), r6("rank"))
