@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from cellweave.operators import courses as co, error_control as ec, mixtures as mx, multiscale as ms, nulls as nu, shapes as sh, variance as va, waves as wv
+from cellweave.operators import courses as co, error_control as ec, institutions as ins, mixtures as mx, multiscale as ms, nulls as nu, shapes as sh, variance as va, waves as wv
 from cellweave.operators.expectation import dispersion, scattered
 from cellweave.operators.ranking import running
-from cellweave.queries.base import expected, governed, people, places, query
+from cellweave.queries.base import REC, expected, governed, people, places, query
 from cellweave.queries.more import _first_orders
 from cellweave.sources.records import table
 from cellweave.sources.scratch import staged
@@ -191,3 +191,36 @@ def online_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
         tests.where(part).write.mode("append").parquet(source)
         online.drained(online.lond_stream(spark.readStream.schema(tests.schema).parquet(source), 0.5, by="u", order="year"), out, state)
     return spark.read.parquet(out).select("id", "u", r4(F.col("p"), "p"), "number", F.round("level", 8).alias("level"), "rejected")
+
+
+def _recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by residence, facility and year: of one part type's first brand, of the type, of all; facility 7 names none."""
+    rows = governed(spark, sf_dir).select("u", F.when(F.col("facility") != 7, F.col("facility")).alias("facility"), "year", "code")
+    return staged(rows.groupBy("u", "facility", "year").agg(F.count_if(F.col("code") == "ECONOMY|Brand#1").alias("lead"), F.count_if(F.col("code").startswith("ECONOMY|")).alias("block"), F.count("*").alias("total")), "recorded")
+
+
+@query(
+    f"""WITH {REC}, c AS (SELECT u, CASE WHEN facility <> 7 THEN facility END AS facility, year, count(*) FILTER (code = 'ECONOMY|Brand#1') AS lead, count(*) FILTER (code LIKE 'ECONOMY|%') AS block, count(*) AS total FROM cells GROUP BY ALL),
+n AS (SELECT count(DISTINCT year) FILTER (year >= 1999) AS nw, count(DISTINCT year) FILTER (year < 1999) AS nb FROM c),
+p AS (SELECT u, facility, coalesce(sum(lead) FILTER (year >= 1999), 0) AS lw, coalesce(sum(lead) FILTER (year < 1999), 0) AS lb, coalesce(sum(block) FILTER (year >= 1999), 0) AS bw, coalesce(sum(block) FILTER (year < 1999), 0) AS bb, coalesce(sum(total) FILTER (year >= 1999), 0) AS tw, coalesce(sum(total) FILTER (year < 1999), 0) AS tb FROM c GROUP BY ALL),
+d AS (SELECT p.*, nw, nb, greatest(lw / nw - lb / nb, 0) AS d, CASE WHEN facility IS NOT NULL THEN greatest(lw / nw - lb / nb, 0) ELSE 0 END AS pos FROM p, n),
+r AS (SELECT *, sum(d) OVER o AS gain, sum(bb) OVER o AS ref, row_number() OVER w AS rnk, sum(pos) OVER (PARTITION BY u ORDER BY pos DESC, facility NULLS LAST ROWS UNBOUNDED PRECEDING) AS upto FROM d WINDOW o AS (PARTITION BY u), w AS (PARTITION BY u ORDER BY pos DESC, facility NULLS LAST)),
+k AS (SELECT *, min(CASE WHEN rnk <= 3 AND gain > 0 AND upto >= 0.7 * gain THEN rnk END) OVER (PARTITION BY u) AS k FROM r),
+f AS (SELECT facility, sum(lw) AS alw, sum(lb) AS alb, sum(bw) AS abw, sum(bb) AS abb FROM p WHERE facility IS NOT NULL GROUP BY ALL),
+t AS (SELECT k.*, alw - lw AS olw, alb - lb AS olb, abw - bw AS obw, abb - bb AS obb FROM k JOIN f USING (facility) WHERE rnk <= coalesce(k, 1)),
+g AS (SELECT u, any_value(k) AS k, count(*) AS facilities, any_value(gain * nw) AS excess, CASE WHEN any_value(gain) > 0 THEN sum(pos) / any_value(gain) END AS share, CASE WHEN any_value(ref) > 0 THEN sum(bb) / any_value(ref) ELSE 0 END AS ref_share,
+sum(tb - lb) / any_value(nb) AS volume_base, sum(tw - lw) / any_value(nw) AS volume, ln((sum(lw) + 0.5) / (sum(bw) + 1) * (sum(bb) + 1) / (sum(lb) + 0.5)) AS inside, sum(olw) AS olw, sum(olb) AS olb, sum(obw) AS obw, sum(obb) AS obb FROM t GROUP BY u)
+SELECT u, k::INT AS k, facilities::INT AS facilities, round(excess, 5) AS excess, round(share, 5) AS share, round(ref_share, 5) AS ref_share, round(volume_base, 4) AS volume_base, round(volume, 4) AS volume, round(inside, 5) AS inside, (olw + olb)::BIGINT AS others,
+round(CASE WHEN olw + olb >= 30 AND obw > 0 AND obb > 0 THEN ln((olw + 0.5) / (obw + 1) * (obb + 1) / (olb + 0.5)) END, 5) AS outside FROM g"""
+)
+def facility_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How nations' change in one brand lies with the suppliers that sold it."""
+    r5 = lambda c: F.round(c, 5).alias(c)
+    out = ins.evidence(_recorded(spark, sf_dir), F.col("year") >= 1999)
+    return out.select("u", "k", F.size("facilities").alias("facilities"), r5("excess"), r5("share"), r5("ref_share"), r4(F.col("volume_base"), "volume_base"), r4(F.col("volume"), "volume"), r5("inside"), "others", r5("outside"))
+
+
+@query()
+def facility_mechanism(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What that evidence reads as."""
+    return ins.mechanism(_recorded(spark, sf_dir), F.col("year") >= 1999).select("u", "k", r4(F.col("share"), "share"), F.round("p", 6).alias("p"), "reading")
