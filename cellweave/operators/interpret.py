@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import zlib
 from itertools import permutations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from cellweave.functions.tails import poisson_interval
@@ -80,17 +83,25 @@ def triage(leads: DataFrame) -> DataFrame:
 def corroborated(values: DataFrame, members: DataFrame, *, replicates: int = 4999, seed: str = "sets") -> DataFrame:
     """A set's mean against random sets matched by stratum: p = (1 + sets at least as large) / (1 + replicates).
 
-    values: u, stratum, x. members: u. In replicate r the places of each stratum with the least hashes stand in for
-    the stratum's members, so a set has as many of each stratum as the real one.
+    values: u, stratum, x. members: u. A replicate draws as many places of each stratum as the set has, none of them twice.
+    A stratum is one row with its values; the task that has it draws all its sets and sends their sums, so there are as many
+    rows as strata and replicates, whatever the number of places.
     """
-    rows = values.join(members.withColumn("_in", F.lit(1)), "u", "left").withColumn("_in", F.coalesce("_in", F.lit(0)))
-    size = W.partitionBy("stratum")
-    rows = rows.withColumn("_k", F.sum("_in").over(size)).where("_k > 0")
-    reps = rows.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    pick = W.partitionBy("r", "stratum").orderBy(F.xxhash64(F.lit(seed), "r", "u"), "u")
-    drawn = reps.withColumn("_n", F.row_number().over(pick)).where("_n <= _k").groupBy("r").agg(F.avg("x").alias("null"))
-    own = rows.where("_in = 1").agg(F.avg("x").alias("x"))
-    return drawn.crossJoin(own).agg(F.first("x").alias("x"), ((1 + F.sum((F.col("null") >= F.col("x")).cast("int"))) / F.lit(1 + replicates)).alias("p"))  # own is one row
+    rows = values.join(members.select("u").distinct().withColumn("_in", F.lit(1)), "u", "left").withColumn("_in", F.coalesce("_in", F.lit(0)))
+    own = rows.where("_in = 1").agg(F.avg("x").alias("x"), F.count("*").alias("_m"))
+    strata = rows.groupBy("stratum").agg(F.sort_array(F.collect_list(F.struct("u", F.col("x").cast("double").alias("x")))).alias("s"), F.sum("_in").alias("k")).where("k > 0")
+    strata = strata.select(F.concat_ws(":", F.lit(seed), F.col("stratum").cast("string")).alias("name"), F.col("s.x").alias("x"), "k")
+
+    def draw(frames):
+        for f in frames:
+            for name, x, k in zip(f["name"], f["x"], f["k"]):
+                rnd, x = np.random.default_rng(zlib.crc32(name.encode())), np.asarray(x, float)
+                sums = [x[rnd.random((len(r), len(x))).argpartition(k - 1, axis=1)[:, :k]].sum(axis=1) for r in np.array_split(np.arange(replicates), max(1, replicates * len(x) // 1_000_000))]
+                yield pd.DataFrame({"r": np.arange(replicates), "sum": np.concatenate(sums)})
+
+    drawn = strata.mapInPandas(draw, "r int, sum double").groupBy("r").agg(F.sum("sum").alias("sum"))
+    beaten = F.sum((F.col("sum") / F.col("_m") >= F.col("x") - 1e-12).cast("int"))
+    return drawn.crossJoin(own).groupBy("x").agg(((1 + beaten) / F.lit(1 + replicates)).alias("p"))  # own is one row
 
 
 def lead_rank(q: Column, effect: Column, tier: Column) -> Column:

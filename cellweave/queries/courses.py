@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from cellweave.operators import courses as co, error_control as ec, institutions as ins, mixtures as mx, multiscale as ms, nulls as nu, shapes as sh, variance as va, waves as wv
+from cellweave.operators import courses as co, error_control as ec, institutions as ins, mixtures as mx, multiscale as ms, nulls as nu, shapes as sh, structure as stx, variance as va, waves as wv
 from cellweave.operators.expectation import dispersion, scattered
 from cellweave.operators.ranking import running
 from cellweave.queries.base import REC, expected, governed, people, places, query
@@ -224,3 +224,24 @@ def facility_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def facility_mechanism(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What that evidence reads as."""
     return ins.mechanism(_recorded(spark, sf_dir), F.col("year") >= 1999).select("u", "k", r4(F.col("share"), "share"), F.round("p", 6).alias("p"), "reading")
+
+
+def _type_courses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(field, u, year, x): log ratios of part types' quarterly quantities in nations to what nation and quarter expect."""
+    rows = governed(spark, sf_dir).groupBy(F.element_at(F.split("code", r"\|"), 1).alias("field"), "u", (F.col("year") * 4 + F.floor((F.col("month") - 1) / 3)).cast("int").alias("year")).agg(F.sum("wt").alias("y"))
+    at = W.partitionBy("u", "year")
+    return rows.select("field", "u", "year", F.log((F.col("y") + 0.5) / (F.sum("y").over(at) / F.count("*").over(at) + 0.5)).alias("x"))
+
+
+@query()
+def direct_type_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which relations between part types' courses remain given all others."""
+    out = stx.direct_relations(_type_courses(spark, sf_dir))
+    return out.select("a", "b", r4(F.col("rho"), "rho"), "frequency", F.round("partial", 3).alias("partial"), "direct", "penalty")
+
+
+@query()
+def pattern_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Is the pattern of nations' years there in the earlier and the later years?"""
+    cells = staged(expected(spark, sf_dir).select("u", "year", "y", "mu"), "patterned")
+    return stx.pattern_stability(cells, 1, F.col("year") < 1998).select("k", *[F.round(c, 2).alias(c) for c in ("stability", "first", "second")])
