@@ -150,6 +150,10 @@ def candidate_links(nodes: DataFrame, *, trees: int, depth: int, prefix: int, si
     return dealt.mapInPandas(link, "a long, b long, alike double").groupBy("a", "b").agg(F.max("alike").alias("alike"))
 
 
+#: A round that found too little shortens the prefix by so many values at least: every round reads all texts' keys.
+STRIDE = 2
+
+
 def candidate_components(distinct: DataFrame, *, trees: int, depth: int, similarity: float, recall: float, block: int) -> DataFrame:
     """(node, root) of texts that candidate links reach, the prefix shortened until the links found promise ``recall``."""
     comp, found, prefix = None, {}, depth
@@ -171,6 +175,7 @@ def candidate_components(distinct: DataFrame, *, trees: int, depth: int, similar
             prefix -= 1
         if prefix == at:
             return comp
+        prefix = max(1, min(prefix, at - STRIDE))  # a shorter prefix finds all that a longer one does
 
 
 def verified(members: DataFrame, *, shingle: int, similarity: float, block: int) -> DataFrame:
