@@ -316,3 +316,23 @@ def trie(sequences: DataFrame, *, block: int = BLOCK, piece: int = PIECE, few: i
     waiting = whole.where(F.col("parent").isNotNull()).join(parents, F.col("parent") == F.col("_parent")).withColumn("parent_conv_id", F.col("_parent_conv"))
     whole = whole.where(F.col("parent").isNull()).unionByName(waiting.select(*whole.columns))
     return whole.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", F.col("text").alias("ends_sha256"))
+
+
+#: The query's rows in SQL, where no two rows share a conversation and turn: rebuilt conversations, all their prefixes
+#: grouped, and each node's figures summed over its ancestors. The unsigned CRC32 of an id is worked out bit by bit.
+SQL = r"""
+WITH t AS (SELECT conv_id, turn, md5(concat(strlen(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS k,
+  len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS w FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, list({'k': k, 'w': w} ORDER BY turn NULLS FIRST) AS own, conv_id::VARCHAR AS s FROM t GROUP BY conv_id),
+h AS (SELECT *, (xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(range(len(s)), lambda i: list_concat([ascii(s[i + 1])::BIGINT], [-1, -1, -1, -1, -1, -1, -1, -1])))),
+  lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295) % 4)::INT AS h FROM c),
+r AS (SELECT h.conv_id, list_concat(coalesce(b.own[1:h.h], []), h.own[h.h + 1:]) AS turns FROM h LEFT JOIN c b ON b.conv_id = h.conv_id - h.conv_id % 20),
+p AS (SELECT conv_id, len(turns) AS n, d, array_to_string(list_transform(turns[1:d], lambda x: x.k), '') AS id, CASE WHEN d > 0 THEN array_to_string(list_transform(turns[1:d - 1], lambda x: x.k), '') END AS up, CASE WHEN d > 0 THEN turns[d].w ELSE 0 END AS w
+  FROM (SELECT *, unnest(range(len(turns) + 1)) AS d FROM r)),
+g AS (SELECT id, d, any_value(up) AS up, any_value(w) AS w, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends_sha256 FROM p GROUP BY id, d),
+k AS (SELECT up AS id, count(*) AS n FROM g WHERE up IS NOT NULL GROUP BY up),
+a AS (SELECT left(g.id, 32 * e) AS id, (k.n IS NULL)::INT AS leaf, (n_convs - 1) * w AS saved FROM (SELECT *, unnest(range(d + 1)) AS e FROM g) g LEFT JOIN k ON k.id = g.id),
+s AS (SELECT id, sum(leaf) AS n_leaves, sum(saved) AS saved_tokens FROM a GROUP BY id)
+SELECT g.conv_id, g.d::BIGINT AS depth, u.conv_id AS parent_conv_id, g.n_convs, coalesce(k.n, 0)::BIGINT AS n_children, s.n_leaves::BIGINT AS n_leaves, s.saved_tokens::BIGINT AS saved_tokens, g.ends_sha256
+FROM g LEFT JOIN g u ON u.id = g.up LEFT JOIN k ON k.id = g.id JOIN s ON s.id = g.id
+"""

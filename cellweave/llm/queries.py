@@ -137,4 +137,4 @@ def op13_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_toxicity": op1_toxicity, "op2_packing": op2_packing, "op3_jaccard": op3_jaccard, "op4_media": op4_media, "op5_vectors": op5_vectors, "op6_mixing": op6_mixing, "op7_repeats": op7_repeats, "op8_pii": op8_pii, "op9_secrets": op9_secrets, "op10_quality": op10_quality, "op11_periodic": op11_periodic, "op12_trie": op12_trie, "op13_lines": op13_lines, "pipeline": pipeline.run}
-ORACLES: dict[str, str] = {"op5_vectors": near_vectors.SQL, "op6_mixing": mixing.SQL, "op13_lines": lines.SQL}
+ORACLES: dict[str, str] = {"op5_vectors": near_vectors.SQL, "op6_mixing": mixing.SQL, "op12_trie": prefix_trie.SQL, "op13_lines": lines.SQL}

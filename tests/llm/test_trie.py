@@ -9,7 +9,7 @@ import zlib
 from collections import defaultdict
 
 import pytest
-from conftest import SF
+from conftest import SF, same_rows
 
 from cellweave.llm import art, prefix_trie, queries
 
@@ -79,6 +79,10 @@ def test_query_like_brute_force(spark):
     assert rows(queries.op12_trie(spark, SF)) == brute(rebuilt(table))
 
 
+def test_query_like_sql(spark, duck):
+    same_rows(queries.op12_trie(spark, SF), duck, prefix_trie.SQL)
+
+
 @pytest.mark.parametrize("block, piece, few", [(1, 1, 4), (7, 3, 5), (20_000, 50_000, 64)])
 def test_trie_in_blocks(spark, block, piece, few):
     rnd = random.Random(block)
