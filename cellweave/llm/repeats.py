@@ -300,7 +300,7 @@ def _gone(n: int, spans: np.ndarray | None, places: np.ndarray, which: int, leng
     return np.cumsum(step[:-1]) > 0
 
 
-def removed(docs: DataFrame, *, text: str = "text", keep: list[str], length: int = LENGTH, passage: int = PASSAGE, passage_words: int = WORDS, most_chars: int = 1_000_000) -> DataFrame:
+def removed(docs: DataFrame, *, text: str = "text", keep: list[str], length: int = LENGTH, passage: int = PASSAGE, passage_words: int = WORDS, most_chars: int = 400_000) -> DataFrame:
     """``keep``, ``kept`` (the remaining bytes), n_bytes, n_removed, n_spans (maximal removed runs) and n_passages of each text.
 
     n_passages: maximal runs of more than ``passage_words`` words in which every byte is of a string of ``passage`` bytes
