@@ -142,7 +142,7 @@ def features(t: Tokens, bits: int = 18) -> Sparse:
     return Sparse(row, both & np.uint64((1 << bits) - 1), count / n[row], t.n)
 
 
-def fit(docs: DataFrame, *, id: str = "doc_id", text: str = "text", max_rows: int = 8192, shards: int = 8, most_chars: int = 1_000_000) -> Weights:
+def fit(docs: DataFrame, *, id: str = "doc_id", text: str = "text", max_rows: int = 8192, shards: int = 8, most_chars: int = 400_000) -> Weights:
     """The scorer of ``docs``: votes of all texts are counted, a bounded sample with posterior labels is fitted.
 
     The sample has one row for each of ``max_rows`` ids, by hash: of rows with one id the least text, chosen before the
@@ -174,7 +174,7 @@ def fit(docs: DataFrame, *, id: str = "doc_id", text: str = "text", max_rows: in
     return Weights(np.array([r.key for r in found], np.int64).view(np.uint64), np.array([r.weight / n for r in found]), sum(r.weight / n for r in total if r.key < 0))
 
 
-def score(docs: DataFrame, weights: Weights, *, keep: list[str], text: str = "text", most_chars: int = 1_000_000) -> DataFrame:
+def score(docs: DataFrame, weights: Weights, *, keep: list[str], text: str = "text", most_chars: int = 400_000) -> DataFrame:
     """The ``keep`` columns of ``docs`` and ``score``, the probability that the whole text is good."""
     sent = docs.sparkSession.sparkContext.broadcast(weights)
     hidden, shown, schema = sealed(docs, keep, ("score",))
