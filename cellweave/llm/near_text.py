@@ -268,7 +268,8 @@ def classes(docs: DataFrame, *, id: str = "doc_id", text: str = "text", shingle:
     """(id, class_id, n_links) for each row of ``docs``.
 
     class_id: the least id that links reach, itself included; n_links: the documents that it is linked with directly.
-    A block of a component holds about ``block`` texts, and about ``block`` times ``words_each`` words.
+    A block of a component holds about ``block`` texts, and about ``block`` times ``words_each`` words; a longer text counts
+    for as many texts, so a very long one is a block with few others. Null and empty texts are linked with nothing.
     """
     rows, node = _classed(docs, id=id, text=text, shingle=shingle, similarity=similarity, trees=trees, depth=depth, recall=recall, block=block, words_each=words_each)
     out = rows.select("id", "h1", "h2").join(node, ["h1", "h2"], "left")

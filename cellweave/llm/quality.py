@@ -175,7 +175,11 @@ def fit(docs: DataFrame, *, id: str = "doc_id", text: str = "text", max_rows: in
 
 
 def score(docs: DataFrame, weights: Weights, *, keep: list[str], text: str = "text", most_chars: int = 400_000) -> DataFrame:
-    """The ``keep`` columns of ``docs`` and ``score``, the probability that the whole text is good."""
+    """The ``keep`` columns of ``docs`` and ``score``, the probability that the whole text is good.
+
+    Null and empty texts score what the bias alone says. Repeated rows have equal scores. A long text is scored whole; one beyond
+    ``most_chars`` is a slice of its own, whose task holds about 100 bytes a token for it. An empty table gives an empty result.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(weights)
     hidden, shown, schema = sealed(docs, keep, ("score",))
     names = [f"_k{i}" for i in range(len(keep))]
