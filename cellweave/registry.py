@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cellweave.queries import analysis, courses, explaining, modelling, more, readers, reading, sources
+from cellweave.queries import analysis, courses, explaining, holding, modelling, more, readers, reading, sources
 from cellweave.queries.base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "analysis", "courses", "explaining", "modelling", "more", "readers", "reading", "sources"]
+__all__ = ["ORACLES", "QUERIES", "analysis", "courses", "explaining", "holding", "modelling", "more", "readers", "reading", "sources"]
