@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, functions as F
 from cellweave.functions import distributions as d
 from cellweave.sources.scratch import staged
 
-#: Log variances that are tried: from none to a hundred, as a grid whose best point is refined by a parabola.
-GRID = np.linspace(np.log(1e-7), np.log(1e2), 64)
+#: Log variances that are tried: from a ten-thousandth (one per cent of the expectation) to a hundred, as a grid whose best point is refined by a parabola.
+GRID = np.linspace(np.log(1e-4), np.log(1e2), 48)
 
 
 def nb_quantile(p: float, mu: np.ndarray, phi: np.ndarray) -> np.ndarray:
@@ -69,7 +69,7 @@ def place_year_variance(cells: DataFrame, levels: list[str] | None = None, *, tr
     its level show beyond their own uncertainty: a group that knows little keeps its parent's. Cells beyond the
     ``trim`` quantiles on either side are left out, by bounds that are set anew in each of ``rounds``; so departures
     that the variance must not absorb don't. A cell's likelihoods over the grid are summed per group in Spark; a group is
-    64 numbers.
+    48 numbers.
     """
     levels = levels or []
     rows = staged(cells.select("u", *levels, F.col("y").cast("double").alias("y"), F.col("mu").cast("double").alias("mu"), F.when(F.col("phi") < 1e8, 1 / F.col("phi")).otherwise(0.0).alias("own")).withColumn("_all", F.lit("all")), "variance")

@@ -162,7 +162,7 @@ def variance_by_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     own, at = W.partitionBy("u"), W.partitionBy("at")
     total = rows.agg(F.sum("y").alias("_all"))
     rows = rows.withColumn("mu", F.sum("y").over(own) * F.sum("y").over(at)).crossJoin(total).withColumn("mu", F.col("mu") / F.col("_all"))  # one row
-    _, levels = va.place_year_variance(rows.withColumn("phi", F.lit(1e9)), ["region", "nation"])
+    _, levels = va.place_year_variance(rows.withColumn("phi", F.lit(1e9)), ["region", "nation"], trim=0.0)
     return levels.select("level", "group", F.round("own_estimate", 2).alias("own_estimate"), F.round("log_variance", 2).alias("log_variance"))
 
 
