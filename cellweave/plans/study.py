@@ -122,11 +122,11 @@ def _all_years(cells: DataFrame) -> DataFrame:
 def _scanned(x: Inputs, q: float) -> DataFrame:
     """Sets of places near each other that are above expectation together, by scan under simulated maps; a finding for each member.
 
-    Sets are reported one after the other, each once those before it are explained; its p is already one of a search.
+    Sets are reported one after the other, five at most, each once those before it are explained; its p is already one of a search.
     """
     per = _all_years(x.cells).withColumn("year", F.lit(0))
     near = neighbourhoods(x.edges, NEAR)
-    rows = d.space_time(per, near, longest=1, replicates=SCAN_REPLICATES, alpha=q).where("reported is not null")
+    rows = d.space_time(per, near, longest=1, replicates=SCAN_REPLICATES, alpha=q, most=5).where("reported is not null")
     rows = rows.select("p", F.col("p").alias("q_value"), F.explode("places").alias("u")).groupBy("u").agg(F.min("p").alias("p"), F.min("q_value").alias("q_value"))
     return _found(rows.join(per.select("u", "y", "mu"), "u"), "cluster", effect=_log_ratio("mu"))
 
