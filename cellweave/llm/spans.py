@@ -12,19 +12,28 @@ from pyspark.sql import Column, DataFrame, functions as F
 SPAN = "array<struct<s:int,e:int,v:string,w:string>>"
 
 
-def with_matches(df: DataFrame, text: str, patterns: dict[str, tuple[str, str, int]]) -> DataFrame:
+def with_matches(df: DataFrame, text: str, patterns: dict[str, tuple[str | None, str, int]]) -> DataFrame:
     """Adds for each name the array of its matches: s, e (end exclusive), v (the match) and w (a group of it).
 
-    patterns: name to (a cheap pattern that a text must contain to be searched, the pattern, the group of w).
+    patterns: name to (a cheap pattern that a text must contain to be searched, None to search every text, the pattern,
+    the group of w).
     """
     keep = [F.col(c) for c in df.columns]
     none = F.array().cast("array<string>")
-    searched = df.select(*keep, *[F.col(text).rlike(cheap).alias(f"_has_{k}") for k, (cheap, _, _) in patterns.items()])
+
+    def matches(cheap: str | None, pattern: str) -> Column:
+        all_of = F.coalesce(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), none)
+        return all_of if cheap is None else F.when(F.col(text).rlike(cheap), all_of).otherwise(none)
+
+    def where_any(name: str, value: Column) -> Column:
+        return F.when(F.size(f"_m_{name}") > 0, value).otherwise(none)
+
+    searched = df.select(*keep, *[matches(cheap, p).alias(f"_m_{k}") for k, (cheap, p, _) in patterns.items()])
     found = searched.select(
         *keep,
-        *[F.when(F.col(f"_has_{k}"), F.regexp_extract_all(text, F.lit(p), F.lit(0))).otherwise(none).alias(f"_m_{k}") for k, (_, p, _) in patterns.items()],
-        *[F.when(F.col(f"_has_{k}"), F.regexp_extract_all(text, F.lit(p), F.lit(g))).otherwise(none).alias(f"_g_{k}") for k, (_, p, g) in patterns.items() if g],
-        *[F.when(F.col(f"_has_{k}"), F.split(text, p, -1)).otherwise(none).alias(f"_p_{k}") for k, (_, p, _) in patterns.items()],
+        *[F.col(f"_m_{k}") for k in patterns],
+        *[where_any(k, F.regexp_extract_all(text, F.lit(p), F.lit(g))).alias(f"_g_{k}") for k, (_, p, g) in patterns.items() if g],
+        *[where_any(k, F.split(text, p, -1)).alias(f"_p_{k}") for k, (_, p, _) in patterns.items()],
     )
     return found.select(*keep, *[_placed(f"_m_{k}", f"_p_{k}", f"_g_{k}" if g else f"_m_{k}").alias(k) for k, (_, _, g) in patterns.items()])
 

@@ -9,7 +9,7 @@ import re
 import pytest
 from conftest import SF
 
-from cellweave.llm import pii, queries, secrets
+from cellweave.llm import pii, queries, secrets, spans
 
 
 def base_pii(t):
@@ -104,6 +104,33 @@ def test_weak_parts_need_their_complement(spark, text, want):
     assert sorted(sorted(s.k for s in r.spans) for r in got) == sorted([want, want, []])
 
 
+@pytest.mark.parametrize("name", ["user: alice", '"username": "alice"', "user  = alice", "'user' = 'alice'", "USERNAME :alice", "Client_Id=alice"])
+def test_identifiers_in_any_form(spark, name):
+    end = name.index("alice") + 5
+    texts = [f"{name} password=hunter22x", f"{name} password=hunter22x client_id=alice", f"{name} alone"]
+    got = secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), keep=["doc_id"]).collect()
+    added = {r.doc_id: [(s.k, s.e) for s in r.spans if not s.base] for r in got}
+    assert added == {0: [("access", end)], 1: [("access", end), ("access", len(texts[1]))], 2: []}
+
+
+def test_every_text_is_searched_for_every_pattern(spark):
+    rnd = random.Random(9)
+    names = ["user", "username", "Client_ID", "clientid", "passwd", "TOKEN", "api_key", "apikey", "x"]
+    values = ["alice", "ab", WEAK_ID, "AKIA" + "Z" * 16, "AKIA" + "Z" * 13, "0123456789abcdef" * 2, WEAK_SECRET, "a.b-c_d/e+f=", "https://db.example.com:443", "é🙂"]
+
+    def one():
+        return "".join([rnd.choice(["", " ", "é", "x"]), rnd.choice(names), rnd.choice(["", "'", '"']), " " * rnd.randint(0, 2), rnd.choice(["", ":", "=", "s:"]), " " * rnd.randint(0, 2), rnd.choice(["", "'", '"']), rnd.choice(values)])
+
+    texts = ["".join(one() for _ in range(rnd.randint(1, 2))) for _ in range(2_000)]
+    patterns = secrets.BASE | secrets.WEAK
+    rows = spans.with_matches(spark.createDataFrame(list(enumerate([*texts, None])), "i int, t string"), "t", patterns).collect()
+    assert len(rows) == len(texts) + 1
+    for name, (_, pattern, _) in patterns.items():
+        assert any(r[name] for r in rows)
+        for r in rows:
+            assert [(m.s, m.e, m.v) for m in r[name]] == [(m.start(), m.end(), m[0]) for m in re.finditer(pattern, r.t or "", re.A)], (name, r.t)
+
+
 @pytest.mark.parametrize("gap", [1, 10, 199, 200, 201])
 @pytest.mark.parametrize("at", [0, 399, 400])
 def test_long_parts_before_weak_ones(spark, at, gap):
