@@ -41,3 +41,8 @@ def bound(spark, tmp_path_factory):
 def test_leads_at_the_bound_whatever_the_order(spark, bound):
     assert [r.id for r in QUERIES["find_leads"](spark, bound).collect()] == [2]
     assert {r.id: r["class"] for r in QUERIES["explain_leads"](spark, bound).collect()} == {0: "noise", 1: "noise", 2: "signal", 3: "noise"}
+
+
+def test_triage_counts_at_the_bound(spark, bound):
+    got = {(r["class"], r.region): (r.leads, r.replicated) for r in QUERIES["triage_counts"](spark, bound).collect()}
+    assert got == {("noise", 0): (1, 1), ("signal", 0): (1, 1), ("noise", 1): (2, 2)}
