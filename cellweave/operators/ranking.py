@@ -34,9 +34,11 @@ def least_from(rows: DataFrame, order: list, name: str, value: Column) -> DataFr
     parts = in_parts(rows.withColumn("_v", value), order)
     later = W.orderBy("_part").rowsBetween(1, W.unboundedFollowing)  # a row a part
     after = parts.groupBy("_part").agg(F.min("_v").alias("_m")).select("_part", F.min("_m").over(later).alias("_after"))
-    own = W.partitionBy("_part").orderBy(*order).rowsBetween(0, W.unboundedFollowing)
-    out = parts.join(F.broadcast(after), "_part").withColumn(name, F.least(F.min("_v").over(own), F.col("_after")))
-    return out.drop("_part", "_v", "_after")
+    # backwards from the end: Spark goes through the rest of a part anew for each row of a frame that ends with it
+    own = W.partitionBy("_part").orderBy(F.desc("_k")).rowsBetween(W.unboundedPreceding, 0)
+    out = parts.withColumn("_k", F.row_number().over(W.partitionBy("_part").orderBy(*order)))
+    out = out.join(F.broadcast(after), "_part").withColumn(name, F.least(F.min("_v").over(own), F.col("_after")))
+    return out.drop("_part", "_v", "_after", "_k")
 
 
 def share_not_above(rows: DataFrame, value: str) -> DataFrame:

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import pytest
+from conftest import SF
+from pyspark.sql import functions as F
 
+from cellweave.operators.ranking import least_from
 from cellweave.plans import study
+from cellweave.queries import analysis, base, reading
 
 
 @pytest.fixture(scope="module")
@@ -50,3 +56,26 @@ def test_quiet_cells_give_little(spark):
     cells = spark.createDataFrame(rows, "u int, year int, n double, y long, mu double, phi double")
     made = study.run(study.Study("s", [""], (2000, 2009), q=0.05), cells).collect()
     assert len(made) <= 2
+
+
+def test_inputs_read_the_lines_once(spark, monkeypatch):
+    reads, lines = [], base.order_lines
+    monkeypatch.setattr(base, "order_lines", lambda *a: reads.append(a) or lines(*a))
+    x = reading._inputs(spark, SF)
+    assert len(reads) == 1
+    made = [x.cells, x.edges, x.shares, x.facilities, x.groups, x.months]
+    assert not [f for df in made for f in df.inputFiles() if "lineitem" in f]
+    rows = lambda df, *names: sorted(map(tuple, df.select(*names).collect()))
+    assert rows(x.cells, "u", "year", "n", "y", "mu", "phi") == rows(base.expected(spark, SF), "u", "year", "n", "y", "mu", "phi")
+    assert rows(x.edges, "a", "b", F.round("weight", 12)) == rows(analysis._flow(spark, SF), "a", "b", F.round("weight", 12))
+    y, n = analysis._groups(spark, SF)
+    assert rows(x.groups, "u", "g", "y", "n") == rows(n.join(y, ["u", "g"], "left").fillna(0, "y"), "u", "g", "y", "n")
+
+
+def test_least_of_all_after_it_in_one_large_part(spark):
+    n = 60_000
+    df = spark.range(n).select("id", ((F.col("id") * 7919) % n).alias("v"), F.lit(1).alias("one"))
+    start = time.monotonic()
+    got = least_from(df.coalesce(1), ["one", "id"], "least", F.col("v")).orderBy("id").toPandas()
+    assert time.monotonic() - start < 60  # minutes, where each row goes through all after it
+    assert (got["least"].to_numpy() == np.minimum.accumulate(got["v"].to_numpy()[::-1])[::-1]).all()
